@@ -22,9 +22,10 @@ FINE_BINS = 4096
 DISTINCT_LIMIT = 1_000_000
 
 
-def rank_of(total: Column, percent: int) -> Column:
-    """1-based nearest rank in whole numbers: ceil(n * p / 100)."""
-    return F.call_function("div", total * percent + 99, F.lit(100).cast("bigint"))
+def nearest_rank(total: Column, percent: Column) -> Column:
+    """1-based nearest rank in whole numbers: ceil(n * p / 100), at least 1."""
+    rank = F.call_function("div", total * percent + 99, F.lit(100).cast("bigint"))
+    return F.greatest(rank, F.lit(1).cast("bigint"))
 
 
 def count_bins(
@@ -80,9 +81,7 @@ def exact_percentiles(
         _cover(bins, keys, "_bin")
         .withColumn("_total", F.sum("_n").over(total))
         .withColumn("_p", wanted)
-        .withColumn("_rank", F.call_function(
-            "div", F.col("_total") * F.col("_p") + 99, F.lit(100).cast("bigint")))
-        .withColumn("_rank", F.greatest("_rank", F.lit(1)))
+        .withColumn("_rank", nearest_rank(F.col("_total"), F.col("_p")))
         .where("_before < _rank AND _rank <= _upto")
         .select(*keys, "_p", "_bin", "_lo", "_hi", "_n",
                 (F.col("_rank") - F.col("_before")).alias("_rank"))
@@ -153,21 +152,35 @@ def latency_histogram(samples: DataFrame, keys: Sequence[str], value: str) -> Da
     )
 
 
-def histogram_percentiles(
-    histogram: DataFrame, keys: Sequence[str], percents: Sequence[int], prefix: str = "p"
+def counted_percentiles(
+    counted: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int],
+    prefix: str = "p", count: str = "n",
 ) -> DataFrame:
-    """Middle of the first bucket whose cumulative count reaches the rank."""
+    """Nearest-rank percentiles of (key, value, count) rows, in whole-number arithmetic.
+
+    Meant for values with few distinct outcomes: buckets, rates.
+    """
     keys = list(keys)
-    ordered = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(
+    ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    cumulative = histogram.withColumn("_upto", F.sum("n").over(ordered)).withColumn(
-        "_total", F.sum("n").over(Window.partitionBy(*keys))
+    cumulative = counted.withColumn("_upto", F.sum(count).over(ordered)).withColumn(
+        "_total", F.sum(count).over(Window.partitionBy(*keys))
     )
-    reached = {
-        p: F.min(F.when(F.col("_upto") * 100 >= F.col("_total") * p, F.col("bucket")))
-        for p in percents
-    }
     return cumulative.groupBy(*keys).agg(
-        *[bucket_middle(c).alias(f"{prefix}{p}") for p, c in reached.items()]
+        *[
+            F.min(F.when(F.col("_upto") * 100 >= F.col("_total") * p, F.col(value)))
+            .alias(f"{prefix}{p}")
+            for p in percents
+        ]
+    )
+
+
+def histogram_percentiles(
+    histogram: DataFrame, keys: Sequence[str], percents: Sequence[int], prefix: str = "p"
+) -> DataFrame:
+    """Middle of the first bucket whose cumulative count reaches the rank."""
+    found = counted_percentiles(histogram, keys, "bucket", percents, prefix)
+    return found.select(
+        *keys, *[bucket_middle(F.col(f"{prefix}{p}")).alias(f"{prefix}{p}") for p in percents]
     )

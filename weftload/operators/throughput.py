@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftload.operators.percentiles import counted_percentiles
+
 QPS_PERCENTS = [1, 5, 95, 99]
 
 
@@ -80,16 +82,15 @@ def fill_gaps(ticks: DataFrame, keys: Sequence[str], tick_seconds: int) -> DataF
 def qps_summary(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rounded mean and nearest-rank percentiles of the rate.
 
-    ``percentile_disc`` keeps one counter per distinct value; rates are small whole
-    numbers, and partial aggregates merge on the map side.
+    Rates are whole numbers with few distinct values, so they are counted by value first.
     """
-    return series.groupBy(*keys).agg(
-        F.round(F.avg("qps")).cast("bigint").alias("qps_avg"),
-        *[
-            F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY qps)")
-            .cast("bigint").alias(f"qps_p{p}")
-            for p in QPS_PERCENTS
-        ],
+    keys = list(keys)
+    counted = series.groupBy(*keys, "qps").agg(F.count(F.lit(1)).alias("_c"))
+    mean = F.round(F.sum(F.col("qps") * F.col("_c")) / F.sum("_c")).cast("bigint")
+    return (
+        counted.groupBy(*keys)
+        .agg(mean.alias("qps_avg"))
+        .join(counted_percentiles(counted, keys, "qps", QPS_PERCENTS, "qps_p", "_c"), keys)
     )
 
 
