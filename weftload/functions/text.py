@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,8 +66,9 @@ def whole_div(a: Column, b: int) -> Column:
 
 
 def capitalised(word: Column) -> Column:
-    """Upper-case the first letter and keep the rest (``initcap`` would lower it)."""
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 2147483647))
+    """Upper-case a first letter a-z and keep the rest as it is."""
+    first = F.translate(F.substring(word, 1, 1), ascii_lowercase, ascii_uppercase)
+    return F.concat(first, F.substring(word, 2, 2147483647))
 
 
 def word_count(state: Column, low: int, high: int) -> Column:

@@ -171,18 +171,20 @@ def gen_array(spark, folder):
 
 @query(
     "gen_array_float",
-    "SELECT row_id, CAST(len(v) AS BIGINT) AS n, round(list_sum(v), 6) AS total, "
-    "v[1] AS first, v[len(v)] AS last FROM (SELECT row_id, "
-    + _array(f"list_transform({_wide_elements(-150000000, 250000000)}, lambda g: g / 100000000)", 0, 1, 5)
+    "SELECT row_id, CAST(len(v) AS BIGINT) AS n, CAST(list_sum(v) AS BIGINT) AS grid_total, "
+    "v[1] / 100000000 AS first, v[len(v)] / 100000000 AS last FROM (SELECT row_id, "
+    + _array(_wide_elements(-150000000, 250000000), 0, 1, 5)
     + f" AS v FROM {ORDER_ROWS})",
 )
 def gen_array_float(spark, folder):
     values = _typed(
         "INSERT INTO t VALUES ([<array_float/1/5/-1.5/2.5>])", order_rows(spark, folder), "v"
     )
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    # Summed on the grid: whole numbers add up the same in any order.
+    grid = F.transform("v", lambda x: F.round(x * 100_000_000).cast("bigint"))
+    total = F.aggregate(grid, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return values.select(
-        "row_id", F.size("v").cast("bigint").alias("n"), F.round(total, 6).alias("total"),
+        "row_id", F.size("v").cast("bigint").alias("n"), total.alias("grid_total"),
         F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"),
     )
 
@@ -240,21 +242,21 @@ WITH words AS (
     FROM (SELECT doc_id, {WORDS} AS ws FROM documents))),
 size AS (SELECT count(*) AS n FROM words),
 counted AS (
-  SELECT row_id, s, {c.element_in('s', '0', 3, 12)} AS cnt
-  FROM (SELECT row_id, {c.key60(0, 0)} AS s FROM {CUSTOMER_ROWS})),
+  SELECT row_id, s, n, {c.element_in('s', '0', 3, 12)} AS cnt
+  FROM (SELECT row_id, {c.key60(0, 0)} AS s FROM {CUSTOMER_ROWS}) CROSS JOIN size),
 drawn AS (
-  SELECT row_id, cnt, k, ({c.element31('s', 'k * 2')} * {c.PRIME} + {c.element31('s', 'k * 2 + 1')})
-    % ((SELECT n FROM size) * 25) AS d
+  SELECT row_id, n, cnt, k, ({c.element31('s', 'k * 2')} * {c.PRIME} + {c.element31('s', 'k * 2 + 1')})
+    % (n * 25) AS d
   FROM (SELECT *, unnest(range(1, cnt + 1)) AS k FROM counted)),
-coded AS (
-  SELECT row_id, cnt, k, {_code('d', '(SELECT n FROM size)')} AS code FROM drawn),
-placed AS (
-  SELECT row_id, cnt, k, word, code // (SELECT n FROM size) AS mark
-  FROM coded JOIN words ON code % (SELECT n FROM size) = pos),
+coded AS (SELECT row_id, n, cnt, k, {_code('d', 'n')} AS code FROM drawn),
+keyed AS (SELECT row_id, cnt, k, code % n AS pos, code // n AS mark FROM coded),
+placed AS (SELECT row_id, cnt, k, word, mark FROM keyed JOIN words USING (pos)),
 marked AS (
   SELECT *, lag(mark) OVER (PARTITION BY row_id ORDER BY k) AS before FROM placed)
 SELECT row_id, string_agg(
-  CASE WHEN k = 1 OR before = 0 THEN upper(word[1]) || substr(word, 2) ELSE word END
+  CASE WHEN k = 1 OR before = 0
+    THEN translate(word[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(word, 2)
+    ELSE word END
   || CASE WHEN k = cnt THEN '.' WHEN mark < 5 THEN {MARK_LIST}[mark + 1] ELSE '' END,
   ' ' ORDER BY k) AS text
 FROM marked GROUP BY row_id

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftload.plans import generation_queries  # noqa: F401
+from weftload.plans import generation_queries, statement_queries  # noqa: F401
