@@ -260,7 +260,7 @@ def spec_fingerprint(spark, folder):
 
 # ---------------------------------------------------------------- figures as text
 
-# Inputs are whole tenths or twentieths that no rounding rule can read two ways.
+# Eighths of a second; the check rounds halves up, as the formatter does.
 SECONDS = "CAST(o_orderkey % 6000 AS DOUBLE) / 8"
 
 
@@ -281,8 +281,8 @@ def fmt_elapsed(spark, folder):
 
 @query(
     "fmt_mmss",
-    """SELECT event_id, printf('%02d:%02d', CAST(floor(value * 60 / 60) AS BIGINT),
- CAST(floor(value * 60) AS BIGINT) % 60) AS shown FROM events""".replace("value * 60 / 60", "floor(value * 60) / 60"),
+    """SELECT event_id, printf('%02d:%02d', CAST(floor(floor(value * 60) / 60) AS BIGINT),
+ CAST(floor(value * 60) AS BIGINT) % 60) AS shown FROM events""",
 )
 def fmt_mmss(spark, folder):
     return read(spark, folder, "events").select(
