@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftload.operators import monitor as mon
 from weftload.operators import replay as rep
 from weftload.operators.batching import joined_tuples
-from weftload.operators.match import bulk_match
+from weftload.operators.match import bulk_match, match_counts
 from weftload.operators.throughput import tick_start
 from weftload.plans.inputs import (
     CHANGES,
@@ -207,7 +207,7 @@ def combined_status(spark, folder):
 SPANS = """SELECT process_index, CAST(span_no AS BIGINT) AS span_no, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM (
  SELECT *, sum(opens) OVER (PARTITION BY process_index ORDER BY ts, processed ROWS UNBOUNDED PRECEDING) AS span_no FROM (
   SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY process_index ORDER BY ts, processed), ts)
-   <= {gap} * 1000000 THEN 0 ELSE 1 END AS opens FROM {rows})) GROUP BY process_index, span_no"""
+   <= {gap}000000 THEN 0 ELSE 1 END AS opens FROM {rows})) GROUP BY process_index, span_no"""
 
 
 @query("process_sessions", SPANS.format(gap=12 * HOUR, rows=USER_ROWS))
@@ -322,5 +322,4 @@ def bulk_match_pairs(spark, folder):
         f"concat(get({words}, cast(p_partkey % 10 AS INT)), ' ', "
         f"get({more}, cast(p_partkey div 10 % 10 AS INT))) AS text",
     )
-    found = bulk_match(read(spark, folder, "documents"), queries)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return match_counts(read(spark, folder, "documents"), queries).where("n_docs > 0")
