@@ -32,7 +32,7 @@ def default_words() -> list[str]:
 
 def split_words(line: Column) -> Column:
     """Words of a line in order, duplicates kept."""
-    return F.filter(F.split(line, WORD_SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(line, WORD_SEPARATORS), "")
 
 
 @dataclass(frozen=True)

@@ -154,11 +154,12 @@ def latency_histogram(samples: DataFrame, keys: Sequence[str], value: str) -> Da
 
 def counted_percentiles(
     counted: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int],
-    prefix: str = "p", count: str = "n",
+    prefix: str = "p", count: str = "n", extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Nearest-rank percentiles of (key, value, count) rows, in whole-number arithmetic.
 
-    Meant for values with few distinct outcomes: buckets, rates.
+    Meant for values with few distinct outcomes: buckets, rates. ``extra`` aggregates are
+    taken along.
     """
     keys = list(keys)
     ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(
@@ -172,7 +173,8 @@ def counted_percentiles(
             F.min(F.when(F.col("_upto") * 100 >= F.col("_total") * p, F.col(value)))
             .alias(f"{prefix}{p}")
             for p in percents
-        ]
+        ],
+        *extra,
     )
 
 

@@ -87,10 +87,8 @@ def qps_summary(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     counted = series.groupBy(*keys, "qps").agg(F.count(F.lit(1)).alias("_c"))
     mean = F.round(F.sum(F.col("qps") * F.col("_c")) / F.sum("_c")).cast("bigint")
-    return (
-        counted.groupBy(*keys)
-        .agg(mean.alias("qps_avg"))
-        .join(counted_percentiles(counted, keys, "qps", QPS_PERCENTS, "qps_p", "_c"), keys)
+    return counted_percentiles(
+        counted, keys, "qps", QPS_PERCENTS, "qps_p", "_c", [mean.alias("qps_avg")]
     )
 
 

@@ -38,7 +38,14 @@ from weftload.plans.workload import (
     together,
     typed_rows,
 )
-from weftload.sources.files import preview
+from weftload.session import shared_dir
+from weftload.sources.files import (
+    bulk_write,
+    cached_statements,
+    preview,
+    read_statements,
+    write_statements,
+)
 from weftload.sources.vocabulary import (
     count_words,
     text_from_pages,
@@ -268,8 +275,7 @@ def gen_text_vocab(spark, folder):
     """Vocabulary: every word of every document."""
     documents = read(spark, folder, "documents").select("doc_id", "text")
     pages = vocabulary_pages(documents, "doc_id", "text")
-    size = count_words(documents, "text")
-    return text_from_pages(customer_rows(spark, folder), pages, size, 3, 12)
+    return text_from_pages(customer_rows(spark, folder), pages, count_words(pages), 3, 12)
 
 
 RENDER_LOAD = (
@@ -542,6 +548,45 @@ def values_split(spark, folder):
 # ---------------------------------------------------------------- lists of statements
 
 
+@query("stmt_sink", f"SELECT stmt FROM ({_mixed_check(5)})")
+def stmt_sink(spark, folder):
+    """Written as text lines, in emission order, and read back as they are."""
+    path = shared_dir(spark, "statements")
+    write_statements(mixed_statements(spark, folder), path)
+    return spark.read.text(path).withColumnRenamed("value", "stmt")
+
+
+@query("stmt_source", f"SELECT rtrim(stmt, ';') AS stmt FROM ({_single_check(7)})")
+def stmt_source(spark, folder):
+    """Read back as statements, without the closing mark."""
+    path = shared_dir(spark, "statements")
+    write_statements(batch_assemble(spark, folder), path)
+    return read_statements(spark, path)
+
+
+@query("cache_reuse", _single_check(64))
+def cache_reuse(spark, folder):
+    """The second request finds the table the first one has written."""
+    spec = WorkloadSpec.of(INSERT_LOAD, order_rows(spark, folder).count(), batch_size=64)
+    path = shared_dir(spark, "cache")
+    cached_statements(spark, spec, path)
+    return cached_statements(spark, spec, path).drop("template_idx")
+
+
+@query(
+    "bulk_write",
+    f"SELECT row_id, row_id + 100 AS id, {_int(1, 5, 90)} AS age FROM {ORDER_ROWS}",
+)
+def bulk_write_rows(spark, folder):
+    """Appended by several writers and read back."""
+    rows = _typed("INSERT INTO t(id, age) VALUES (<increment/100>, <int/5/90>)",
+                  order_rows(spark, folder))
+    path = shared_dir(spark, "rows")
+    bulk_write(rows, path, threads=4)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+
 @query("stmt_count", f"SELECT count(*) AS n, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({_mixed_check(5)})")
 def stmt_count(spark, folder):
     return mixed_statements(spark, folder).agg(

@@ -22,6 +22,8 @@ from weftload.plans.inputs import (
     sql,
 )
 from weftload.plans.registry import query
+from weftload.session import shared_dir
+from weftload.sources.files import read_progress, write_progress
 
 HOUR, DAY = 3600, 86400
 CONFIG_ROWS, STATUS_ROWS = sql(CONFIG), sql(STATUS)
@@ -64,6 +66,23 @@ def progress_last(spark, folder):
     return newest_progress(spark, folder, PROGRESS)
 
 
+@query(
+    "progress_files",
+    f"SELECT CAST(process_index AS INT) AS process_index, ts, processed, CAST(qps AS STRING) AS qps FROM {PROGRESS_ROWS}",
+)
+def progress_files(spark, folder):
+    """Records written as JSON lines per process and read back with a fixed schema."""
+    records = select(spark, folder, PROGRESS).select(
+        F.col("ts").cast("timestamp").alias("ts"), "process_index", "processed",
+        F.col("qps").cast("string").alias("qps"),
+    )
+    path = shared_dir(spark, "progress")
+    write_progress(records, path)
+    return read_progress(spark, path).select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), "process_index", "processed", "qps"
+    )
+
+
 NEWEST_PER_HOUR = (
     "(SELECT process_index, tick, ts, processed, qps FROM (SELECT *, row_number() OVER "
     "(PARTITION BY process_index, tick ORDER BY ts DESC, processed DESC) AS rn FROM "

@@ -56,7 +56,7 @@ def run_report(
         *keys, F.col("batch_size").cast("bigint").alias("_nominal"), "n_rows", "start_ts",
         "latency_ms", end.alias("_end"), tick_start(F.col("start_ts"), tick_seconds).alias("tick"),
     )
-    ticks = source.groupBy(*keys, "tick").agg(
+    per_tick = source.groupBy(*keys, "tick").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("_nominal").alias("ops_nominal"),
         F.sum(F.col("n_rows").cast("bigint")).alias("ops_exact"),
@@ -65,6 +65,8 @@ def run_report(
         F.min("start_ts").alias("_start"),
         F.max("_end").alias("_end"),
     )
+    # A row per run and tick; totals and rates both start from it.
+    ticks = written_table(per_tick, "ticks")
     elapsed = seconds_between(F.min("_start"), F.max("_end"))
     totals = (
         ticks.groupBy(*keys)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from weftload.plans.workload import Loader, statements
 from weftload.spec import WorkloadSpec
 
+PROGRESS_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 PROGRESS_SCHEMA = T.StructType(
     [
         T.StructField("ts", T.TimestampType()),
@@ -23,11 +24,17 @@ PROGRESS_SCHEMA = T.StructType(
 )
 
 
-def write_statements(stmts: DataFrame, path: str, files: int | None = None) -> None:
+def write_statements(
+    stmts: DataFrame, path: str, files: int | None = None, in_order: bool = False
+) -> None:
     """One statement per line, each ended by ``;``, files and lines in emission order.
 
-    Range partitioning by position: sorted output without a single-task sort.
+    Range partitioning by position: sorted output without a single-task sort. Batches of
+    one template (``dense_batches``) come out ``in_order`` and are written as they are.
     """
+    if in_order:
+        stmts.select("stmt").write.text(path)
+        return
     ranged = (
         stmts.repartitionByRange(files, "pos") if files else stmts.repartitionByRange("pos")
     )
@@ -89,17 +96,23 @@ def bulk_write_jdbc(
 
 def write_progress(records: DataFrame, path: str) -> None:
     """Progress records as JSON lines, a folder per process."""
-    records.write.mode("append").partitionBy("process_index").json(path)
+    records.write.mode("append").partitionBy("process_index").option(
+        "timestampFormat", PROGRESS_TIME
+    ).json(path)
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROGRESS_SCHEMA).json(path)
+    return spark.read.schema(PROGRESS_SCHEMA).option("timestampFormat", PROGRESS_TIME).json(path)
 
 
 def stream_progress(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New progress files as a stream."""
-    reader = spark.readStream.schema(PROGRESS_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return (
+        spark.readStream.schema(PROGRESS_SCHEMA)
+        .option("timestampFormat", PROGRESS_TIME)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .json(path)
+    )
 
 
 def write_report_table(table: DataFrame, path: str) -> None:

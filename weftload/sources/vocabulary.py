@@ -18,6 +18,7 @@ from weftload.functions.text import (
     word_count,
 )
 from weftload.operators.blocks import running_sum
+from weftload.session import written_table
 
 PAGE_WORDS = 1024
 
@@ -44,13 +45,16 @@ def vocabulary_pages(texts: DataFrame, order: str, text: str) -> DataFrame:
     """A word list of any length as pages of 1,024 words: ``(page, words)``.
 
     Words are numbered through all texts in the order of the unique integer ``order``.
-    Texts are cut at page borders, so one huge text is many rows; a page is bounded.
+    Texts are cut at page borders, so one huge text is many rows; a page is bounded. The
+    pages are written to the shared folder: they are read for counting and for look-ups.
     """
-    counted = texts.select(order, split_words(F.col(text)).alias("_words")).withColumn(
-        "_n", F.size("_words").cast("bigint")
-    )
-    ranged = running_sum(counted.where("_n > 0"), [], order, "_n", "_hi").withColumn(
-        "_lo", F.col("_hi") - F.col("_n")
+    counts = texts.select(order, F.size(split_words(F.col(text))).cast("bigint").alias("_n"))
+    # Only two numbers per text are needed to place it; the words are split again below.
+    placed = running_sum(written_table(counts, "counts").where("_n > 0"), [], order, "_n", "_hi")
+    ranged = (
+        texts.select(order, split_words(F.col(text)).alias("_words"))
+        .join(placed, order)
+        .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
     first = F.greatest(F.col("page") * PAGE_WORDS, F.col("_lo"))
     end = F.least((F.col("page") + 1) * PAGE_WORDS, F.col("_hi"))
@@ -67,14 +71,15 @@ def vocabulary_pages(texts: DataFrame, order: str, text: str) -> DataFrame:
         ).alias("_part"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("_at", "_part")))
-    return pieces.groupBy("page").agg(
+    pages = pieces.groupBy("page").agg(
         F.flatten(F.transform(ordered, lambda p: p["_part"])).alias("words")
     )
+    return written_table(pages, "pages")
 
 
-def count_words(texts: DataFrame, text: str) -> int:
-    """Length of the word list; one number."""
-    total = texts.agg(F.sum(F.size(split_words(F.col(text))).cast("bigint"))).first()[0]
+def count_words(pages: DataFrame) -> int:
+    """Length of a paged word list; one number."""
+    total = pages.agg(F.sum(F.size("words").cast("bigint"))).first()[0]
     if not total:
         raise ValueError("vocabulary is empty")
     return total
