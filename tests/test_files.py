@@ -20,11 +20,11 @@ from weftload.spec import WorkloadSpec
 SPEC = WorkloadSpec.of("insert into t values(<increment>, '<string/1/3>')", 103, batch_size=5)
 
 
-@pytest.mark.parametrize("in_order", [True, False])
-def test_statement_files_in_order(spark, tmp_path, in_order):
+@pytest.mark.parametrize("how", [{"in_order": True}, {"total": 103}, {}])
+def test_statement_files_in_order(spark, tmp_path, how):
     stmts = statements(spark, SPEC)
     path = tmp_path / "out"
-    write_statements(stmts.repartition(3) if not in_order else stmts, str(path), 4, in_order)
+    write_statements(stmts if "in_order" in how else stmts.repartition(3), str(path), 4, **how)
     lines = [
         line for f in sorted(path.glob("part-*.txt")) for line in f.read_text().splitlines()
     ]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftload.functions.patterns import KNOWN_TYPES
+from weftload.functions.text import exploded
 
 # The forms recognised in statements.
 PLACEHOLDER_REGEX = "<((?:" + "|".join(KNOWN_TYPES) + ")[^>]*)>"
@@ -28,7 +29,7 @@ SCRIPT_PART_REGEX = r"""((?:[^;"']++|"[^"]*+"|'[^']*+')++)"""
 def placeholders(templates: DataFrame, sql: str = "sql") -> DataFrame:
     """One row per placeholder: ``(…, slot, placeholder)``, in order of appearance."""
     found = F.regexp_extract_all(F.col(sql), F.lit(PLACEHOLDER_REGEX), F.lit(1))
-    return templates.select("*", F.posexplode(found).alias("slot", "placeholder"))
+    return exploded(templates, found, "placeholder", "slot")
 
 
 def slot_order(templates: DataFrame, sql: str = "sql") -> DataFrame:
@@ -36,7 +37,7 @@ def slot_order(templates: DataFrame, sql: str = "sql") -> DataFrame:
     found = F.regexp_extract_all(F.col(sql), F.lit(PLACEHOLDER_REGEX), F.lit(1))
     listed = templates.withColumn("_found", F.reverse(found))
     return (
-        listed.select("*", F.posexplode("_found").alias("from_right", "placeholder"))
+        exploded(listed, F.col("_found"), "placeholder", "from_right")
         .withColumn("slot", F.size("_found") - 1 - F.col("from_right"))
         .drop("_found")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftload.functions.draws import element_draws, element_in, let
@@ -35,6 +35,19 @@ def split_words(line: Column) -> Column:
     return F.array_remove(F.split(line, WORD_SEPARATORS), "")
 
 
+def exploded(df: DataFrame, values: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form plus a filter: for the inner one the optimizer adds a test of the
+    array's size below the explode, which computes a costly array a second time.
+    """
+    place = position or "_at"
+    rows = df.select("*", F.posexplode_outer(values).alias(place, name)).where(
+        F.col(place).isNotNull()
+    )
+    return rows if position else rows.drop(place)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """A word list small enough to live in the plan as an array literal.

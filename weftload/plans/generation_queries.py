@@ -552,7 +552,8 @@ def values_split(spark, folder):
 def stmt_sink(spark, folder):
     """Written as text lines, in emission order, and read back as they are."""
     path = shared_dir(spark, "statements")
-    write_statements(mixed_statements(spark, folder), path)
+    total = order_rows(spark, folder).count()
+    write_statements(mixed_statements(spark, folder), path, total=total)
     return spark.read.text(path).withColumnRenamed("value", "stmt")
 
 

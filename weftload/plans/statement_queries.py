@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftload.functions import formats as fmt
 from weftload.functions import statements as st
 from weftload.plans.inputs import STATEMENTS, TEMPLATES, read, select, sql
+from weftload.functions.text import exploded
 from weftload.plans.registry import query
 
 TEMPLATE_ROWS = sql(TEMPLATES)
@@ -183,9 +184,8 @@ def script_split(spark, folder):
         F.lit("create table x(a int); insert into x values ('p;q'); "), F.col("text"),
         F.lit(' ; select "a;b"'),
     )
-    return read(spark, folder, "documents").select(
-        "doc_id", F.posexplode(st.script_parts(script)).alias("part", "stmt")
-    )
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    return exploded(documents, st.script_parts(script), "stmt", "part").drop("text")
 
 
 WEIGHT_COLUMNS = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftload.functions.text import whole_div
 from weftload.plans.workload import Loader, statements
 from weftload.spec import WorkloadSpec
 
@@ -25,20 +26,28 @@ PROGRESS_SCHEMA = T.StructType(
 
 
 def write_statements(
-    stmts: DataFrame, path: str, files: int | None = None, in_order: bool = False
+    stmts: DataFrame, path: str, files: int | None = None, total: int | None = None,
+    in_order: bool = False,
 ) -> None:
     """One statement per line, each ended by ``;``, files and lines in emission order.
 
-    Range partitioning by position: sorted output without a single-task sort. Batches of
-    one template (``dense_batches``) come out ``in_order`` and are written as they are.
+    With the ``total`` of rows, a statement's file follows from its position (leftovers
+    have positions from ``total`` on and go to the last file). Otherwise the files are
+    ranges found by sampling, which computes the statements twice. Neither sorts in one
+    task. Batches of one template (``dense_batches``) come out ``in_order`` as they are.
     """
     if in_order:
         stmts.select("stmt").write.text(path)
         return
-    ranged = (
-        stmts.repartitionByRange(files, "pos") if files else stmts.repartitionByRange("pos")
-    )
-    ranged.sortWithinPartitions("pos").select("stmt").write.text(path)
+    if total is not None:
+        count = files or int(stmts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        file = F.least(whole_div(F.col("pos") * count, total), F.lit(count - 1)).cast("int")
+        placed = stmts.repartitionById(count, file)
+    elif files:
+        placed = stmts.repartitionByRange(files, "pos")
+    else:
+        placed = stmts.repartitionByRange("pos")
+    placed.sortWithinPartitions("pos").select("stmt").write.text(path)
 
 
 def normal_statement(line: Column) -> Column:

@@ -12,6 +12,7 @@ from weftload.functions.text import (
     MARKS,
     Vocabulary,
     capitalised,
+    exploded,
     form_code,
     split_words,
     whole_div,
@@ -25,7 +26,7 @@ PAGE_WORDS = 1024
 
 def vocabulary_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     """``(…, word_pos, word)`` for each line, duplicates kept."""
-    return lines.select("*", F.posexplode(split_words(F.col(text))).alias("word_pos", "word"))
+    return exploded(lines, split_words(F.col(text)), "word", "word_pos")
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
