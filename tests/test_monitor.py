@@ -118,16 +118,16 @@ def test_carry_forward(records):
             assert carried == (not any(ts >= tick for ts, _ in known))
 
 
-@pytest.mark.parametrize("block", [None, 7, 1000])
-def test_size_window(records, block):
+@pytest.mark.parametrize("seconds", [5, 60])
+def test_size_window(records, seconds):
     """Frames that cross block borders are whole."""
     data, df = records
-    found = mon.size_window(df, ["process_index"], "processed", 5, block).collect()
+    found = mon.size_window(df, ["process_index"], "processed", seconds).collect()
     assert len(found) == len({(p, ts) for p, ts, _ in data})
     for row in found:
         recent = [
             (ts, n) for p, ts, n in data
-            if p == row.process_index and row.ts - dt.timedelta(seconds=5) <= ts <= row.ts
+            if p == row.process_index and row.ts - dt.timedelta(seconds=seconds) <= ts <= row.ts
         ]
         values = [n for _, n in recent]
         assert (row.n, row.size_min, row.size_max) == (len(values), min(values), max(values))
@@ -137,6 +137,16 @@ def test_size_window(records, block):
         )
 
 
+def test_size_window_borders(spark):
+    """A sample exactly as old as the frame still counts; peers are merged."""
+    data = [("t", at(s), v) for s, v in ((0, 5), (5, 7), (5, 1), (10, 2), (10.5, 9), (16, 4))]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, v long")
+    found = mon.size_window(df, ["k"], "v").orderBy("ts").collect()
+    assert [(r.n, r.size_min, r.size_max, r.growth) for r in found] == [
+        (1, 5, 5, 0), (3, 1, 7, 2), (3, 1, 7, 1), (2, 2, 9, 7), (1, 4, 4, 0),
+    ]
+
+
 @pytest.mark.parametrize("gap", [1, 10, 300])
 def test_active_spans(records, gap):
     data, df = records

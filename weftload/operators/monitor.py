@@ -107,39 +107,59 @@ def counter_usage(counters: DataFrame, host: str = "host") -> DataFrame:
 
 
 def size_window(
-    samples: DataFrame, keys: Sequence[str], size: str, seconds: int = RETENTION_SECONDS,
-    block_seconds: int | None = None,
+    samples: DataFrame, keys: Sequence[str], size: str, seconds: int = RETENTION_SECONDS
 ) -> DataFrame:
-    """Smallest, largest and growth of a size over the last ``seconds``.
-
-    Samples with the same time are peers of the frame and are merged beforehand. Time is
-    cut into blocks a few frames long; samples near the end of a block are also given to
-    the next one, so a busy key is spread over its blocks and every frame is whole.
+    """Smallest, largest and growth of a size over the last ``seconds``, both ends included.
+
+    A sliding frame would be aggregated afresh for every sample. Here time is cut into
+    blocks as long as the frame. A frame then is the end of one block and the start of the
+    next, and both are running aggregates: forwards from the start of a block, and backwards
+    from the end of the block before, read off at the time the frame opens. The work per
+    sample does not depend on how many samples a frame holds, and a busy key is spread over
+    its blocks.
     """
-    length = max(block_seconds or 12 * seconds, seconds)
-    merged = samples.groupBy(*keys, "ts").agg(
+    keys = list(keys)
+    block = F.window("_at", f"{seconds} seconds")["start"]
+    # Samples with the same time are peers of a frame.
+    merged = samples.groupBy(*keys, F.col("ts").alias("_at")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(size).alias("_min"), F.max(size).alias("_max")
     )
-    own = F.window("ts", f"{length} seconds")
-    near_end = F.col("ts") + _seconds(seconds) >= F.col("_w.end")
-    placed = merged.withColumn("_w", own).withColumn(
-        "_block",
-        F.explode(
-            F.when(near_end, F.array("_w.start", "_w.end")).otherwise(F.array("_w.start"))
-        ),
+    rows = (Window.unboundedPreceding, Window.currentRow)
+
+    forwards = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(*rows)
+    started = merged.withColumn("_block", block).select(
+        *keys, F.col("_at").alias("ts"), F.col("_max").alias("_own"),
+        F.sum("_n").over(forwards).alias("_n1"),
+        F.min("_min").over(forwards).alias("_min1"),
+        F.max("_max").over(forwards).alias("_max1"),
+        F.first("_min").over(forwards).alias("_first1"),
+    )
+
+    opening = merged.select(
+        *keys, (F.col("_at") - _seconds(seconds)).alias("_at"), F.col("_at").alias("ts")
     )
-    over = (
-        f"OVER (PARTITION BY {', '.join(keys)}, _block ORDER BY ts "
-        f"RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"
+    marked = merged.unionByName(opening, allowMissingColumns=True).withColumn("_block", block)
+    # Backwards; a sample at the very time a frame opens belongs to it and comes first.
+    backwards = (
+        Window.partitionBy(*keys, "_block")
+        .orderBy(F.desc("_at"), F.col("ts").isNotNull())
+        .rowsBetween(*rows)
     )
-    framed = placed.select(
-        *keys, "ts", "_block", "_w",
-        F.expr(f"sum(_n) {over}").alias("n"),
-        F.expr(f"min(_min) {over}").alias("size_min"),
-        F.expr(f"max(_max) {over}").alias("size_max"),
-        (F.col("_max") - F.expr(f"first(_min) {over}")).alias("growth"),
+    ended = marked.select(
+        *keys, "ts",
+        F.sum("_n").over(backwards).alias("_n0"),
+        F.min("_min").over(backwards).alias("_min0"),
+        F.max("_max").over(backwards).alias("_max0"),
+        F.last("_min", ignorenulls=True).over(backwards).alias("_first0"),
+    ).where("ts IS NOT NULL")
+
+    return started.join(ended, [*keys, "ts"]).select(
+        *keys, "ts",
+        (F.coalesce("_n0", F.lit(0)) + F.col("_n1")).alias("n"),
+        F.least("_min0", "_min1").alias("size_min"),
+        F.greatest("_max0", "_max1").alias("size_max"),
+        (F.col("_own") - F.coalesce("_first0", "_first1")).alias("growth"),
     )
-    return framed.where(F.col("_block") == F.col("_w.start")).drop("_block", "_w")
 
 
 def with_config(records: DataFrame, config: DataFrame) -> DataFrame:
