@@ -87,9 +87,18 @@ def test_combined_lines_carry_old_processes(spark, tmp_path):
     stream = live.event_time(
         live.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1), "ts"
     )
-    lines = live.combined_lines(stream, config, status).orderBy("epoch").collect()
+    root = str(tmp_path / "root")
+    lines = live.combined_lines(stream, config, status, root).orderBy("epoch").collect()
     assert len(lines) == 2
     assert [(r["size"], r.processes, r.inserted) for r in lines][-1] == (930, 2, 6)
+    # A restart goes on where the first run stopped.
+    late = [(3, START, 1), (1, START + dt.timedelta(seconds=2), 11)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+    more = config.unionByName(
+        spark.createDataFrame([(3, "t", "insert")], config.schema)
+    )
+    lines = live.combined_lines(stream, more, status, root).orderBy("epoch").collect()
+    assert [r.processes for r in lines][-1] == 3 and len(lines) == 3
 
 
 def test_spans_are_emitted_when_closed(spark, tmp_path):

@@ -57,7 +57,7 @@ USER_PROGRESS: Select = (
     ["ts", "user_id AS process_index", "event_id AS processed", "value AS qps"],
     "true",
 )
-# Processes with an odd number in the last market segment have no settings on purpose.
+# Customers of one market segment have no settings on purpose: their records are skipped.
 CONFIG: Select = (
     "customer",
     [

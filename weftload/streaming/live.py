@@ -116,28 +116,24 @@ def span_stream(records: DataFrame, keys: Sequence[str], gap: str, ts: str = "ts
 
 
 def combined_lines(
-    records: DataFrame, config: DataFrame, status: DataFrame, label: str = "combined"
+    records: DataFrame, config: DataFrame, status: DataFrame, root: str | None = None
 ) -> DataFrame:
     """One combined line per trigger; returns all lines with their ``epoch``.
 
     Processes without a new record keep their last one: the newest record per process is
-    carried from trigger to trigger as a table in the shared folder.
+    carried from trigger to trigger as a small table. Tables are named by trigger, so a
+    repeated trigger or a restart on the same ``root`` starts from the right one.
     """
     spark = records.sparkSession
-    root = shared_dir(spark, label)
-    last: dict[str, object] = {}
+    root = root or shared_dir(spark, "combined")
 
     def step(batch: DataFrame, epoch: int) -> None:
         known = newest(batch, ["process_index"], ["ts", "processed"])
-        before = last.get("state") if last.get("epoch") != epoch else last.get("previous")
-        if before:
-            known = newest(
-                known.unionByName(spark.read.schema(known.schema).parquet(before)),
-                ["process_index"], ["ts", "processed"],
-            )
+        if epoch > 0:
+            before = spark.read.schema(known.schema).parquet(f"{root}/known/{epoch - 1}")
+            known = newest(known.unionByName(before), ["process_index"], ["ts", "processed"])
         path = f"{root}/known/{epoch}"
         known.write.mode("overwrite").parquet(path)
-        last.update(previous=before, state=path, epoch=epoch)
         line = combined_line(spark.read.schema(known.schema).parquet(path), config, status)
         line.write.mode("overwrite").parquet(f"{root}/lines/epoch={epoch}")
 
