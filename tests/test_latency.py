@@ -37,6 +37,7 @@ def samples():
         "wide": [10 ** rng.uniform(-3, 6) for _ in range(500)],
         "signed": [rng.uniform(-5, 5) for _ in range(200)] + [0.0] * 50,
         "grid": [float(i) for i in range(1, 101)],
+        "open": [1.0, 2.0, math.inf, math.inf],
     }
     return data
 
@@ -45,7 +46,7 @@ def samples():
 def test_exact_percentiles(spark, limit):
     """With the low limit the second, finer pass is used as well."""
     data = samples()
-    rows = [(k, v) for k, values in data.items() for v in values] + [("none", None), ("hot", None)]
+    rows = [(k, v) for k, values in data.items() for v in values] + [("none", None), ("hot", None), ("hot", math.nan)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
     found = exact_percentiles(df, ["k"], "v", PERCENTS, distinct_limit=limit).collect()
     assert {r.k for r in found} == set(data)

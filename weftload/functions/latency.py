@@ -42,7 +42,8 @@ def magnitude_bin(value: Column, steps: int = 64) -> Column:
     logarithms are monotone.
     """
     offset = 1 << 20
-    size = F.floor(F.log2(F.abs(value)) * steps) + offset
+    # Infinite values share the bin above all others.
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1024.0)) * steps) + offset
     return (
         F.when(value == 0, F.lit(0).cast("bigint"))
         .when(value > 0, size)

@@ -46,32 +46,34 @@ def slot_order(templates: DataFrame, sql: str = "sql") -> DataFrame:
 def decoded(found: DataFrame, placeholder: str = "placeholder") -> DataFrame:
     """Adds type, vocabulary path, up to four numeric arguments and an arity error."""
     text = F.col(placeholder)
-    path = F.nullif(F.regexp_extract(text, VOCABULARY_REGEX, 1), F.lit(""))
-    plain = F.when(
-        path.isNotNull(),
-        F.concat(
-            F.lit("text/"), F.regexp_extract(text, VOCABULARY_REGEX, 2), F.lit("/"),
-            F.regexp_extract(text, VOCABULARY_REGEX, 3),
-        ),
-    ).otherwise(text)
-    parts = F.split(plain, "/")
-    head = F.element_at(parts, 1)
-    known = head.isin(KNOWN_TYPES)
-    kind = (
-        F.when(~known, F.lit("exact")).when(head == "bigint", F.lit("int")).otherwise(head)
+    file_form = [F.regexp_extract(text, VOCABULARY_REGEX, i) for i in (1, 2, 3)]
+    # In steps, so that each pattern is matched and each text split once.
+    split_up = (
+        found.withColumn("path", F.nullif(file_form[0], F.lit("")))
+        .withColumn(
+            "_plain",
+            F.when(
+                F.col("path").isNotNull(), F.concat_ws("/", F.lit("text"), *file_form[1:])
+            ).otherwise(text),
+        )
+        .withColumn("_parts", F.split("_plain", "/"))
+        .withColumn("_head", F.element_at("_parts", 1))
+        .withColumn("_known", F.col("_head").isin(KNOWN_TYPES))
     )
+    head, known, count = F.col("_head"), F.col("_known"), F.size("_parts")
+    kind = F.when(~known, F.lit("exact")).when(head == "bigint", F.lit("int")).otherwise(head)
     wanted = (
         F.when(head.startswith("array"), F.lit(5))
-        .when(head.isin("increment", "boolean"), F.size(parts))
+        .when(head.isin("increment", "boolean"), count)
         .otherwise(F.lit(3))
     )
     args = [
-        F.when(known, F.try_element_at(parts, F.lit(i + 2)).try_cast("double")).alias(f"arg{i + 1}")
+        F.when(known, F.get("_parts", i + 1).try_cast("double")).alias(f"arg{i + 1}")
         for i in range(4)
     ]
-    return found.select(
-        "*", kind.alias("kind"), path.alias("path"), *args,
-        (known & (F.size(parts) != wanted)).alias("bad_arity"),
+    return split_up.select(
+        *found.columns, kind.alias("kind"), "path", *args,
+        (known & (count != wanted)).alias("bad_arity"),
     )
 
 

@@ -36,7 +36,7 @@ def count_bins(
     extra = extra or {}
     v = F.col(value).cast("double")
     return (
-        samples.where(v.isNotNull())
+        samples.where(v.isNotNull() & ~F.isnan(v))
         .select(*keys, v.alias("_v"), magnitude_bin(v).alias("_bin"),
                 *[c.alias(n) for n, c in extra.items()])
         .groupBy(*keys, "_bin", *extra)
@@ -65,6 +65,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with ``p<percent>`` columns: sorted[ceil(n * p / 100) - 1].
 
+    Samples that are null or not a number are left out.
+
     ``bins`` may pass in the (materialised) result of ``count_bins``. The tables that say
     where to look further are written to the shared folder, so that the optimizer knows
     their size when it chooses how to join them with the samples.
@@ -89,9 +91,8 @@ def exact_percentiles(
     picks = written_table(picks, "picks")
     # The picked bins hold few samples in all but huge tables: then no finer cut is needed.
     largest = picks.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
-    base = samples.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v")
-    )
+    v = F.col(value).cast("double")
+    base = samples.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
     if largest > distinct_limit:
         picks = written_table(_finer(base, keys, picks), "picks")
     exact = _distinct_values(base, keys, picks)

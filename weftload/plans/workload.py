@@ -17,9 +17,20 @@ from weftload.spec import Template, WorkloadSpec
 Loader = Callable[[str], Vocabulary] | None
 
 
+ROWS_PER_TASK = 1_000_000
+MAX_TASKS = 100_000
+
+
+def _tasks(spark: SparkSession, total: int) -> int:
+    """Enough tasks to use every core, and to keep the output of one task moderate."""
+    wanted = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
+    return min(wanted, MAX_TASKS)
+
+
 def row_ids(spark: SparkSession, total: int) -> DataFrame:
-    """The row source: ids 0..total-1, split over the default parallelism."""
-    return spark.range(total).withColumnRenamed("id", "row_id")
+    """The row source: ids 0..total-1."""
+    ids = spark.range(0, total, 1, _tasks(spark, total))
+    return ids.withColumnRenamed("id", "row_id")
 
 
 def numbered(
@@ -161,7 +172,8 @@ def dense_batches(
     )
     prefix = template.prefix_text(spec.seed, 0, F.lit(0), F.lit(0))
     count = (last - first + 1).cast("int")
-    return spark.range(-(-total // size)).withColumnRenamed("id", "batch_no").select(
+    batches = spark.range(0, -(-total // size), 1, _tasks(spark, total))
+    return batches.withColumnRenamed("id", "batch_no").select(
         F.when(count == size, last).otherwise(F.lit(total)).alias("pos"),
         F.lit(0).alias("template_idx"),
         "batch_no",
