@@ -101,6 +101,15 @@ def test_newest_and_deltas(records):
             assert row.dn is None and row.dt is None
 
 
+def test_newest_by_one_column(records):
+    data, df = records
+    found = mon.newest(df, ["process_index"], ["processed"])
+    best = {}
+    for p, ts, n in data:
+        best[p] = max(best.get(p, (n, ts)), (n, ts))
+    assert {r.process_index: (r.processed, r.ts) for r in found.collect()} == best
+
+
 def test_carry_forward(records):
     data, df = records
     per_tick = mon.newest_per_tick(df, ["process_index"], 60, ["ts", "processed"])

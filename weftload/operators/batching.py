@@ -58,9 +58,13 @@ def assemble(rows: DataFrame, batch_size: int, total: int) -> DataFrame:
     )
 
 
-def first_prefix(rows: DataFrame) -> DataFrame:
-    """The prefix every batch of a template uses: that of the template's first row."""
-    return rows.groupBy("template_idx").agg(F.min_by("prefix", "row_id").alias("prefix"))
+def first_rows(rows: DataFrame) -> DataFrame:
+    """``(template_idx, row_id)`` of each template's first row.
+
+    All batches of a template carry the prefix of that row. Only numbers are aggregated;
+    the prefix is computed for the rows that are left.
+    """
+    return rows.groupBy("template_idx").agg(F.min("row_id").alias("row_id"))
 
 
 def allocate(total: Column, workers: Column, batch: Column) -> Column:

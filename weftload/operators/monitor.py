@@ -46,9 +46,21 @@ def session_count(listing: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFram
     return listing.groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"))
 
 
+FIXED_WIDTH = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date",
+               "timestamp", "timestamp_ntz")
+
+
 def newest(records: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The newest whole record per key; later ``order`` columns break ties."""
+    """The newest whole record per key; later ``order`` columns break ties.
+
+    With one order column and plain numbers or times, the record is kept column by column:
+    a hash aggregate, where a struct needs a sort in every task first. Each column then
+    sees the same rows in the same order, so all come from the same record.
+    """
     rest = [c for c in records.columns if c not in keys]
+    types = dict(records.dtypes)
+    if len(order) == 1 and all(types[c] in FIXED_WIDTH for c in rest):
+        return records.groupBy(*keys).agg(*[F.max_by(c, order[0]).alias(c) for c in rest])
     latest = F.max_by(F.struct(*rest), F.struct(*order))
     return records.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*")
 

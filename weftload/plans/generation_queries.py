@@ -13,7 +13,7 @@ from weftload.functions.text import Vocabulary
 from weftload.operators.batching import (
     allocate,
     batch_number,
-    first_prefix,
+    first_rows,
     values_prefix,
     values_tuple,
 )
@@ -491,11 +491,10 @@ def batch_prefix(spark, folder):
     """All batches of a template carry the prefix of its first row."""
     rows = chosen(spark, folder)
     drawn = key60(42, 0, F.col("row_id"), 0) % 5 + 1
-    own = rows.withColumn(
-        "prefix", F.concat(F.lit("insert into t"), drawn.cast("string"), F.lit(" values"))
-    )
+    prefix = F.concat(F.lit("insert into t"), drawn.cast("string"), F.lit(" values"))
     # One row per weight in the list: a proven bound for the broadcast.
-    return rows.join(F.broadcast(first_prefix(own)), "template_idx")
+    first = first_rows(rows).select("template_idx", prefix.alias("prefix"))
+    return rows.join(F.broadcast(first), "template_idx")
 
 
 @query(

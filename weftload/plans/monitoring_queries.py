@@ -51,13 +51,13 @@ def session_count(spark, folder):
 
 
 def newest_progress(spark, folder, source=USER_PROGRESS) -> DataFrame:
-    return mon.newest(select(spark, folder, source), ["process_index"], ["ts", "processed"])
+    return mon.newest(select(spark, folder, source), ["process_index"], ["processed"])
 
 
 def _newest(rows: str) -> str:
     return (
         "SELECT process_index, ts, processed, qps FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY process_index ORDER BY ts DESC, processed DESC) AS rn FROM {rows}) WHERE rn = 1"
+        f"(PARTITION BY process_index ORDER BY processed DESC) AS rn FROM {rows}) WHERE rn = 1"
     )
 
 
@@ -85,14 +85,14 @@ def progress_files(spark, folder):
 
 NEWEST_PER_HOUR = (
     "(SELECT process_index, tick, ts, processed, qps FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY process_index, tick ORDER BY ts DESC, processed DESC) AS rn FROM "
+    "(PARTITION BY process_index, tick ORDER BY processed DESC) AS rn FROM "
     f"(SELECT *, date_trunc('hour', ts) AS tick FROM {PROGRESS_ROWS})) WHERE rn = 1)"
 )
 
 
 def per_hour(spark, folder) -> DataFrame:
     return mon.newest_per_tick(
-        select(spark, folder, PROGRESS), ["process_index"], HOUR, ["ts", "processed"]
+        select(spark, folder, PROGRESS), ["process_index"], HOUR, ["processed"]
     )
 
 

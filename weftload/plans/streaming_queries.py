@@ -57,7 +57,7 @@ def stream_size(spark, folder):
 @query("stream_last", _newest(PROGRESS_ROWS))
 def stream_last(spark, folder):
     records = stream(spark, folder, PROGRESS, "ts")
-    plan = live.newest_stream(records, ["process_index"], ["ts", "processed"])
+    plan = live.newest_stream(records, ["process_index"], ["processed"])
     return zoneless(live.run_available(plan, "last"), "ts")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftload.functions.text import Vocabulary
-from weftload.operators.batching import assemble, first_prefix
+from weftload.operators.batching import assemble, first_rows
 from weftload.operators.blocks import BLOCK_ROWS
 from weftload.operators.mix import choose_template, template_rank
 from weftload.spec import Template, WorkloadSpec
@@ -131,9 +131,10 @@ def batched_statements(
             "row_id", "template_idx", "rank", prefix.alias("prefix"), tuples.alias("tuple")
         )
         if not all(templates[i].constant_prefix for i in merged):
+            first = first_rows(inserts).withColumn("rank", F.lit(0).cast("bigint"))
             # One row per template of the spec: the broadcast is bounded by its length.
-            first = first_prefix(texts.select("row_id", "template_idx", "prefix"))
-            texts = texts.drop("prefix").join(F.broadcast(first), "template_idx")
+            prefixes = F.broadcast(first.select("template_idx", prefix.alias("prefix")))
+            texts = texts.drop("prefix").join(prefixes, "template_idx")
         parts.append(assemble(texts, spec.batch_size, spec.total))
     if len(merged) < len(templates):
         others = base if not merged else base.where(~F.col("template_idx").isin(merged))
