@@ -82,7 +82,3 @@ def histogram_percentiles(source: str, keys: str, percents: list[int], prefix: s
         f"SELECT {keys}, {BUCKET} AS bucket, count(*) AS n FROM {source} "
         f"WHERE latency_ms IS NOT NULL GROUP BY {keys}, bucket)) GROUP BY {keys})"
     )
-
-
-def rate(n: str, rate_seconds: int, tick_seconds: int) -> str:
-    return f"CAST(round({n} * {rate_seconds} / {tick_seconds}) AS BIGINT)"

@@ -7,7 +7,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -17,7 +17,6 @@ from weftload.functions.patterns import (
     Increment,
     Pattern,
     Slot,
-    Text,
     parse_pattern,
     placeholder_regex,
 )
