@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import packing
+from weftload.llm import packing, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -15,3 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, folder, "documents"))
