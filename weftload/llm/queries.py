@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import packing, toxicity, wordpiece
+from weftload.llm import interpolation, packing, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -25,3 +25,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, folder, "documents"))
+
+
+@query("op4_lm_scores")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.lm_scores(table(spark, folder, "documents"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,8 @@ NEIGHBOURS, BLOCK, BINS = 15, 64, 10
 FOLDS = 5
 
 
-def stripped(words) -> pa.Array:
+def stripped(words: pa.Array) -> pa.Array:
     """Words without punctuation at their ends."""
-    import pyarrow.compute as pc
-
     return pc.ascii_trim(words, ".,;:!?\"'()[]{}|*#&%$<>-_")
 
 
@@ -77,7 +76,7 @@ def choose_terms(examples: DataFrame) -> list[str]:
     found = found.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"n1 + n0 >= {LEAST_DOCS} AND term <> ''")
     have, total = F.col("n1") + F.col("n0"), all1 + all0
     gap = F.col("n1") * F.lit(all0) - F.col("n0") * F.lit(all1)
-    chi = gap * gap * total / (have * (F.lit(total) - have) * all1 * all0)
+    chi = F.try_divide(gap * gap * total, have * (F.lit(total) - have) * all1 * all0)
     rows = found.select("term", chi.alias("chi")).where(F.col("chi") >= DIFFERENCE).orderBy(F.desc("chi"), "term").limit(TERMS)
     return sorted(r.term for r in rows.collect())
 
@@ -145,7 +144,7 @@ class Index:
                 places, scores = places[other], scores[other]
             if len(places) > NEIGHBOURS:
                 kept = np.lexsort((self.ids[places], -np.round(scores, 12)))[:NEIGHBOURS]
-                places, scores, = places[kept], scores[kept]
+                places, scores = places[kept], scores[kept]
                 least = scores[-1]
         self.dense[term] = 0
         kept = np.lexsort((self.ids[places], -np.round(scores, 12)))
