@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import interpolation, packing, toxicity, wordpiece
+from weftload.llm import decontaminate, interpolation, packing, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -30,3 +30,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_lm_scores")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return interpolation.lm_scores(table(spark, folder, "documents"))
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark").select("item_id", *decontaminate.question_answer())
+    return decontaminate.leaks(table(spark, folder, "documents"), items)
