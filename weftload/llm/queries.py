@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import decontaminate, interpolation, packing, toxicity, wordpiece
+from weftload.llm import chat, decontaminate, interpolation, packing, secrets, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -36,3 +36,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark").select("item_id", *decontaminate.question_answer())
     return decontaminate.leaks(table(spark, folder, "documents"), items)
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+@query("op5_chat_collapse", chat.RENDER_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(table(spark, folder, "conversations"))
