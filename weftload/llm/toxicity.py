@@ -25,6 +25,9 @@ from weftload.session import written_table
 PER_LABEL = 6000
 #: Terms at most, and how far the labels must differ on one (chi-squared, one degree).
 TERMS, DIFFERENCE, LEAST_DOCS = 4096, 24.0, 4
+#: ... and how many times likelier a term must be under one label. It keeps out words that only follow the
+#: language of the examples, which nearly every text holds.
+LIFT = 4.0
 NEIGHBOURS, BLOCK, BINS = 15, 64, 10
 FOLDS = 5
 
@@ -77,6 +80,8 @@ def choose_terms(examples: DataFrame) -> list[str]:
     have, total = F.col("n1") + F.col("n0"), all1 + all0
     gap = F.col("n1") * F.lit(all0) - F.col("n0") * F.lit(all1)
     chi = F.try_divide(gap * gap * total, have * (F.lit(total) - have) * all1 * all0)
+    lift = ((F.col("n1") + 0.5) / all1) / ((F.col("n0") + 0.5) / all0)
+    found = found.where((lift >= LIFT) | (lift <= 1 / LIFT))
     rows = found.select("term", chi.alias("chi")).where(F.col("chi") >= DIFFERENCE).orderBy(F.desc("chi"), "term").limit(TERMS)
     return sorted(r.term for r in rows.collect())
 
