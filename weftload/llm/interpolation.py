@@ -26,9 +26,9 @@ from weftload.llm.words import mix, slices, split_words
 from weftload.session import written_table
 
 FOLDS, HELD_FOLD = 7, 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text for each part of the key space: its keys must fit in a task.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 END, WORD_KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS, FINE = 48, 8
 ROUNDS = 60
@@ -41,6 +41,17 @@ COUNTED = (
 )
 
 
+def pressed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Byte planes side by side, compressed: most numbers are small."""
+    width = np.dtype(kind).itemsize
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unpressed(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def lookups(table: pa.Table) -> dict[str, np.ndarray]:
     """Tokens of a chunk, its different keys in order, and each token's keys among them.
 
@@ -72,7 +83,7 @@ def ask(bits: int):
         parts, first = np.unique(part, return_index=True)
         cuts = list(zip(first, [*first[1:], len(part)]))
         return pa.table(
-            [[key[0].as_py()] * len(parts), parts.astype(np.int32), [got["keys"][a:b].astype("<u8").tobytes() for a, b in cuts], [counts[a:b].tobytes() for a, b in cuts]],
+            [[key[0].as_py()] * len(parts), parts.astype(np.int32), [pressed(np.diff(got["keys"][a:b], prepend=np.uint64(0)), "<u8") for a, b in cuts], [pressed(counts[a:b]) for a, b in cuts]],
             schema=pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]),
         )
 
@@ -86,13 +97,13 @@ def held(table: pa.Table) -> np.ndarray:
 def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Counts over all chunks, for each chunk in the order it asked; chunk -1 gets the part's totals."""
     chunks = table.column("chunk").to_pylist()
-    keys = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("keys").combine_chunks()]
-    counts = [np.frombuffer(b.as_buffer(), "<u4") for b in table.column("counts").combine_chunks()]
+    keys = [np.cumsum(unpressed(b.as_py(), "<u8"), dtype=np.uint64) for b in table.column("keys").combine_chunks()]
+    counts = [unpressed(b.as_py()) for b in table.column("counts").combine_chunks()]
     different, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts), len(different)).astype(np.int64)
     words = (different & np.uint64(1)) == 1
     ends = np.cumsum([len(k) for k in keys])
-    told = [np.minimum(total[place[e - len(k) : e]], (1 << 32) - 1).astype("<u4").tobytes() for e, k in zip(ends, keys)]
+    told = [pressed(np.minimum(total[place[e - len(k) : e]], (1 << 32) - 1)) for e, k in zip(ends, keys)]
     n, part = len(chunks), key[0].as_py()
     return pa.table(
         [[*chunks, -1], [part] * (n + 1), [*told, b""], [0] * n + [int((words & (total > 0)).sum())], [0] * n + [int(total[words].sum())]],
@@ -100,16 +111,6 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     )
 
 
-def pressed(numbers: np.ndarray) -> bytes:
-    """Byte planes side by side, compressed: most counts are small."""
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def unpressed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """Contexts never seen, seen once, twice, up to 4, 8, ... times."""
     return np.minimum(np.ceil(np.log2(np.maximum(context, 1))).astype(np.int64) + (context > 0), BUCKETS - 1)
@@ -133,7 +134,7 @@ def count(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Tabl
         return pa.table(out, schema=SCHEMA)
     got = lookups(docs)
     told = told.sort_by("part")
-    counts = np.concatenate([np.frombuffer(b.as_buffer(), "<u4") for b in told.column("counts").combine_chunks()]).astype(np.int64)
+    counts = np.concatenate([unpressed(b.as_py()) for b in told.column("counts").combine_chunks()]).astype(np.int64)
     single, double, starts = counts[got["single"]], counts[got["double"]], got["starts"]
     n = np.diff(starts)
     rows = np.repeat(np.arange(len(n)), n)
@@ -221,7 +222,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int =
         for batch in slices(batches, "seen", 2 << 20):
             scores = []
             for data, n in zip(batch.column("seen"), batch.column("n_tokens").to_pylist()):
-                seen = unpressed(data.as_py())
+                seen = unpressed(data.as_py()).astype(np.int64)
                 single, double = seen[:n], seen[n : 2 * n]
                 context = np.concatenate([seen[2 * n :], single[:-1]])
                 scores.append(float(log_probability(single, double, context, mixture, tokens, types).sum()))
