@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import chat, decontaminate, interpolation, packing, secrets, toxicity, wordpiece
+from weftload.llm import chat, decontaminate, interpolation, jaccard_tree, packing, secrets, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -46,3 +46,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_chat_collapse", chat.RENDER_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(table(spark, folder, "conversations"))
+
+
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_tree.jaccard_components(table(spark, folder, "documents"), n=4, percent=85)
