@@ -1,8 +1,8 @@
 """N-gram Jaccard join: which documents link, and the components that the links make.
 
 Two sets link when their shingles overlap enough: J >= p / 100. Equal sets are one node. Nodes are
-first brought together without loss: sets that link differ in at most k elements, so of the k + 1
-parts that a hash cuts them into, one is equal in both. Nodes that share an equal part form
+first brought together without loss: sets that link differ in at most k elements, so of more
+than k parts that a hash cuts them into, one is equal in both. Nodes that share an equal part form
 clusters; inside a cluster a signature tree finds the links. Tree nodes hold OR-combined bitmaps
 of the shingles and size ranges; two tree nodes are visited together only if their maximum
 possible overlap can make a link, and only while they are not yet one component.
@@ -72,7 +72,8 @@ class Parts:
         for c in range(first, last + 1):
             high = self.edges[c + 1] - 1
             most = self.differences(high)
-            part = ((s >> np.uint64(11)) % np.uint64(most + 1)).astype(np.int64)
+            spare = 1 + most // 10 if most else 0  # parts that may be empty
+            part = ((s >> np.uint64(11)) % np.uint64(most + 1 + spare)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             at, begin = np.unique(part[order], return_index=True)
             with np.errstate(over="ignore"):
