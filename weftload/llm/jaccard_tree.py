@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftload.llm.components import Filter, components
-from weftload.llm.words import Words, mix, slices, split_words
+from weftload.llm.words import Words, mix, pressed, slices, split_words, unpressed
 from weftload.session import written_table
 
 #: Elements of sets that a task compares: larger clusters are cut into blocks of this size.
@@ -47,6 +48,17 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
+def packed(text: str) -> bytes:
+    """A text on its way to a task: about a quarter of its shingles' hashes."""
+    return zstandard.ZstdCompressor(level=3).compress(text.encode())
+
+
+def unpacked(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Shingles of packed texts."""
+    texts = [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in column]
+    return shingle_sets(split_words(pa.array(texts, pa.binary()).cast(pa.string())), n)
+
+
 def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -109,13 +121,13 @@ def shared_keys(docs: DataFrame, n: int, percent: int) -> Filter:
             cuts = list(zip(begin, [*begin[1:], len(keys)]))
             # within a slice a key of several nodes is told by standing twice
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array([np.repeat(keys[a:b], np.minimum(count[a:b], 2)).tobytes() for a, b in cuts], pa.binary())], ["part", "keys"]
+                [pa.array(at, pa.int32()), pa.array([pressed(np.repeat(keys[a:b], np.minimum(count[a:b], 2))) for a, b in cuts], pa.binary())], ["part", "keys"]
             )
 
     def shared(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in tables:
-            held += [np.frombuffer(b.as_buffer(), np.uint64) for b in batch.column("keys")]
+            held += [unpressed(b.as_py()) for b in batch.column("keys")]
         keys, count = np.unique(np.concatenate(held), return_counts=True)
         keys = keys[count > 1]
         place = Filter.place(keys) // Filter.SLICE
@@ -148,20 +160,21 @@ def members(docs: DataFrame, n: int, percent: int, known: Filter) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int, wanted: Filter) -> DataFrame:
-    """(node, n, shingles) of nodes that the filter holds, at least once each."""
+    """(node, n, text) of nodes that the filter holds, at least once each; n shingles, packed texts."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
             out = {}
-            for _, s in sets_in(batch, n):
+            for i, s in sets_in(batch, n):
                 if len(s) and (node := node_of(s)) not in seen and node not in out and shared.value.holds(np.array([node]))[0]:
-                    out[node] = s
+                    out[node] = len(s), packed(batch.column("text")[i].as_py())
             seen.update(out)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(map(len, out.values()), pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], ["node", "n", "shingles"])
+            sizes, texts = zip(*out.values()) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["node", "n", "packed"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, packed binary")
 
 
 class Tree:
@@ -255,13 +268,13 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     return out
 
 
-def links_in_tasks(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (task, side, node, shingles): side 0 is joined with side 1, or with itself if a task has no side 1."""
+def links_in_tasks(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) from rows (cluster, block, part, side, node, packed): side 0 is joined with side 1, or with itself if a task has no side 1."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("shingles").combine_chunks()]
+        sets = unpacked(table.column("packed").combine_chunks(), n)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         both = np.concatenate([left, right])
         pairs = tree_links([sets[i] for i in left], [sets[i] for i in right] if len(right) else None, percent) if len(left) and len(both) > 1 else []
@@ -271,38 +284,40 @@ def links_in_tasks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "block", "part").applyInArrow(run, "a long, b long")
 
 
-def links(sets: DataFrame, clusters: DataFrame, percent: int, task_elements: int) -> DataFrame:
+def links(sets: DataFrame, clusters: DataFrame, n: int, percent: int, task_elements: int) -> DataFrame:
     """Links (a, b) between nodes, enough for the components."""
     rows = written_table(sets.dropDuplicates(["node"]).join(clusters.withColumnRenamed("root", "cluster"), "node"), "sets")
     sizes = rows.groupBy("cluster").agg(F.sum("n").alias("held"), F.min("node").alias("first"))
     sizes = written_table(sizes.withColumn("blocks", F.ceil(F.col("held") / task_elements)), "sizes")
     rows = rows.join(sizes, "cluster")
-    small = rows.where("blocks = 1").select("cluster", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(0).alias("side"), "node", "shingles")
-    found = links_in_tasks(small, percent)
+    small = rows.where("blocks = 1").select("cluster", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(0).alias("side"), "node", "packed")
+    found = links_in_tasks(small, n, percent)
     if not sizes.where("blocks > 1").limit(1).count():
         return found
 
     def pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for s, t in zip(batch.column("shingles"), batch.column("pivot")):
-                s, t = (np.frombuffer(x.as_buffer(), np.uint64) for x in (s, t))
+            pivots = batch.column("pivot").dictionary_encode()
+            firsts = unpacked(pivots.dictionary, n)
+            for s, k in zip(unpacked(batch.column("packed"), n), pivots.indices.to_pylist()):
+                t = firsts[k]
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "first", "blocks", "node", "n", "shingles")), pa.array(linked, pa.bool_())], ["cluster", "first", "blocks", "node", "n", "shingles", "linked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "first", "blocks", "node", "n", "packed")), pa.array(linked, pa.bool_())], ["cluster", "first", "blocks", "node", "n", "packed", "linked"])
 
-    large = rows.where("blocks > 1").select("cluster", "first", "blocks", "node", "n", "shingles")
-    firsts = large.where("node = first").select("cluster", F.col("shingles").alias("pivot"))
-    tested = large.join(firsts, "cluster").mapInArrow(pivot, "cluster long, first long, blocks long, node long, n long, shingles binary, linked boolean")
+    large = rows.where("blocks > 1").select("cluster", "first", "blocks", "node", "n", "packed")
+    firsts = large.where("node = first").select("cluster", F.col("packed").alias("pivot"))
+    tested = large.join(firsts, "cluster").mapInArrow(pivot, "cluster long, first long, blocks long, node long, n long, packed binary, linked boolean")
     tested = written_table(tested, "tested")
     star = tested.where("linked AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     rest = tested.where("NOT linked").groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("parts"))
     open_ = tested.join(rest, "cluster")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     part = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int")
-    left = open_.select("cluster", block.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(0).alias("side"), "node", "shingles")
-    right = open_.where("NOT linked").select("cluster", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "shingles")
-    return found.unionByName(star).unionByName(links_in_tasks(left.unionByName(right), percent))
+    left = open_.select("cluster", block.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(0).alias("side"), "node", "packed")
+    right = open_.where("NOT linked").select("cluster", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "packed")
+    return found.unionByName(star).unionByName(links_in_tasks(left.unionByName(right), n, percent))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, task_elements: int = TASK_ELEMENTS) -> DataFrame:
@@ -322,7 +337,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, task_elem
     meet = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
     edges = keyed.join(meet, "key").where("node <> a").select("a", F.col("node").alias("b"))
     clusters = written_table(components(edges), "clusters")
-    found = links(sets_of(docs, n, Filter.of(clusters, "node")), clusters, percent, task_elements)
+    found = links(sets_of(docs, n, Filter.of(clusters, "node")), clusters, n, percent, task_elements)
     roots = written_table(components(found), "roots")
     least = held.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     least = written_table(least, "least")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 SLICE_BYTES = 8 << 20
 
@@ -68,6 +69,17 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def pressed(rising: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as byte planes of their differences, compressed."""
+    steps = np.diff(rising, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of start, start + 1, ... for each pair."""
     lengths = lengths.astype(np.int64)
