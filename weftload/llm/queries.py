@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftload.llm import chat, decontaminate, interpolation, jaccard_tree, packing, secrets, toxicity, wordpiece
+import corpus_pipeline
+from weftload.llm import chat, decontaminate, fingerprint, interpolation, jaccard_tree, packing, secrets, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -51,3 +52,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_tree.jaccard_components(table(spark, folder, "documents"), n=4, percent=85)
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
