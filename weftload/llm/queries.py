@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weftload.llm import chat, decontaminate, fingerprint, interpolation, jaccard_tree, packing, secrets, toxicity, wordpiece
+from weftload.llm import chat, decontaminate, fingerprint, interpolation, jaccard_tree, packing, repeats, secrets, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -60,3 +60,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+@query("op8_repeats")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
