@@ -13,6 +13,7 @@ component already, and the rest meets all blocks of the cluster in separate task
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,54 +218,74 @@ class Union:
 def may_link(x: Tree, i: np.ndarray, y: Tree, j: np.ndarray, level: tuple[int, int], percent: int) -> np.ndarray:
     """For all pairs of tree nodes (i of x, j of y): can the maximum possible overlap make a link?"""
     (a, la, ha, sa), (b, lb, hb, sb) = x.levels[level[0]], y.levels[level[1]]
+    sizes = (100 * ha[i][:, None] >= percent * lb[j][None, :]) & (100 * hb[j][None, :] >= percent * la[i][:, None])
+    if not sizes.any():
+        return sizes
     both = np.bitwise_count(a[i][:, None, :] & b[j][None, :, :]).sum(2, dtype=np.int64)
     overlap = both + np.minimum(sa[i][:, None], sb[j][None, :])  # shared bits, and elements that share a bit with others
     overlap = np.minimum(overlap, np.minimum(ha[i][:, None], hb[j][None, :]))
     need = percent * (la[i][:, None] + lb[j][None, :])
-    sizes = (100 * ha[i][:, None] >= percent * lb[j][None, :]) & (100 * hb[j][None, :] >= percent * la[i][:, None])
     return sizes & ((100 + percent) * overlap >= need)
 
 
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links that join left sets with right ones (None: with each other), as many as make the components."""
-    longest = max(map(len, left + (right or [])))
-    bits = 1 << max(9, int(np.ceil(np.log2(8 * longest))))
-    step = max(1, (64 << 20) // bits)  # rows of one tree: its bitmaps take at most 64 MB while they are made
-    chunks = lambda sets: [(k, Tree(sets[k : k + step], bits)) for k in range(0, len(sets), step)]
-    xs = chunks(left)
-    ys = xs if right is None else chunks(right)
+    made: dict[tuple[int, int, int], list[tuple[np.ndarray, Tree]]] = {}
+    sides = [left] if right is None else [left, right]
+    classes = [defaultdict(list) for _ in sides]  # sets of like size share trees: bitmaps as long as these sets need
+    for held, sets in zip(classes, sides):
+        for i, s in enumerate(sets):
+            held[int(np.log(len(s)) / np.log(100 / percent))].append(i)
+
+    def trees(side: int, kind: int, bits: int) -> list[tuple[np.ndarray, Tree]]:
+        if (side, kind, bits) not in made:
+            mine, step = classes[side][kind], max(1, (32 << 20) // bits)  # a tree's bitmaps take at most 32 MB while they are made
+            made[side, kind, bits] = [(np.array(mine[k : k + step]), Tree([sides[side][i] for i in mine[k : k + step]], bits)) for k in range(0, len(mine), step)]
+        return made[side, kind, bits]
+
     base = 0 if right is None else len(left)
     union, out = Union(len(left) + len(right or [])), []
 
-    def joined(x: Tree, i: int, y: Tree, j: int, where: tuple[int, int]) -> bool:
-        return union.root(where[0] + x.order[i]) == union.root(where[1] + y.order[j])
-
-    for a, (ka, x) in enumerate(xs):
-        for kb, y in ys[a:] if right is None else ys:
-            where, same = (ka, base + kb), x is y
-            todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
-            while todo:
-                lx, i, ly, j = todo.pop()
-                if lx == 0 and ly == 0:
-                    if (same and i >= j) or joined(x, i, y, j, where):
-                        continue
-                    s, t = x.sets[i], y.sets[j]
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * common >= percent * (len(s) + len(t) - common):
-                        p, q = where[0] + x.order[i], where[1] + y.order[j]
-                        union.up[union.root(p)] = union.root(q)
-                        out.append((p, q))
+    def pairs() -> Iterator[tuple[np.ndarray, Tree, np.ndarray, Tree]]:
+        """Trees whose sizes allow links."""
+        other = len(sides) - 1
+        for kind in sorted(classes[0]):
+            for near in range(kind - 1, kind + 2) if other else (kind, kind + 1):
+                if near not in classes[other]:
+                    continue
+                longest = max(max(len(sides[k][i]) for i in classes[k][c]) for k, c in ((0, kind), (other, near)))
+                bits = 1 << max(9, int(np.ceil(np.log2(8 * longest))))
+                xs, ys = trees(0, kind, bits), trees(other, near, bits)
+                for k, (wx, x) in enumerate(xs):
+                    yield from ((wx, x, wy, y) for wy, y in (ys[k:] if xs is ys else ys))
+            for key in [k for k in made if k[1] < kind - 1]:
+                del made[key]
+
+    for wx, x, wy, y in pairs():
+        wx, wy, same = wx[x.order], base + wy[y.order], x is y
+        todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
+        while todo:
+            lx, i, ly, j = todo.pop()
+            if lx == 0 and ly == 0:
+                if (same and i >= j) or union.root(wx[i]) == union.root(wy[j]):
+                    continue
+                s, t = x.sets[i], y.sets[j]
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * common >= percent * (len(s) + len(t) - common):
+                    p, q = int(wx[i]), int(wy[j])
+                    union.up[union.root(p)] = union.root(q)
+                    out.append((p, q))
+                continue
+            down_x = lx > 0 and lx >= ly
+            down_y = ly > 0 and ly >= lx
+            ci = x.children(lx, i) if down_x else np.array([i])
+            cj = y.children(ly, j) if down_y else np.array([j])
+            level = lx - down_x, ly - down_y
+            ok = may_link(x, ci, y, cj, level, percent)
+            for u, v in np.argwhere(ok)[::-1].tolist():
+                if same and level[0] == level[1] and ci[u] > cj[v]:
                     continue
-                down_x = lx > 0 and lx >= ly
-                down_y = ly > 0 and ly >= lx
-                ci = x.children(lx, i) if down_x else np.array([i])
-                cj = y.children(ly, j) if down_y else np.array([j])
-                level = lx - down_x, ly - down_y
-                ok = may_link(x, ci, y, cj, level, percent)
-                for u, v in np.argwhere(ok)[::-1].tolist():
-                    if same and level[0] == level[1] and ci[u] > cj[v]:
-                        continue
-                    todo.append((level[0], int(ci[u]), level[1], int(cj[v])))
+                todo.append((level[0], int(ci[u]), level[1], int(cj[v])))
     return out
 
 
