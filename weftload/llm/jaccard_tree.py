@@ -28,7 +28,7 @@ from weftload.llm.words import Words, mix, pressed, slices, split_words, unpress
 from weftload.session import written_table
 
 #: Elements of sets that a task compares: larger clusters are cut into blocks of this size.
-TASK_ELEMENTS = 2_000_000
+TASK_ELEMENTS = 500_000
 LEAF, FAN = 8, 4
 
 
@@ -56,8 +56,11 @@ def packed(text: str) -> bytes:
 
 def unpacked(column: pa.Array, n: int) -> list[np.ndarray]:
     """Shingles of packed texts."""
-    texts = [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in column]
-    return shingle_sets(split_words(pa.array(texts, pa.binary()).cast(pa.string())), n)
+    out = []
+    for k in range(0, len(column), 64):
+        texts = [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in column[k : k + 64]]
+        out += shingle_sets(split_words(pa.array(texts, pa.binary()).cast(pa.string())), n)
+    return out
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -239,7 +242,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
     def trees(side: int, kind: int, bits: int) -> list[tuple[np.ndarray, Tree]]:
         if (side, kind, bits) not in made:
-            mine, step = classes[side][kind], max(1, (32 << 20) // bits)  # a tree's bitmaps take at most 32 MB while they are made
+            mine, step = classes[side][kind], max(1, (8 << 20) // bits)  # a tree's bitmaps take at most 8 MB while they are made
             made[side, kind, bits] = [(np.array(mine[k : k + step]), Tree([sides[side][i] for i in mine[k : k + step]], bits)) for k in range(0, len(mine), step)]
         return made[side, kind, bits]
 
