@@ -51,10 +51,10 @@ def test_likeness_is_exact_where_peeling_ends(spark):
     rows = [(a, b, shared) for a in (0, 1, 5, 20, 60) for b in (0, 3, 20, 70) for shared in (0, 1, 4, 18) if shared <= min(a, b)]
     df = spark.createDataFrame([([f"s{i}" for i in range(s)] + [f"a{i}" for i in range(a - s)], [f"s{i}" for i in range(s)] + [f"b{i}" for i in range(b - s)]) for a, b, s in rows], "a array<string>, b array<string>")
     hashed = [F.transform(c, lambda x: F.xxhash64(x)) for c in ("a", "b")]
-    got = df.select(F.size("a").alias("a"), F.size("b").alias("b"), fp.likeness(fp.sketch(hashed[0]), fp.sketch(hashed[1])).alias("near"), F.size(F.array_intersect("a", "b")).alias("s")).collect()
+    got = df.select(F.size("a").alias("na"), F.size("b").alias("nb"), fp.likeness(fp.sketch(hashed[0]), fp.sketch(hashed[1])).alias("near"), F.size(F.array_intersect("a", "b")).alias("s")).collect()
     close = 0
     for r in got:
-        union = r.a + r.b - r.s
+        union = r.na + r.nb - r.s
         true = r.s / union if union else 1.0
         assert abs(r.near - true) < 0.3
         close += abs(r.near - true) < 1e-9
