@@ -4,7 +4,7 @@ A text is cut into paragraphs at sentence ends, fewer for longer texts. Every pa
 goes into one cell of each third of the sketch; a cell keeps how many digests it holds, and the
 exclusive or of them and of their checks. Two sketches are folded to a common size and subtracted,
 which leaves the digests that only one version has; cells that hold a single one are peeled until
-all are known. A sketch of half the size is tried first, the whole one if that fails.
+all are known. If that fails, the sketches are peeled again at their own, larger sizes.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from weftload.session import written_table
 
 #: Characters of a text for which every sentence end may end a paragraph; twice as many halve that chance.
-DENSE_CHARS = 1024
+DENSE_CHARS = 512
 #: Rounds of peeling: each doubles, at least, how far the knowledge reaches.
 ROUNDS = 14
-LEAST_POWER = 2
+LEAST_POWER = 3
 SMALLEST = -(1 << 63)
 
 
@@ -35,26 +35,17 @@ def paragraphs(text: Column) -> Column:
     """Digests of the different paragraphs."""
     rare = width(F.floor(F.log2(F.greatest(F.length(text) / DENSE_CHARS, F.lit(1.0)))).cast("int"))
     sentences = F.split(text, r"(?<=[.!?|\n])[ \n]+")
-    marked = F.transform(sentences, lambda s: F.concat(s, F.when(F.pmod(F.xxhash64(F.lit(7), s), rare) == 0, F.lit("\x01")).otherwise(F.lit(" "))))
-    parts = F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p))))
-
-
-def power(units: Column) -> Column:
-    """A third of the sketch has 2 ** power cells: half as many as there are digests, or more."""
-    return F.greatest(F.lit(LEAST_POWER), F.ceil(F.log2(F.greatest(units, F.lit(1)) / 2.0)).cast("int"))
 
+    def marked(r: Column) -> Column:
+        return F.transform(sentences, lambda s: F.concat(s, F.when(F.pmod(F.xxhash64(F.lit(7), s), r) == 0, F.lit("\x01")).otherwise(F.lit(" "))))
 
-def spread(digests: Column, power_: Column) -> Column:
-    """Each digest with its three cells: array of struct(at, k, c)."""
+    parts = F.filter(F.split(F.array_join(let(rare, marked), ""), "\x01"), lambda p: F.trim(p) != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p))))
 
-    def cells(d: Column) -> Column:
-        places = [
-            third * width(power_) + F.call_function("shiftright", d, F.lit(18 * third)).bitwiseAND((width(power_) - 1).cast("long")).cast("int") for third in range(3)
-        ]
-        return let(check_of(d), lambda c: F.array(*[F.struct(p.alias("at"), d.alias("k"), c.alias("c")) for p in places]))
 
-    return F.flatten(F.transform(digests, cells))
+def power(units: Column) -> Column:
+    """A third of the sketch has 2 ** power cells, as many as there are digests or more."""
+    return F.greatest(F.lit(LEAST_POWER), F.ceil(F.log2(F.greatest(units, F.lit(1)).cast("double"))).cast("int"))
 
 
 def check_of(digest: Column) -> Column:
@@ -73,15 +64,29 @@ def plus(a: Column, b: Column, sign: int = 1) -> Column:
     return cell(a["n"] + sign * b["n"], a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"]))
 
 
+def placed(n: Column, k: Column, c: Column, cells: Column) -> Column:
+    """A digest with its count, its check and where it lies in each third of that many cells."""
+    places = [F.call_function("shiftright", k, F.lit(18 * third)).bitwiseAND((cells - 1).cast("long")).cast("int").alias(f"p{third}") for third in range(3)]
+    return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"), *places)
+
+
+def laid(items: Column, third: int, at: Column, start: Column, sign: int) -> Column:
+    """A cell of one third after adding the items that lie there."""
+    return F.aggregate(F.filter(items, lambda d: d[f"p{third}"] == at), start, lambda acc, d: plus(acc, d, sign))
+
+
 def sketch(digests: Column) -> Column:
     """struct(units, power, cells)."""
 
     def filled(p: Column) -> Column:
-        def cells(items: Column) -> Column:
-            one = lambda i: F.aggregate(F.filter(items, lambda x: x["at"] == i), nothing(), lambda acc, x: plus(acc, cell(F.lit(1), x["k"], x["c"])))
-            return F.transform(F.sequence(F.lit(0), 3 * width(p) - 1), one)
+        def thirds(items: Column) -> Column:
+            def one(third: int) -> Column:
+                return F.transform(F.sequence(F.lit(0), width(p) - 1), lambda at: laid(items, third, at, nothing(), 1))
 
-        return F.struct(F.size(digests).alias("units"), p.alias("power"), let(spread(digests, p), cells).alias("cells"))
+            return F.concat(*map(one, range(3)))
+
+        items = let(width(p), lambda w: F.transform(digests, lambda d: placed(F.lit(1), d, check_of(d), w)))
+        return F.struct(F.size(digests).alias("units"), p.alias("power"), let(items, thirds).alias("cells"))
 
     return let(power(F.size(digests)), filled)
 
@@ -90,34 +95,42 @@ def folded(cells: Column, from_: Column, to: Column) -> Column:
     """A smaller sketch of the same digests: halves of each third laid over each other."""
 
     def half(state: Column) -> Column:
-        def laid(w: Column) -> Column:
+        def over(w: Column) -> Column:
             return F.transform(
                 F.sequence(F.lit(0), 3 * w - 1),
                 lambda i: let((F.floor(i / w) * w + i).cast("int"), lambda j: plus(F.get(state, j), F.get(state, j + w))),
             )
 
-        return let(F.floor(F.size(state) / 6).cast("int"), laid)
+        return let(F.floor(F.size(state) / 6).cast("int"), over)
 
-    steps = F.when(from_ > to, F.sequence(F.lit(1), F.greatest(from_ - to, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, cells, lambda state, _: half(state))
+    smaller = F.aggregate(F.sequence(F.lit(1), F.greatest(from_ - to, F.lit(1))), cells, lambda state, _: half(state))
+    return F.when(from_ > to, smaller).otherwise(cells)
 
 
 def peeled(cells: Column, power_: Column) -> Column:
-    """How many digests the difference holds, or null if they can't all be recovered."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    """The digests of a sketch or a difference of two, or null if they can't all be recovered."""
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("more"))
 
     def one_round(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check_of(c["k"]) == c["c"]))
 
         def without(known: Column) -> Column:
-            signed = F.flatten(F.transform(known, lambda d: F.transform(spread(F.array(d["k"]), power_), lambda x: F.struct(x["at"].alias("at"), d.alias("d")))))
+            def left(w: Column) -> Column:
+                def thirds(items: Column) -> Column:
+                    def one(third: int) -> Column:
+                        return F.transform(F.slice(state["cells"], third * w + 1, w), lambda c, at: laid(items, third, at, c, -1))
 
-            def left(items: Column) -> Column:
-                return F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(items, lambda x: x["at"] == i), c, lambda acc, x: plus(acc, x["d"], -1)))
+                    return F.concat(*map(one, range(3)))
 
-            return F.when(F.size(known) > 0, F.struct(let(signed, left).alias("cells"), (state["found"] + F.size(known)).alias("found"))).otherwise(state)
+                return let(F.transform(known, lambda d: placed(d["n"], d["k"], d["c"], w)), thirds)
 
-        return let(F.array_distinct(single), without)
+            fewer = F.struct(
+                let(width(power_), left).alias("cells"), F.concat(state["found"], F.transform(known, lambda d: d["k"])).alias("found"), F.lit(True).alias("more")
+            )
+            stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))
+            return F.when(F.size(known) > 0, fewer).otherwise(stuck)
+
+        return F.when(state["more"], let(F.array_distinct(single), without)).otherwise(state)
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
     return let(end, lambda e: F.when(F.forall(e["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)), e["found"]))
@@ -126,18 +139,25 @@ def peeled(cells: Column, power_: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Shared paragraphs among all paragraphs of two sketches, 0 to 1; two texts without any are alike (1).
 
-    If not even the larger sketch can be peeled, the number of differing digests is estimated from its
-    empty cells."""
+    The difference at the size of the smaller sketch is peeled first. If that fails, each sketch is peeled
+    at its own, larger size, which holds at least as many cells in a third as digests, and the digests are
+    compared. Where several digests share all three cells even that fails; only then the number of
+    differing digests is estimated from the empty cells."""
+
     def at(p: Column) -> Column:
-        small = F.greatest(p - 1, F.lit(0))
         whole = F.zip_with(folded(a["cells"], a["power"], p), folded(b["cells"], b["power"], p), lambda x, y: plus(x, y, -1))
 
-        def estimated(d: Column) -> Column:
+        def recovered(d: Column) -> Column:
             empty = F.size(F.filter(d, lambda c: (c["n"] == 0) & (c["k"] == 0))) / (3.0 * width(p))
             guess = F.round(-F.log(F.greatest(empty, 1 / (6.0 * width(p)))) * width(p))
-            return F.coalesce(peeled(folded(d, p, small), small), peeled(d, p), guess)
+            first = let(peeled(d, p), lambda x: F.when(x.isNotNull(), F.size(x)))
+            larger = let(
+                F.struct(peeled(a["cells"], a["power"]).alias("a"), peeled(b["cells"], b["power"]).alias("b")),
+                lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), a["units"] + b["units"] - 2 * F.size(F.array_intersect(x["a"], x["b"]))),
+            )
+            return F.coalesce(first, larger, guess)
 
-        return let(whole, estimated)
+        return let(whole, recovered)
 
     units = a["units"] + b["units"]
     found = let(F.least(a["power"], b["power"]), at)
