@@ -85,7 +85,7 @@ def sketch(digests: Column) -> Column:
 
             return F.concat(*map(one, range(3)))
 
-        items = let(width(p), lambda w: F.transform(digests, lambda d: placed(F.lit(1), d, check_of(d), w)))
+        items = F.transform(digests, lambda d: placed(F.lit(1), d, check_of(d), width(p)))
         return F.struct(F.size(digests).alias("units"), p.alias("power"), let(items, thirds).alias("cells"))
 
     return let(power(F.size(digests)), filled)
@@ -115,18 +115,17 @@ def peeled(cells: Column, power_: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check_of(c["k"]) == c["c"]))
 
         def without(known: Column) -> Column:
-            def left(w: Column) -> Column:
-                def thirds(items: Column) -> Column:
-                    def one(third: int) -> Column:
-                        return F.transform(F.slice(state["cells"], third * w + 1, w), lambda c, at: laid(items, third, at, c, -1))
+            w = width(power_)
 
-                    return F.concat(*map(one, range(3)))
+            def thirds(items: Column) -> Column:
+                def one(third: int) -> Column:
+                    return F.transform(F.slice(state["cells"], third * w + 1, w), lambda c, at: laid(items, third, at, c, -1))
 
-                return let(F.transform(known, lambda d: placed(d["n"], d["k"], d["c"], w)), thirds)
+                return F.concat(*map(one, range(3)))
 
-            fewer = F.struct(
-                let(width(power_), left).alias("cells"), F.concat(state["found"], F.transform(known, lambda d: d["k"])).alias("found"), F.lit(True).alias("more")
-            )
+            items = F.transform(known, lambda d: placed(d["n"], d["k"], d["c"], w))
+            found = F.concat(state["found"], F.transform(known, lambda d: d["k"]))
+            fewer = F.struct(let(items, thirds).alias("cells"), found.alias("found"), F.lit(True).alias("more"))
             stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))
             return F.when(F.size(known) > 0, fewer).otherwise(stuck)
 
@@ -150,12 +149,8 @@ def likeness(a: Column, b: Column) -> Column:
         def recovered(d: Column) -> Column:
             empty = F.size(F.filter(d, lambda c: (c["n"] == 0) & (c["k"] == 0))) / (3.0 * width(p))
             guess = F.round(-F.log(F.greatest(empty, 1 / (6.0 * width(p)))) * width(p))
-            first = let(peeled(d, p), lambda x: F.when(x.isNotNull(), F.size(x)))
-            larger = let(
-                F.struct(peeled(a["cells"], a["power"]).alias("a"), peeled(b["cells"], b["power"]).alias("b")),
-                lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), a["units"] + b["units"] - 2 * F.size(F.array_intersect(x["a"], x["b"]))),
-            )
-            return F.coalesce(first, larger, guess)
+            larger = F.array_size(F.array_intersect(peeled(a["cells"], a["power"]), peeled(b["cells"], b["power"])))
+            return F.coalesce(F.array_size(peeled(d, p)), a["units"] + b["units"] - 2 * larger, guess)
 
         return let(whole, recovered)
 
