@@ -241,3 +241,14 @@ def test_figures_as_text(spark):
     assert shown(fmt.rate_text, 999.4, 1540) == ["999", "1.5K"]
     counts = spark.createDataFrame([(7,), (1200,), (3_400_000,), (2_000_000_000,)], "v long")
     assert [r[0] for r in counts.select(fmt.short_count(F.col("v"))).collect()] == ["7", "1.2K", "3.4M", "2.0B"]
+
+
+def test_newest_status_forgets_old_values(spark):
+    rows = [
+        (1, "t", "optimizing", "1"), (2, "t", "optimizing", "0"),
+        (1, "t", "disk_chunks", "9"), (2, "t", "disk_chunks", "3"), (2, "t", "disk_chunks", "2"),
+        (1, "t", "ram_bytes", "5"), (2, "t", "ram_bytes", "n/a"),
+    ]
+    df = spark.createDataFrame(rows, "ts int, target string, variable string, value string")
+    (row,) = mon.newest_status(df).collect()
+    assert (row.disk_chunks, row.is_optimizing, row.ram_bytes, row.disk_bytes) == (3, 0, 0, 0)

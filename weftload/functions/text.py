@@ -98,7 +98,8 @@ def _decorated(words: tuple[str, ...]) -> Column:
     """Every word in its twelve written forms: (plain, capital) x (five marks, no mark)."""
     endings = [*MARKS, ""]
     plain = [w + e for e in endings for w in words]
-    upper = [w[:1].upper() + w[1:] + e for e in endings for w in words]
+    capital = str.maketrans(ascii_lowercase, ascii_uppercase)  # as in ``capitalised``
+    upper = [w[:1].translate(capital) + w[1:] + e for e in endings for w in words]
     return _word_array(plain + upper)
 
 

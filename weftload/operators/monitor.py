@@ -37,6 +37,21 @@ def status_snapshot(status: DataFrame, keys: Sequence[str] = ("ts", "target")) -
     )
 
 
+def newest_status(status: DataFrame, keys: Sequence[str] = ("target",)) -> DataFrame:
+    """The newest value of each variable per table; at equal times the largest one stands.
+
+    A newest value that is unreadable counts as 0, like a variable that was never reported.
+    """
+    value = F.col("value").try_cast("bigint")
+
+    def latest(variable: str) -> Column:
+        return F.max_by(value, F.when(F.col("variable") == variable, F.struct(F.col("ts"), value)))
+
+    return status.groupBy(*keys).agg(
+        *[F.coalesce(latest(v), F.lit(0)).alias(name) for v, name in STATUS_VARIABLES.items()]
+    )
+
+
 def _seconds(seconds: int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 

@@ -36,11 +36,11 @@ CHANGES: Select = (
     [
         "event_id AS pos",
         "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'replace' "
-        "ELSE 'update' END AS op",
+        "WHEN 'click' THEN 'update' WHEN 'view' THEN 'select' ELSE 'other' END AS op",
         "user_id AS id",
         "value AS a",
     ],
-    "event_type IN ('signup', 'purchase', 'click')",
+    "true",
 )
 PROGRESS: Select = (
     "events",
@@ -57,7 +57,6 @@ USER_PROGRESS: Select = (
     ["ts", "user_id AS process_index", "event_id AS processed", "value AS qps"],
     "true",
 )
-# Customers of one market segment have no settings on purpose: their records are skipped.
 CONFIG: Select = (
     "customer",
     [
@@ -69,7 +68,7 @@ CONFIG: Select = (
         "CASE WHEN c_nationkey % 6 = 5 THEN '' ELSE concat('t', CAST(c_nationkey % 6 AS STRING)) "
         "END AS target",
     ],
-    "c_mktsegment <> 'FURNITURE'",
+    "true",
 )
 STATUS: Select = (
     "orders",

@@ -182,7 +182,11 @@ def watched_tables(spark, folder):
     return mon.watched_tables(select(spark, folder, CONFIG))
 
 
-STATS = f"""(WITH c AS (SELECT * FROM {CONFIG_ROWS}), s AS ({_pivot('target')}),
+NEWEST_STATUS = f"""SELECT target, {', '.join(f"coalesce(max(v) FILTER (WHERE variable = '{v}'), 0) AS {n}" for v, n in mon.STATUS_VARIABLES.items())}
+ FROM (SELECT target, variable, try_cast(value AS BIGINT) AS v, row_number() OVER (PARTITION BY target, variable
+  ORDER BY ts DESC, try_cast(value AS BIGINT) DESC NULLS LAST) AS rn FROM {STATUS_ROWS}) WHERE rn = 1 GROUP BY target"""
+
+STATS = f"""(WITH c AS (SELECT * FROM {CONFIG_ROWS}), s AS ({NEWEST_STATUS}),
 f AS (SELECT * FROM s WHERE target = (SELECT arg_min(target, process_index) FROM c WHERE target <> ''))
 SELECT r.process_index, r.processed, c.target, c.load_type,
  {', '.join(f'CASE WHEN s.target IS NULL THEN f.{n} ELSE s.{n} END AS {n}' for n in STATUS_NAMES)}
@@ -195,7 +199,7 @@ def stats(spark, folder) -> DataFrame:
         newest_progress(spark, folder).select("process_index", "processed"),
         config.select("process_index", "target", "load_type"),
     )
-    status = mon.status_snapshot(select(spark, folder, STATUS), ["target"])
+    status = mon.newest_status(select(spark, folder, STATUS))
     return mon.with_status(records, config, status)
 
 
@@ -328,9 +332,9 @@ def bulk_match_query(spark, folder):
    SELECT p_partkey AS vec, ['the', 'and', 'est', 'de', 'tion', 'es', 'en', 'er', 'que', 'und'][1 + p_partkey % 10] AS a,
     ['th', 'in', 'on', 'he', 'la', 'der', 'ea', 'st', 'ou', 'le'][1 + (p_partkey // 10) % 10] AS b FROM part)),
 d AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents)
-SELECT query_id, count(*) AS n_docs FROM (
+SELECT p_partkey AS query_id, count(doc_id) AS n_docs FROM part LEFT JOIN (
   SELECT query_id, doc_id FROM q JOIN d USING (term) GROUP BY query_id, doc_id, need HAVING count(*) = need)
-GROUP BY query_id""",
+ ON query_id = p_partkey GROUP BY p_partkey""",
 )
 def bulk_match_pairs(spark, folder):
     """Queries of two common words, one per part; how many documents match each."""
@@ -341,4 +345,4 @@ def bulk_match_pairs(spark, folder):
         f"concat(get({words}, cast(p_partkey % 10 AS INT)), ' ', "
         f"get({more}, cast(p_partkey div 10 % 10 AS INT))) AS text",
     )
-    return match_counts(read(spark, folder, "documents"), queries).where("n_docs > 0")
+    return match_counts(read(spark, folder, "documents"), queries)

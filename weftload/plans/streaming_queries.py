@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftload.operators.monitor import status_snapshot
+from weftload.operators.monitor import newest_status
 from weftload.operators.percentiles import histogram_percentiles
 from weftload.plans import check_sql as c
 from weftload.plans.analysis_queries import OPS_ROWS, TICKS
@@ -91,7 +91,7 @@ def stream_combined(spark, folder):
     """The combined line after the last trigger."""
     records = stream(spark, folder, USER_PROGRESS, "ts")
     config = select(spark, folder, CONFIG)
-    status = status_snapshot(select(spark, folder, STATUS), ["target"])
+    status = newest_status(select(spark, folder, STATUS))
     lines = live.combined_lines(records, config, status)
     last = lines.agg(F.max("epoch")).scalar()
     return lines.where(F.col("epoch") == last).drop("epoch")
