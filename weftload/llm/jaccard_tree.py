@@ -30,6 +30,8 @@ from weftload.session import written_table
 #: Elements of sets that a task compares: larger clusters are cut into blocks of this size.
 TASK_ELEMENTS = 500_000
 LEAF, FAN = 8, 4
+#: Bits of a key that hold its size class (there are 69 classes).
+CLASS = np.uint64(127)
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -81,7 +83,7 @@ class Parts:
         return (100 - self.percent) * 2 * high // (100 + self.percent)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """A set looks for partners in its own size class and in those of larger partners."""
+        """A set looks for partners in its own size class and in those of larger partners; a key's last bits name the class."""
         n, out = len(s), []
         first = np.searchsorted(self.edges, n, "right") - 1
         last = np.searchsorted(self.edges, n * 100 // self.percent, "right") - 1
@@ -94,10 +96,11 @@ class Parts:
             at, begin = np.unique(part[order], return_index=True)
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(s, np.full(n, np.uint64(c + 1)))[order], begin)
-            out.append(mix(total, (at + 1 + (c << 40)).astype(np.uint64)))
+            mine = [mix(total, (at + 1 + (c << 40)).astype(np.uint64))]
             if len(at) <= most:  # an equal part might be an empty one: meet by the prefix in hash order as well
                 overlap = -(-self.percent * n // 100)
-                out.append(mix(s[: n - overlap + 1], np.full(n - overlap + 1, np.uint64((c << 40) + (1 << 39)))))
+                mine.append(mix(s[: n - overlap + 1], np.full(n - overlap + 1, np.uint64((c << 40) + (1 << 39)))))
+            out += [m & ~CLASS | np.uint64(c) for m in mine]
         return np.unique(np.concatenate(out))
 
 
@@ -358,9 +361,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, task_elem
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = written_table(members(docs, n, percent, shared_keys(docs, n, percent)), "members")
     keyed = held.select("node", F.explode("keys").alias("key"))
-    meet = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    edges = keyed.join(meet, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    clusters = written_table(components(edges), "clusters")
+    # a node stands once in each size class that it looks into, so sets of unlike size never share a cluster
+    placed = keyed.select("node", "key", F.xxhash64("node", F.col("key").bitwiseAND(int(CLASS))).alias("place"))
+    meet = placed.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a <> z").select("key", "a")
+    edges = placed.join(meet, "key").where("place <> a").select("a", F.col("place").alias("b"))
+    clusters = components(edges).withColumnRenamed("node", "place").join(placed.select("node", "place").distinct(), "place")
+    clusters = written_table(clusters.select("node", "root").distinct(), "clusters")
     found = links(sets_of(docs, n, Filter.of(clusters, "node")), clusters, n, percent, task_elements)
     roots = written_table(components(found), "roots")
     least = held.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
