@@ -51,6 +51,29 @@ def test_learned_words_and_odd_texts(spark, documents):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
 
 
+def test_all_words_of_the_examples_count(spark, documents):
+    """Texts without a telling word have neighbours too: the cosines of all examples, worked out in full."""
+    asked = ["word3 fine number2", "word5 text", "nothing known", "calm word16 word16 number4"]
+    docs, labels = made(spark, documents, [*enumerate(asked, 900)])
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert set(model.place) == {w for i in train for w in texts[i].split()}
+
+    def vector(text):
+        out = np.zeros(len(model.place))
+        for w in set(text.split()) & model.place.keys():
+            out[model.place[w]] = (1 + np.log(text.split().count(w))) * model.weights[model.place[w]]
+        return out / (np.linalg.norm(out) or 1)
+
+    got = {r.doc_id: r for r in toxicity.score(docs, model).where("doc_id >= 900").collect()}
+    for i, text in enumerate(asked, 900):
+        cosine = {d: round(float(vector(texts[d]) @ vector(text)), 12) for d in train}
+        near = [d for d in sorted(train, key=lambda d: (-cosine[d], d)) if cosine[d] > 0][:3]
+        assert got[i].evidence == near and abs(got[i].nearest - max(cosine.values())) < 1e-9
+    assert got[900].evidence and got[901].evidence and not got[902].evidence
+
+
 def test_held_out_labels_are_not_learned(spark, documents):
     docs, labels = made(spark, documents)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0

@@ -1,34 +1,38 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled documents; terms are chosen by how their
-document frequencies differ between the two labels, and weighed by their frequency in all
-documents. An inverted index over blocks of examples keeps each term's largest weight per
-block. A query visits blocks in falling order of their bound and stops once no block can
-reach its k-th best neighbour, so the neighbours are exact. Neighbours vote by closeness;
-votes of the examples on each other calibrate the score.
+The examples are a bounded sample of the labelled documents; their whole vocabulary makes the
+vectors. A term weighs by its frequency in all documents, times how significantly its document
+frequencies differ between the labels (1 at least). Cosines with all examples are worked out in
+single precision for many queries at once: terms that many examples hold by a dense product, the
+others by their postings. Whatever may belong to the nearest within the bound of that precision's
+error is worked out again in double precision, so the neighbours are exact. Neighbours vote by
+closeness; votes of the examples on each other calibrate the score.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftload.llm.words import slices, split_words
+from weftload.llm.words import ranges, slices, split_words
 from weftload.session import written_table
 
 #: Examples of each label at most, taken by the hash of doc_id: the bound of the sample.
 PER_LABEL = 6000
-#: Terms at most, and how far the labels must differ on one (chi-squared, one degree).
-TERMS, DIFFERENCE, LEAST_DOCS = 4096, 24.0, 4
-#: ... and how many times likelier a term must be under one label. It keeps out words that only follow the
-#: language of the examples, which nearly every text holds.
-LIFT = 4.0
-NEIGHBOURS, BLOCK, BINS = 15, 64, 10
+#: Examples that must hold a term before the labels' difference on it counts.
+LEAST_DOCS = 4
+#: A term that more than this share of the examples holds is searched by a dense product.
+DENSE = 1 / 12
+NEIGHBOURS, BINS = 15, 10
+#: Queries that are searched at once.
+AT_ONCE = 128
 FOLDS = 5
 
 
@@ -61,8 +65,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
     return written_table(texts.join(F.broadcast(chosen), "doc_id"), "examples"), sizes
 
 
-def choose_terms(examples: DataFrame) -> list[str]:
-    """Terms whose document frequencies differ most between the labels."""
+def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and how far the labels differ on each: the root of chi-squared, 1 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -74,85 +78,104 @@ def choose_terms(examples: DataFrame) -> list[str]:
     sizes = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
     all1, all0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not all1 or not all0:
-        return []
-    found = examples.select("text", "toxic").mapInArrow(run, "term string, n1 long, n0 long")
-    found = found.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"n1 + n0 >= {LEAST_DOCS} AND term <> ''")
-    have, total = F.col("n1") + F.col("n0"), all1 + all0
-    gap = F.col("n1") * F.lit(all0) - F.col("n0") * F.lit(all1)
-    chi = F.try_divide(gap * gap * total, have * (F.lit(total) - have) * all1 * all0)
-    lift = ((F.col("n1") + 0.5) / all1) / ((F.col("n0") + 0.5) / all0)
-    found = found.where((lift >= LIFT) | (lift <= 1 / LIFT))
-    rows = found.select("term", chi.alias("chi")).where(F.col("chi") >= DIFFERENCE).orderBy(F.desc("chi"), "term").limit(TERMS)
-    return sorted(r.term for r in rows.collect())
+        return [], np.zeros(0)
+    found = examples.select("text", "toxic").mapInArrow(run, "term string, n1 long, n0 long").where("term <> ''")
+    found = found.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow().sort_by("term")
+    n1, n0 = (found.column(c).to_numpy().astype(np.float64) for c in ("n1", "n0"))
+    have, total = n1 + n0, all1 + all0
+    gap = n1 * all0 - n0 * all1
+    chi = gap * gap * total / np.maximum(have * (total - have) * all1 * all0, 1e-300)
+    return found.column("term").to_pylist(), np.where((have >= LEAST_DOCS) & (have < total), np.maximum(1.0, np.sqrt(chi)), 1.0)
 
 
 def vectors(batch: pa.RecordBatch, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts, chosen terms and their counts within the texts."""
+    """Texts, terms of the vocabulary in order and their counts within the texts."""
     text, code, count, terms = term_rows(split_words(batch.column("text")))
     to = np.fromiter((place.get(t, -1) for t in terms), np.int64, len(terms))
     term = to[code] if len(terms) else code
-    kept = term >= 0
+    kept = np.flatnonzero(term >= 0)
+    kept = kept[np.lexsort((term[kept], text[kept]))]
     return text[kept], term[kept], count[kept]
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """How many of all documents hold each chosen term, and how many there are."""
-    place = {t: i for i, t in enumerate(terms)}
+def document_frequencies(docs: DataFrame, place: Broadcast, n: int) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(len(terms) + 1, np.int64), len(terms)
+        held = np.zeros(n + 1, np.int64)
         for batch in slices(batches):
-            held[:n] += np.bincount(vectors(batch, place)[1], minlength=n)[:n]
+            held[:n] += np.bincount(vectors(batch, place.value)[1], minlength=n)[:n]
             held[n] += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(held)], ["term", "n"])
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["term", "n"])
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    held = {r.term: r.n for r in counts.collect()}
-    return np.array([held.get(i, 0) for i in range(len(terms))], np.float64), held.get(len(terms), 0)
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(n + 1, np.int64)
+    held[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return held[:n].astype(np.float64), int(held[n])
 
 
 class Index:
-    """Examples in blocks: postings per block, and each term's largest weight per block."""
+    """Vectors of the examples by example, by term, and as a dense table for terms that many of them hold."""
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
-        lead = np.full(len(ids), n_terms)
-        for r, t in zip(row[np.argsort(weight)].tolist(), term[np.argsort(weight)].tolist()):
-            lead[r] = t  # examples with the same leading term share blocks, which keeps bounds tight
-        order = np.lexsort((ids, lead))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        self.ids, self.toxic, row = ids[order], toxic[order], place[row]
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        self.best = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.best, (term, row // BLOCK), weight)
-        self.postings = []
-        for b in range(self.blocks):
-            mine = row // BLOCK == b
-            self.postings.append((row[mine] % BLOCK, term[mine], weight[mine]))
-        self.dense = np.zeros(n_terms)
+        order = np.argsort(row, kind="stable")
+        self.ids, self.toxic, self.n_terms = ids, toxic, n_terms
+        self.starts = np.searchsorted(row[order], np.arange(len(ids) + 1))
+        self.term, self.weight = term[order].astype(np.int32), weight[order].astype(np.float64)
+
+    def prepare(self) -> None:
+        """Lists and table, where queries are searched: they aren't sent."""
+        row, order = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts)), np.argsort(self.term, kind="stable")
+        held = np.bincount(self.term, minlength=self.n_terms)
+        common = np.flatnonzero(held > DENSE * len(self.ids))
+        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), len(self.ids)), np.float32)
+        mine = self.column[self.term] >= 0
+        self.table[self.column[self.term[mine]], row[mine]] = self.weight[mine]
+        order = order[~mine[order]]
+        self.lists, self.list_weights = row[order], self.weight[order].astype(np.float32)
+        self.list_starts = np.concatenate([[0], np.cumsum(np.where(self.column >= 0, 0, held))])
+        # sums of so many products of unit vectors in single precision are off by this at most, on both sides
+        self.error = 4 * (len(common) + 8) * 2.0**-24
+        self.scratch = np.zeros(self.n_terms)
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("ids", "toxic", "n_terms", "starts", "term", "weight")}
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What nearest() gives, for each of several queries."""
+        if not hasattr(self, "table"):
+            self.prepare()
+        for a in range(0, len(queries), AT_ONCE):
+            part = queries[a : a + AT_ONCE]
+            asked = np.zeros((len(part), len(self.table)), np.float32)
+            for q, (term, weight) in zip(asked, part):
+                column = self.column[term]
+                q[column[column >= 0]] = weight[column >= 0]
+            for k, (near, (term, weight)) in enumerate(zip(asked @ self.table, part)):
+                yield self.exact(near, term, weight, None if skip is None else skip[a + k])
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples that share a term; equal cosines go by doc_id."""
-        bound = weight @ self.best[term]
-        self.dense[term] = weight
-        places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            row, its, w = self.postings[b]
-            size = min(BLOCK, len(self.ids) - b * BLOCK)
-            got = np.bincount(row, weights=w * self.dense[its], minlength=size)
-            near = np.flatnonzero(got > 0)
-            places, scores = np.concatenate([places, near + b * BLOCK]), np.concatenate([scores, got[near]])
-            if skip is not None:
-                other = self.ids[places] != skip
-                places, scores = places[other], scores[other]
-            if len(places) > NEIGHBOURS:
-                kept = np.lexsort((self.ids[places], -np.round(scores, 12)))[:NEIGHBOURS]
-                places, scores = places[kept], scores[kept]
-                least = scores[-1]
-        self.dense[term] = 0
-        kept = np.lexsort((self.ids[places], -np.round(scores, 12)))
+        return next(self.nearest_of([(term, weight)], None if skip is None else [skip]))
+
+    def exact(self, near: np.ndarray, term: np.ndarray, weight: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest, from the sums over the terms of the table."""
+        sizes = self.list_starts[term + 1] - self.list_starts[term]
+        at = ranges(self.list_starts[term], sizes)
+        near = near + np.bincount(self.lists[at], weights=self.list_weights[at] * np.repeat(weight, sizes), minlength=len(near))
+        if skip is not None:
+            near[self.ids == skip] = 0
+        least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] - self.error if len(near) > NEIGHBOURS else 0
+        places = np.flatnonzero((near >= least) & (near > 0))
+        sizes = self.starts[places + 1] - self.starts[places]
+        at = ranges(self.starts[places], sizes)
+        self.scratch[term] = weight
+        scores = np.bincount(np.repeat(np.arange(len(places)), sizes), weights=self.weight[at] * self.scratch[self.term[at]], minlength=len(places))
+        self.scratch[term] = 0
+        kept = np.lexsort((self.ids[places], -np.round(scores, 12)))[:NEIGHBOURS]
         return places[kept], scores[kept]
 
     def vote(self, places: np.ndarray, scores: np.ndarray, odds: float) -> float:
@@ -163,73 +186,96 @@ class Index:
 
 
 class Model:
-    """Terms, their weights, the index and the calibration: all bounded by PER_LABEL and TERMS."""
+    """Terms, their weights, the index and the calibration: all bounded by the texts of PER_LABEL examples of each label."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, sizes: dict[int, int]):
-        self.place, self.weights, self.sizes = {t: i for i, t in enumerate(terms)}, weights, sizes
+    def __init__(self, place: dict[str, int], weights: np.ndarray, sizes: dict[int, int]):
+        self.place, self.weights, self.sizes = place, weights, sizes
         self.index, self.odds, self.curve, self.bare = None, 1.0, np.zeros(0), 0.0
+        self.share = {1: 0.0, 0: 0.0}
 
     def weigh(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.weights[term]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def fit(self, ids: np.ndarray, toxic: np.ndarray, vecs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def learn(self, ids: np.ndarray, toxic: np.ndarray, vecs: list[tuple[np.ndarray, np.ndarray]]) -> None:
         n1, n0 = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
-        share = {1: self.sizes.get(1, 0) / n1, 0: self.sizes.get(0, 0) / n0}
+        self.share = share = {1: self.sizes.get(1, 0) / n1, 0: self.sizes.get(0, 0) / n0}
         self.odds = share[1] / share[0] if share[0] else 1.0
         some = [i for i, (t, _) in enumerate(vecs) if len(t)]
-        weighed = [self.weigh(*vecs[i]) for i in some]
         if some:
             self.index = Index(
                 ids[some], toxic[some], np.repeat(np.arange(len(some)), [len(vecs[i][0]) for i in some]),
-                np.concatenate([vecs[i][0] for i in some]), np.concatenate(weighed), len(self.place),
+                np.concatenate([vecs[i][0] for i in some]), np.concatenate([self.weigh(*vecs[i]) for i in some]), len(self.place),
             )
-        mass = np.array([share[1], share[0]])
         bare = np.setdiff1d(np.arange(len(ids)), some)
         y = toxic[bare]
         prior = self.sizes.get(1, 0) / max(1, sum(self.sizes.values()))
-        self.bare = float((mass[0] * (y == 1).sum() + prior) / (mass[0] * (y == 1).sum() + mass[1] * (y == 0).sum() + 1))
-        seen = np.zeros((2, BINS))
-        for i, w in zip(some, weighed):
-            got = self.index.nearest(vecs[i][0], w, skip=int(ids[i]))
-            if len(got[0]):
-                v = self.index.vote(*got, self.odds)
-                seen[toxic[i], min(BINS - 1, int(v * BINS))] += share[int(toxic[i])]
+        self.bare = float((share[1] * (y == 1).sum() + prior) / (share[1] * (y == 1).sum() + share[0] * (y == 0).sum() + 1))
+
+    def calibrate(self, toxic: np.ndarray, votes: np.ndarray) -> None:
+        """From the labels of examples and the others' votes on them."""
+        place = np.minimum(BINS - 1, (votes * BINS).astype(np.int64))
+        seen = np.array([self.share[y] * np.bincount(place[toxic == y], minlength=BINS) for y in (0, 1)])
+        middle = (np.arange(BINS) + 0.5) / BINS
+        self.curve = np.maximum.accumulate((seen[1] + 2 * middle) / (seen.sum(0) + 2))
+
+    def votes(self, vecs: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[float | None, list[int], float]]:
+        """For each text the vote of its neighbours (none without any), the nearest as evidence, and the best cosine."""
+        if self.index is None:
+            return [(None, [], 0.0)] * len(vecs)
+        out = []
+        for places, scores in self.index.nearest_of([(t, self.weigh(t, n)) for t, n in vecs], skip):
+            vote = self.index.vote(places, scores, self.odds) if len(places) else None
+            out.append((vote, self.index.ids[places[:3]].tolist(), float(min(1.0, scores[0])) if len(places) else 0.0))
+        return out
+
+    def scores(self, vecs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], float]]:
+        """The calibrated score, the nearest examples as evidence, and the best cosine of each text."""
         middle = (np.arange(BINS) + 0.5) / BINS
-        rate = (seen[1] + 2 * middle) / (seen.sum(0) + 2)
-        self.curve = np.maximum.accumulate(rate)
+        return [(self.bare if v is None else float(np.interp(v, middle, self.curve)), near, best) for v, near, best in self.votes(vecs)]
+
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int], float]:
-        """The calibrated score, the nearest examples as evidence, and the best cosine."""
-        if self.index is not None and len(term):
-            places, scores = self.index.nearest(term, self.weigh(term, count))
-            if len(places):
-                vote = self.index.vote(places, scores, self.odds)
-                middle = (np.arange(BINS) + 0.5) / BINS
-                return float(np.interp(vote, middle, self.curve)), self.index.ids[places[:3]].tolist(), float(min(1.0, scores[0]))
-        return self.bare, [], 0.0
+def parts(batch: pa.RecordBatch, place: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of each text."""
+    text, term, count = vectors(batch, place)
+    cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
+    return [(term[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled rows whose crc32(doc_id as text) mod 5 isn't 0."""
     examples, sizes = labelled(docs, labels)
-    terms = choose_terms(examples)
-    held, n = document_frequencies(docs, terms)
-    model = Model(terms, np.log((1 + n) / (1 + held)) + 1, sizes)
-    place = model.place
+    terms, contrast = vocabulary(examples)
+    context = docs.sparkSession.sparkContext
+    places = {t: i for i, t in enumerate(terms)}
+    place = context.broadcast(places)
+    held, n = document_frequencies(docs, place, len(terms))
+    model = Model(places, (np.log((1 + n) / (1 + held)) + 1) * contrast, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            text, term, count = vectors(batch, place)
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            part = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-            lists = [pa.array([x[p].tolist() for p in part], pa.list_(pa.int64())) for x in (term, count)]
+            vecs = parts(batch, place.value)
+            lists = [pa.array([v[k] for v in vecs], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "term", "n"])
 
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, term array<long>, n array<long>")
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.term, r.n))
-    vecs = [(np.array(r.term, np.int64), np.array(r.n, np.int64)) for r in rows]
-    model.fit(np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], np.int64), vecs)
+    rows = examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, term array<int>, n array<int>").toArrow()
+    columns = {c: [x for chunk in rows.column(c).chunks for x in ((chunk[i].values.to_numpy() for i in range(len(chunk))) if c in ("term", "n") else chunk.to_pylist())] for c in rows.column_names}
+    order = sorted(range(rows.num_rows), key=lambda i: (columns["doc_id"][i], columns["term"][i].tobytes(), columns["n"][i].tobytes()))
+    model.learn(*(np.array([columns[c][i] for i in order], np.int64) for c in ("doc_id", "toxic")), [(columns["term"][i], columns["n"][i]) for i in order])
+    del rows, columns
+    place.destroy()
+    shared = context.broadcast(model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            votes = [v for v, _, _ in shared.value.votes(parts(batch, shared.value.place), batch.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    # the examples lie in a few files; their search is dealt out
+    dealt = examples.select("doc_id", "toxic", "text").repartition(max(1, context.defaultParallelism))
+    votes = dealt.mapInArrow(judged, "toxic int, vote double").where("vote IS NOT NULL").toArrow()
+    shared.destroy()
+    model.calibrate(votes.column("toxic").to_numpy(), votes.column("vote").to_numpy())
     return model
 
 
@@ -240,16 +286,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
         for batch in slices(batches):
-            text, term, count = vectors(batch, model.place)
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                key = (term[a:b].tobytes(), count[a:b].tobytes())
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = model.score(term[a:b], count[a:b])
-                out.append(seen[key])
+            vecs = parts(batch, model.place)
+            keys = [hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in vecs]
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {k: i for i, k in enumerate(keys) if k not in seen}
+            seen.update(zip(new, model.scores([vecs[i] for i in new.values()])))
+            out = [seen[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.float64())],
                 ["doc_id", "score", "evidence", "nearest"],
@@ -263,7 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of documents (doc_id, text): held_out, score, predicted, evidence, nearest.
 
     labels (doc_id, toxic) may hold nulls and repeated ids (the highest label stands). Labels, language,
-    source and doc_id never enter a score. Null and empty texts, and texts without a chosen term, get the
+    source and doc_id never enter a score. Null and empty texts, and texts without a term of the vocabulary, get the
     share of toxic examples among such texts. Without labels of both kinds all texts get one score, the
     known share (0 without labels). Repeated rows are scored each, no rows give none, other columns are
     ignored. held_out is whether crc32(doc_id as text) mod 5 is 0 (a null doc_id: false).
