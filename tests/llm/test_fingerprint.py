@@ -46,6 +46,19 @@ def test_odd_texts(documents):
     verify(documents([(3, "only one. text")]), [(3, "only one. text")])
 
 
+def test_paragraphs_do_not_depend_on_length(spark):
+    """A start shares all its paragraphs but the last with the whole, on either side of any length; so does a text without sentence ends."""
+    words = [f"w{i * 7919 % 5003}" for i in range(4000)]
+    ended = " ".join(w + "." * (i % 9 == 0) for i, w in enumerate(words))
+    texts = [t[:n] for t in (ended, " ".join(words)) for n in (1000, 1050, 2000, 2100, 4000, 4200, 8000, 8400, 16000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.p for r in df.select("i", fp.paragraphs(F.col("text")).alias("p")).collect()}
+    for k in (0, 9):
+        for i in range(k, k + 9):
+            assert set(got[i][:-1]) <= set(got[k + 8])
+        assert len(got[k + 8]) > 6 * len(got[k + 2]) > 0 if k == 0 else len(got[k + 8]) >= 4
+
+
 def test_likeness_is_exact_where_peeling_ends(spark):
     """Sets of digests of every size and overlap, against the sets themselves."""
     rows = [(a, b, shared) for a in (0, 1, 5, 20, 60) for b in (0, 3, 20, 70) for shared in (0, 1, 4, 18) if shared <= min(a, b)]

@@ -1,10 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests, in DataFrame code.
 
-A text is cut into paragraphs at sentence ends, fewer for longer texts. Every paragraph's digest
-goes into one cell of each third of the sketch; a cell keeps how many digests it holds, and the
-exclusive or of them and of their checks. Two sketches are folded to a common size and subtracted,
-which leaves the digests that only one version has; cells that hold a single one are peeled until
-all are known. If that fails, the sketches are peeled again at their own, larger sizes.
+A text is cut into paragraphs after words that their own hash chooses, sentence ends more often than
+others, at the same rates for all lengths: what two versions share is cut alike, and sketches grow
+with the text. Every paragraph's digest goes into one cell of each third of the sketch; a cell keeps
+how many digests it holds, and the exclusive or of them and of their checks. Two sketches are folded
+to a common size and subtracted, which leaves the digests that only one version has; cells that hold
+a single one are peeled until all are known. If that fails, the sketches are peeled again at their
+own, larger sizes.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from weftload.session import written_table
 
-#: Characters of a text for which every sentence end may end a paragraph; twice as many halve that chance.
-DENSE_CHARS = 512
+#: One in so many different last words of a sentence ends a paragraph, and one in so many other words.
+SENTENCE_RATE, WORD_RATE = 3, 128
 #: Rounds of peeling: each doubles, at least, how far the knowledge reaches.
 ROUNDS = 14
 LEAST_POWER = 3
@@ -33,14 +35,15 @@ def let(value: Column, body) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Digests of the different paragraphs."""
-    rare = width(F.floor(F.log2(F.greatest(F.length(text) / DENSE_CHARS, F.lit(1.0)))).cast("int"))
-    sentences = F.split(text, r"(?<=[.!?|\n])[ \n]+")
+    words = F.split(text, r"(?<=[ \n])(?=[^ \n])")
 
-    def marked(r: Column) -> Column:
-        return F.transform(sentences, lambda s: F.concat(s, F.when(F.pmod(F.xxhash64(F.lit(7), s), r) == 0, F.lit("\x01")).otherwise(F.lit(" "))))
+    def marked(w: Column) -> Column:
+        bare = F.btrim(w, F.lit(" \n"))
+        rate = F.when(F.substring(bare, -1, 1).isin(".", "!", "?", "|"), F.lit(SENTENCE_RATE)).otherwise(F.lit(WORD_RATE))
+        return F.when(F.pmod(F.xxhash64(F.lit(7), bare), rate) == 0, F.concat(w, F.lit("\x01"))).otherwise(w)
 
-    parts = F.filter(F.split(F.array_join(let(rare, marked), ""), "\x01"), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p))))
+    parts = F.filter(F.split(F.array_join(F.transform(words, marked), ""), "\x01"), lambda p: F.btrim(p, F.lit(" \n")) != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.btrim(p, F.lit(" \n")))))
 
 
 def power(units: Column) -> Column:
