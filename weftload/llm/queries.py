@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weftload.llm import chat, decontaminate, fingerprint, interpolation, jaccard_tree, packing, repeats, secrets, toxicity, wordpiece
+from weftload.llm import chat, collocation, decontaminate, fingerprint, interpolation, jaccard_tree, merkle, mixture, packing, repeats, secrets, toxicity, wordpiece
 from weftload.plans.registry import query
 
 
@@ -65,3 +65,18 @@ query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 @query("op8_repeats")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op11_manifest", merkle.CHECK_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, folder, "documents"))
+
+
+@query("op12_collocations", collocation.CHECK_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_mixture", mixture.CHECK_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix_documents(table(spark, folder, "documents"))
