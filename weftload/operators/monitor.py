@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftload.operators.throughput import seconds_between, tick_start
+from weftload.operators.ticks import fill_ticks, tick_number, tick_time
 
 # The status variables, and the result column of each.
 STATUS_VARIABLES = {
@@ -100,17 +101,14 @@ def carry_forward(
 ) -> DataFrame:
     """A row for every tick from a key's first one to ``last_tick``.
 
-    Each record fills the gap up to the next one itself, so no spine has to be joined.
+    Columns hold their last value that is not null. Gaps are filled in blocks, see ``fill_ticks``.
     """
-    step = _seconds(tick_seconds)
-    following = F.lead("tick").over(Window.partitionBy(*keys).orderBy("tick"))
-    end = F.coalesce(following - step, last_tick)
-    return (
-        per_tick.withColumn("_end", end)
-        .withColumn("_own", F.col("tick"))
-        .withColumn("tick", F.explode(F.sequence("tick", "_end", step)))
-        .withColumn("is_carried", F.col("tick") != F.col("_own"))
-        .drop("_end", "_own")
+    kind = dict(per_tick.dtypes)["tick"]
+    columns = [c for c in per_tick.columns if c not in keys and c != "tick"]
+    numbered = per_tick.withColumn("tick_no", tick_number(F.col("tick"), kind, tick_seconds))
+    filled = fill_ticks(numbered, keys, columns, tick_number(last_tick, kind, tick_seconds))
+    return filled.select(
+        *keys, tick_time(F.col("tick_no"), kind, tick_seconds).alias("tick"), *columns, "is_carried"
     )
 
 
@@ -268,3 +266,18 @@ def active_spans(
             F.min("_from").alias("started"), F.max("_to").alias("ended"), F.sum("_n").alias("n")
         )
     )
+
+
+def merged_spans(spans: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFrame:
+    """Spans (started, ended) that are at most ``gap_seconds`` apart, or overlap, as one."""
+    order = Window.partitionBy(*keys).orderBy("started", "ended")
+    reach = F.max("ended").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(seconds_between(reach, F.col("started")) <= gap_seconds, F.lit(0)).otherwise(F.lit(1))
+    number = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        spans.withColumn("_opens", opens)
+        .withColumn("_no", number)
+        .groupBy(*keys, "_no")
+        .agg(F.min("started").alias("started"), F.max("ended").alias("ended"))
+        .drop("_no")
+    )

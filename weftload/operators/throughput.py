@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftload.operators.percentiles import counted_percentiles
+from weftload.operators.ticks import fill_ticks, tick_number, tick_time
 
 QPS_PERCENTS = [1, 5, 95, 99]
 
@@ -66,16 +67,13 @@ def qps_series(
 
 
 def fill_gaps(ticks: DataFrame, keys: Sequence[str], tick_seconds: int) -> DataFrame:
-    """Adds ticks with ``n = 0`` between the first and the last one of a key."""
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(tick_seconds))
-    following = F.lead("tick").over(Window.partitionBy(*keys).orderBy("tick"))
-    end = F.coalesce(F.col("_next") - step, F.col("tick"))
-    return (
-        ticks.withColumn("_next", following)
-        .withColumn("_own", F.col("tick"))
-        .withColumn("tick", F.explode(F.sequence(F.col("tick"), end, step)))
-        .withColumn("n", F.when(F.col("tick") == F.col("_own"), F.col("n")).otherwise(F.lit(0)))
-        .drop("_next", "_own")
+    """Adds ticks with ``n = 0`` between the first and the last one of a key, gap by gap in blocks."""
+    kind = dict(ticks.dtypes)["tick"]
+    numbered = ticks.withColumn("tick_no", tick_number(F.col("tick"), kind, tick_seconds))
+    filled = fill_ticks(numbered, keys, ["n"])
+    return filled.select(
+        *keys, tick_time(F.col("tick_no"), kind, tick_seconds).alias("tick"),
+        F.when(F.col("is_carried"), F.lit(0)).otherwise(F.col("n")).alias("n"),
     )
 
 

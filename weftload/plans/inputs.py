@@ -85,6 +85,20 @@ STATUS: Select = (
     ],
     "true",
 )
+# Status reports at the times of the event log, so that they change while records come in.
+LIVE_STATUS: Select = (
+    "events",
+    [
+        "ts",
+        "concat('t', CAST(user_id % 4 AS STRING)) AS target",
+        "CASE event_id % 6 WHEN 0 THEN 'disk_bytes' WHEN 1 THEN 'indexed_documents' "
+        "WHEN 2 THEN 'disk_chunks' WHEN 3 THEN 'optimizing' WHEN 4 THEN 'ram_bytes' "
+        "ELSE 'killed_rate' END AS variable",
+        "CASE WHEN event_id % 50 = 7 THEN 'n/a' WHEN event_id % 6 = 3 THEN CAST(event_id % 2 AS STRING) "
+        "ELSE CAST(event_id % 1000 AS STRING) END AS value",
+    ],
+    "true",
+)
 SIZES: Select = (
     "orders",
     [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftload.operators import combined as comb
 from weftload.operators import monitor as mon
 from weftload.operators import replay as rep
 from weftload.operators.batching import joined_tuples
@@ -13,6 +14,7 @@ from weftload.operators.throughput import tick_start
 from weftload.plans.inputs import (
     CHANGES,
     CONFIG,
+    LIVE_STATUS,
     PROGRESS,
     SIZES,
     STATUS,
@@ -238,6 +240,78 @@ def process_sessions(spark, folder):
     return mon.active_spans(select(spark, folder, USER_PROGRESS), ["process_index"], 12 * HOUR)
 
 
+LIVE_GAP = 12 * HOUR
+LIVE_STATUS_ROWS = sql(LIVE_STATUS)
+USER_SPANS = SPANS.format(gap=LIVE_GAP, rows=USER_ROWS)
+
+
+def _as_of(ticks: str) -> str:
+    """Status of each table as of each tick: the newest value of each variable, 0 before the first."""
+    columns = ", ".join(
+        f"coalesce(max(v) FILTER (WHERE variable = '{v}'), 0) AS {n}" for v, n in mon.STATUS_VARIABLES.items()
+    )
+    return f"""SELECT target, tick, {columns} FROM (SELECT t.target, t.tick, r.variable, r.v, row_number() OVER (
+ PARTITION BY t.target, t.tick, r.variable ORDER BY r.ts DESC, r.v DESC) AS rn
+ FROM {ticks} t LEFT JOIN reports r ON r.target = t.target AND r.ts < t.tick + INTERVAL 1 HOUR)
+ WHERE rn = 1 GROUP BY target, tick"""
+
+
+# Every running process of every tick is spelled out here, with its table's status at that tick.
+COMBINED_PER_TICK = f"""WITH c AS (SELECT * FROM {CONFIG_ROWS}), r AS (SELECT * FROM {USER_ROWS}),
+reports AS (SELECT target, variable, ts, coalesce(try_cast(value AS BIGINT), 0) AS v FROM {LIVE_STATUS_ROWS}),
+polls AS (SELECT ts, count(*) AS sessions FROM {LIVE_STATUS_ROWS} GROUP BY ts),
+spans AS ({USER_SPANS}),
+ticks AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS tick FROM r),
+first AS (SELECT arg_min(target, process_index) AS target FROM c WHERE target <> ''),
+tables AS (SELECT DISTINCT CASE WHEN c.target = '' THEN first.target ELSE c.target END AS target FROM c, first),
+status AS ({_as_of("(SELECT target, tick FROM tables, ticks)")}),
+shown AS (SELECT t.tick, c.target, c.load_type, s.* EXCLUDE (target, tick)
+ FROM ticks t JOIN spans p ON date_trunc('hour', p.started) <= t.tick AND t.tick <= p.ended
+ JOIN c ON c.process_index = p.process_index CROSS JOIN first
+ JOIN status s ON s.tick = t.tick AND s.target = CASE WHEN c.target = '' THEN first.target ELSE c.target END),
+docs AS (SELECT tick, CAST(sum(d) AS BIGINT) AS inserted FROM (SELECT tick, target, max(indexed_documents) AS d
+ FROM shown WHERE load_type = 'insert' GROUP BY tick, target) GROUP BY tick)
+SELECT t.tick, date_diff('second', min(t.tick) OVER (), t.tick) AS elapsed_s, l.processes, l.chunks, l.is_optimizing,
+ l.size, coalesce(docs.inserted, 0) AS inserted,
+ (SELECT arg_max(sessions, ts) FROM polls WHERE polls.ts < t.tick + INTERVAL 1 HOUR) AS workers
+FROM ticks t JOIN (SELECT t.tick, count(s.tick) AS processes,
+  CAST(coalesce(sum(disk_chunks) FILTER (WHERE load_type IN ('insert', 'replace')), 0) AS BIGINT) AS chunks,
+  coalesce(bool_or(is_optimizing > 0), false) AS is_optimizing,
+  CAST(coalesce(sum(disk_bytes) FILTER (WHERE load_type IN ('insert', 'replace')), 0) AS BIGINT) AS size
+  FROM ticks t LEFT JOIN shown s ON s.tick = t.tick GROUP BY t.tick) l ON l.tick = t.tick
+LEFT JOIN docs ON docs.tick = t.tick"""
+
+
+@query("combined_per_tick", COMBINED_PER_TICK)
+def combined_per_tick(spark, folder):
+    """A line per hour. Who runs, what the tables report and how many sessions there are, all as of the hour."""
+    status = select(spark, folder, LIVE_STATUS)
+    workers = mon.session_count(status).withColumnRenamed("sessions", "workers")
+    return comb.combined_per_tick(
+        select(spark, folder, USER_PROGRESS), select(spark, folder, CONFIG), status, HOUR, LIVE_GAP,
+        {"workers": workers},
+    )
+
+
+@query(
+    "process_per_tick",
+    f"""WITH r AS (SELECT * FROM {USER_ROWS}), spans AS ({USER_SPANS}),
+ticks AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS tick FROM r)
+SELECT process_index, tick, arg_max(processed, processed) AS processed, arg_max(qps, processed) AS qps,
+ max(own_tick) < tick AS is_carried FROM (
+  SELECT p.process_index, t.tick, r.processed, r.qps, date_trunc('hour', r.ts) AS own_tick,
+   rank() OVER (PARTITION BY p.process_index, t.tick ORDER BY date_trunc('hour', r.ts) DESC) AS rk
+  FROM ticks t JOIN spans p ON date_trunc('hour', p.started) <= t.tick AND t.tick <= p.ended
+  JOIN r ON r.process_index = p.process_index AND date_trunc('hour', r.ts) <= t.tick) WHERE rk = 1
+GROUP BY process_index, tick""",
+)
+def process_per_tick(spark, folder):
+    """The newest record of every running process as of each hour; it leaves after its last one."""
+    return comb.processes_per_tick(
+        select(spark, folder, USER_PROGRESS), ["processed", "qps"], ["processed"], HOUR, LIVE_GAP
+    )
+
+
 # ---------------------------------------------------------------- change logs
 
 FIRST_INSERT = (

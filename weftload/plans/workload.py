@@ -43,17 +43,19 @@ def numbered(
     """``row_id`` to ``(row_id, template_idx, rank)``.
 
     Only these three numbers are shuffled; values are computed after it. One template
-    needs no shuffle at all, since the rank is the row number.
+    needs no shuffle if the ids are 0, 1, 2 and so on: the rank is the id.
     """
     chosen = rows.select(
         "row_id", choose_template(spec.seed, F.col("row_id"), spec.exact_weights())
         .alias("template_idx"),
     )
-    if len(templates) == 1:
-        return chosen.withColumn("rank", F.col("row_id"))
     batching = spec.batch_size > 1 and any(t.batchable for t in templates)
     if not (always or batching or any(t.needs_rank for t in templates)):
         return chosen.withColumn("rank", F.col("row_id"))
+    if len(templates) == 1:
+        low, high, n = rows.agg(F.min("row_id"), F.max("row_id"), F.count("row_id")).first()
+        if not n or (low, high) == (0, n - 1):
+            return chosen.withColumn("rank", F.col("row_id"))
     return template_rank(chosen, block_rows)
 
 
@@ -135,7 +137,8 @@ def batched_statements(
             # One row per template of the spec: the broadcast is bounded by its length.
             prefixes = F.broadcast(first.select("template_idx", prefix.alias("prefix")))
             texts = texts.drop("prefix").join(prefixes, "template_idx")
-        parts.append(assemble(texts, spec.batch_size, spec.total))
+        beyond = (rows.agg(F.max("row_id")).first()[0] or 0) + 1
+        parts.append(assemble(texts, spec.batch_size, max(spec.total, beyond)))
     if len(merged) < len(templates):
         others = base if not merged else base.where(~F.col("template_idx").isin(merged))
         stmt = _per_template(
@@ -191,7 +194,7 @@ def statements(
 ) -> DataFrame:
     """All statements of a spec: ``(pos, template_idx, batch_no, n_rows, stmt)``.
 
-    ``rows`` may bring its own dense ``row_id`` column (0..total-1).
+    ``rows`` may bring its own ``row_id`` column; ids are unique and not negative, gaps do not matter.
     """
     templates = spec.templates(load_words)
     batching = spec.batch_size > 1 and any(t.batchable for t in templates)

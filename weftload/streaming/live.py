@@ -8,13 +8,25 @@ time trigger and ``append`` or ``update`` output.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftload.functions.latency import latency_bucket
-from weftload.operators.monitor import combined_status, inserted_docs, newest, with_config, with_status
+from weftload.operators.combined import combined_ticks
+from weftload.operators.monitor import (
+    STATUS_VARIABLES,
+    active_spans,
+    combined_status,
+    inserted_docs,
+    merged_spans,
+    newest,
+    with_config,
+    with_status,
+)
+from weftload.operators.ticks import tick_number
 from weftload.session import shared_dir
 
 
@@ -68,6 +80,24 @@ def run_available(
     return spark.read.schema(last["schema"]).parquet(f"{root}/out/{last['epoch']}")
 
 
+def run_appended(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Process all available input in append mode; returns all rows the watermark has closed.
+
+    State is dropped as it is closed. The file sink writes each trigger's rows once, so a
+    restart on the same ``root`` goes on where the last run stopped.
+    """
+    spark = stream.sparkSession
+    root = root or shared_dir(spark, label)
+    query = (
+        stream.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def qps_stream(
     ops: DataFrame, keys: Sequence[str], tick_seconds: int, rate_seconds: int = 1,
     ts: str = "start_ts",
@@ -121,8 +151,9 @@ def combined_lines(
     """One combined line per trigger; returns all lines with their ``epoch``.
 
     Processes without a new record keep their last one: the newest record per process is
-    carried from trigger to trigger as a small table. Tables are named by trigger, so a
-    repeated trigger or a restart on the same ``root`` starts from the right one.
+    carried from trigger to trigger as a small table. Two tables take turns, so a repeated
+    trigger or a restart on the same ``root`` starts from the right one. ``combined_stream``
+    gives a line per tick instead, whatever a trigger holds.
     """
     spark = records.sparkSession
     root = root or shared_dir(spark, "combined")
@@ -130,9 +161,9 @@ def combined_lines(
     def step(batch: DataFrame, epoch: int) -> None:
         known = newest(batch, ["process_index"], ["ts", "processed"])
         if epoch > 0:
-            before = spark.read.schema(known.schema).parquet(f"{root}/known/{epoch - 1}")
+            before = spark.read.schema(known.schema).parquet(f"{root}/known/{(epoch - 1) % 2}")
             known = newest(known.unionByName(before), ["process_index"], ["ts", "processed"])
-        path = f"{root}/known/{epoch}"
+        path = f"{root}/known/{epoch % 2}"
         known.write.mode("overwrite").parquet(path)
         line = combined_line(spark.read.schema(known.schema).parquet(path), config, status)
         line.write.mode("overwrite").parquet(f"{root}/lines/epoch={epoch}")
@@ -152,3 +183,124 @@ def combined_line(known: DataFrame, config: DataFrame, status: DataFrame) -> Dat
     stats = with_status(with_config(known, config), config, status)
     docs = inserted_docs(stats).select(F.coalesce("inserted", F.lit(0)).alias("inserted"))
     return combined_status(stats).withColumn("inserted", docs.scalar())
+
+
+def distinct_records(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each record once, though files may be replayed: repeats are looked for within the watermark."""
+    return records.dropDuplicatesWithinWatermark([*keys])
+
+
+def with_spans(
+    records: DataFrame, keys: Sequence[str], gap: str, longest: str, ts: str = "ts"
+) -> DataFrame:
+    """Records with the span of activity they belong to (``started``, ``ended``), once it is closed.
+
+    A stream-stream join of the records with the session spans made of them. A record waits
+    until its span can no longer grow; one whose span goes on for more than ``longest`` after it
+    is given out without a span, so the state of both sides is bounded by the watermark.
+    """
+    spans = records.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.session_window(ts, gap).alias("_s")).agg(
+        F.min(ts).alias("started"), F.max(ts).alias("ended")
+    )
+    spans = spans.withColumn("_end", F.window_time("_s")).drop("_s")
+    inside = F.col(ts).between(F.col("_end") - F.expr(f"INTERVAL {longest}"), F.col("_end"))
+    on = [*[F.col(k) == F.col(f"_{k}") for k in keys], inside, F.col(ts).between(F.col("started"), F.col("ended"))]
+    return records.join(spans, reduce(Column.__and__, on), "left_outer").drop("_end", *[f"_{k}" for k in keys])
+
+
+CLOCK = "origin long, last long, newest_us long, closed long, epoch long"
+LINES = (
+    "tick timestamp, elapsed_s long, tick_no long, processes long, chunks long, is_optimizing boolean, "
+    "size long, inserted long"
+)
+
+
+def combined_stream(
+    records: DataFrame, status: DataFrame, config: DataFrame, seconds: int, gap_seconds: int,
+    late_seconds: int, root: str | None = None,
+) -> DataFrame:
+    """The combined line per tick as a stream; returns the lines of all ticks so far.
+
+    ``records`` (process_index, ts) and ``status`` (ts, target, variable, value) come in as
+    streams, in any portions. A tick is closed, and its line written for good, once the newest
+    time seen is ``late_seconds`` and ``gap_seconds`` past its end: then no process can turn
+    out to have gone on through it. So lines do not depend on what a trigger holds. Ticks
+    that are still open when the input ends get a line that is not stored.
+
+    Between triggers three tables are kept: spans of activity that may still grow or
+    reach into open ticks, the newest status of each table as of the first open tick with
+    all later ones, and one row of times. Two sets of tables take turns, so a repeated
+    trigger or a restart on the same ``root`` starts from the right one. Input that is later
+    than ``late_seconds`` cannot change closed ticks; it counts from the first open one.
+    """
+    spark = records.sparkSession
+    root = root or shared_dir(spark, "combined")
+    events = records.select("ts", F.col("process_index").cast("bigint").alias("process_index")).unionByName(
+        status.select("ts", "target", "variable", "value"), allowMissingColumns=True
+    )
+    number = tick_number(F.col("ts"), "timestamp", seconds)
+
+    spans_kept = "process_index long, started timestamp, ended timestamp"
+    status_kept = "ts timestamp, target string, variable string, value string"
+
+    def kept(name: str, slot: int, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/{name}/slot={slot}")
+
+    def keep(df: DataFrame, name: str, slot: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/{name}/slot={slot}")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        slot, before = epoch % 2, (epoch - 1) % 2
+        keep(batch, "batch", slot)
+        batch = kept("batch", slot, events.schema).where("ts IS NOT NULL")
+        points = batch.where("process_index IS NOT NULL")
+        reports = batch.where(F.col("variable").isin(list(STATUS_VARIABLES))).select("ts", "target", "variable", "value")
+        spans = active_spans(points, ["process_index"], gap_seconds).select("process_index", "started", "ended")
+        origin, last = points.agg(F.min(number), F.max(number)).first()
+        newest_us, closed = batch.agg(F.max(F.unix_micros("ts"))).first()[0], None
+        if epoch > 0:
+            spans = spans.unionByName(kept("spans", before, spans_kept))
+            reports = reports.unionByName(kept("status", before, status_kept))
+            clock = kept("clock", before, CLOCK).first()
+            closed = clock.closed
+            origin = min((x for x in (origin, clock.origin) if x is not None), default=None) if closed is None else clock.origin
+            last = max((x for x in (last, clock.last) if x is not None), default=None)
+            newest_us = max((x for x in (newest_us, clock.newest_us) if x is not None), default=None)
+        spans = merged_spans(spans, ["process_index"], gap_seconds)
+        lines = spark.createDataFrame([], LINES)
+        if origin is not None:
+            start = origin if closed is None else closed + 1
+            until = min(last, (newest_us // 1_000_000 - late_seconds - gap_seconds) // seconds - 1)
+            if until >= start:
+                lines = combined_ticks(spans, config, reports, seconds, F.lit(start), F.lit(until), F.lit(origin))
+                closed = until
+        lines.write.mode("overwrite").parquet(f"{root}/lines/epoch={epoch}")
+        if closed is not None:
+            spans = spans.where(tick_number(F.col("ended"), "timestamp", seconds) > closed)
+        keep(spans, "spans", slot)
+        open_tick = number if closed is None else F.greatest(number, F.lit(closed + 1))
+        value = F.coalesce(F.col("value").try_cast("bigint"), F.lit(0))
+        newest_report = F.max_by(F.struct("ts", "value"), F.struct(F.col("ts"), value)).alias("_r")
+        reports = reports.groupBy("target", "variable", open_tick.alias("_open")).agg(newest_report)
+        keep(reports.select("_r.ts", "target", "variable", "_r.value"), "status", slot)
+        keep(spark.createDataFrame([(origin, last, newest_us, closed, epoch)], CLOCK), "clock", slot)
+
+    query = (
+        events.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(step)
+        .start()
+    )
+    query.awaitTermination()
+    lines = spark.read.schema(LINES).parquet(f"{root}/lines").drop("epoch")
+    clock = spark.read.schema(f"{CLOCK}, slot int").parquet(f"{root}/clock").orderBy(F.desc("epoch")).first()
+    if clock.origin is None:
+        return lines
+    start = clock.origin if clock.closed is None else clock.closed + 1
+    if clock.last < start:
+        return lines
+    pending = combined_ticks(
+        kept("spans", clock.slot, spans_kept), config, kept("status", clock.slot, status_kept), seconds,
+        F.lit(start), F.lit(clock.last), F.lit(clock.origin),
+    )
+    return lines.unionByName(pending)
