@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from weftload.operators.batching import allocate, assemble
 from weftload.operators.blocks import rank_within, running_sum
-from weftload.operators.mix import choose_from_table, choose_template, cumulative_weights, thresholds
+from weftload.operators.mix import (
+    CROWD,
+    cell_of,
+    choose_from_table,
+    choose_template,
+    cumulative_weights,
+    range_cells,
+    thresholds,
+)
 from weftload.plans.workload import repeated, row_ids, statements, together
 from weftload.spec import WorkloadSpec, check_weights
 
@@ -114,6 +122,25 @@ def test_choice_from_a_table_with_a_heavy_template(spark):
     assert counts == {i: w for i, w in enumerate(weights) if w}
 
 
+def test_choice_among_one_heavy_and_many_light_templates(spark):
+    """The heavy one has nearly all the weight, the light ones share one cell until it is cut."""
+    light, heavy = 100_000, 10**12
+    templates = spark.range(light + 1).select(
+        F.col("id").alias("template_idx"), F.when(F.col("id") == 70_000, heavy).otherwise(1).cast("long").alias("weight")
+    )
+    ranges, total = cumulative_weights(templates), light + heavy
+    listed, width, splits = range_cells(ranges, total, light + 1)
+    assert listed.groupBy("_cell").count().agg(F.max("count")).first()[0] <= CROWD
+    few = spark.range(0, total, total // 40_000).unionByName(spark.range(69_990, 70_010)).withColumnRenamed("id", "draw")
+    found = {r.draw: r.template_idx for r in choose_from_table(few, ranges, total, light + 1).collect()}
+    assert len(found) == few.distinct().count()
+    for draw, index in found.items():
+        assert index == (draw if draw < 70_000 else 70_000 if draw < 70_000 + heavy else draw - heavy + 1)
+    tasks = cell_of(few, "draw", width, splits).repartition(16, "_cell").groupBy(F.spark_partition_id()).count()
+    held = sorted(r["count"] for r in tasks.collect())
+    assert held[-1] <= 2 * held[len(held) // 2]
+
+
 @pytest.mark.parametrize(
     ("total", "workers", "batch", "expected"),
     [

@@ -42,19 +42,39 @@ def samples():
     return data
 
 
-@pytest.mark.parametrize("limit", [1, 1_000_000])
-def test_exact_percentiles(spark, limit):
-    """With the low limit the second, finer pass is used as well."""
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_exact_percentiles(spark, few):
+    """Without intervals of few samples, every value is found by passes over ever finer parts."""
     data = samples()
     rows = [(k, v) for k, values in data.items() for v in values] + [("none", None), ("hot", None), ("hot", math.nan)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    found = exact_percentiles(df, ["k"], "v", PERCENTS, distinct_limit=limit).collect()
+    found = exact_percentiles(df, ["k"], "v", PERCENTS, few=few).collect()
     assert {r.k for r in found} == set(data)
     for row in found:
         for p in PERCENTS:
             assert row[f"p{p}"] == nearest(data[row.k], p), (row.k, p)
 
 
+def test_exact_percentiles_take_as_many_passes_as_needed(spark, monkeypatch):
+    """Two clusters of values within one bin, each far narrower than a part of the one around it."""
+    from weftload.operators import percentiles
+
+    monkeypatch.setattr(percentiles, "FINE_BINS", 8)
+    passes = []
+    finer = percentiles._finer
+    monkeypatch.setattr(percentiles, "_finer", lambda *a: passes.append(1) or finer(*a))
+    values = [1.0] + [1.005 + i * 1e-9 for i in range(200)] + [1.005 + 1e-5 + i * 1e-12 for i in range(300)]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double").repartition(4)
+    found = exact_percentiles(df, ["k"], "v", PERCENTS, few=10).first()
+    assert [found[f"p{p}"] for p in PERCENTS] == [nearest(values, p) for p in PERCENTS]
+    assert len(passes) >= 3
+
+
+def test_no_number_is_no_sample(spark):
+    df = spark.createDataFrame([("k", 1.5), ("k", math.nan), ("k", None)], "k string, latency_ms double")
+    assert [tuple(r) for r in latency_histogram(df, ["k"], "latency_ms").collect()] == [("k", 2, 1)]
+
+
 def test_known_histogram_figures(spark):
     """A second and a bit is reported as 1050, half a second and a bit as 505."""
     df = spark.createDataFrame(

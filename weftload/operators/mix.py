@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from weftload.functions.draws import SPAN_LIMIT, key60
 from weftload.functions.text import whole_div
 from weftload.operators.blocks import BLOCK_ROWS, rank_within, running_sum
+from weftload.session import written_table
 
 MIX_TEMPLATE = -1
-MAX_RANGE_BUCKETS = 1_000_000
+#: Cells of the draw space, at least, and ranges that one cell lists, at most.
+LEAST_CELLS, CROWD = 1 << 14, 8
+#: Cells in one array while cells are listed.
+RUN_CELLS = 1 << 10
 
 
 def thresholds(weights: Sequence[Fraction]) -> list[int]:
@@ -55,25 +59,76 @@ def cumulative_weights(
     return ranged.withColumn("lo", F.col("hi") - F.col(weight))
 
 
+def _touched(first: Column, last: Column) -> tuple[Column, Column]:
+    """Cells from ``first`` to ``last`` in two steps, so that no array is long: runs, then a run's cells."""
+    runs = F.explode(F.sequence(whole_div(first, RUN_CELLS), whole_div(last, RUN_CELLS)))
+    own = F.col("_run") * RUN_CELLS
+    return runs, F.explode(F.sequence(F.greatest(first, own), F.least(last, own + RUN_CELLS - 1)))
+
+
+def _listed(ranges: DataFrame, first: Column, last: Column) -> DataFrame:
+    runs, cells = _touched(first, last)
+    return ranges.withColumn("_run", runs).withColumn("_no", cells).drop("_run")
+
+
+def range_cells(ranges: DataFrame, total: int, count: int) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Lists half-open ranges under the cells of [0, total) that they touch.
+
+    Returns the listed ranges (with ``_cell``, its lower bound), the width of a cell, and the
+    tables that cut crowded cells finer. Cells are counted, not assumed: one with more than
+    CROWD ranges is cut again, until none is. A wide range lies in many cells, so the draws that
+    hit it are spread; many narrow ranges share a cell only up to the bound.
+    """
+    width = max(1, -(-total // max(LEAST_CELLS, count // CROWD)))
+    size = F.lit(width).cast("bigint")
+    listed = _listed(ranges.where("hi > lo"), whole_div(F.col("lo"), width), whole_div(F.col("hi") - 1, width))
+    listed = listed.withColumn("_cell", F.col("_no") * size).withColumn("_width", size).drop("_no")
+    splits: list[DataFrame] = []
+    while True:
+        held = listed.groupBy(F.col("_cell").alias("_old"), F.col("_width").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+        parts = F.least(whole_div(F.col("_n"), CROWD) * 2, F.lit(RUN_CELLS).cast("bigint"))
+        finer = F.greatest(F.call_function("div", F.col("_w"), parts), F.lit(1).cast("bigint"))
+        crowded = written_table(held.where(f"_n > {CROWD} AND _w > 1").select("_old", finer.alias("_part")), "crowded")
+        if crowded.isEmpty():
+            return listed.drop("_width"), width, splits
+        splits.append(crowded)
+        joined = listed.join(crowded, F.col("_cell") == F.col("_old"), "left").drop("_old")
+        first = F.greatest(F.col("lo"), F.col("_cell")) - F.col("_cell")
+        last = F.least(F.col("hi") - 1, F.col("_cell") + F.col("_width") - 1) - F.col("_cell")
+        cut = joined.where("_part IS NOT NULL")
+        cut = _listed(cut, F.call_function("div", first, F.col("_part")), F.call_function("div", last, F.col("_part")))
+        cut = cut.withColumn("_cell", F.col("_cell") + F.col("_no") * F.col("_part")).withColumn("_width", F.col("_part"))
+        listed = joined.where("_part IS NULL").drop("_part").unionByName(cut.drop("_part", "_no"))
+        listed = written_table(listed, "listed")
+
+
+def cell_of(draws: DataFrame, draw: str, width: int, splits: Sequence[DataFrame]) -> DataFrame:
+    """Adds the ``_cell`` of each draw: by division, then by equality with the cells that were cut."""
+    keyed = draws.withColumn("_cell", whole_div(F.col(draw), width) * F.lit(width).cast("bigint"))
+    for crowded in splits:
+        inner = F.col(draw) - F.col("_cell")
+        inner = F.call_function("div", inner, F.col("_part")) * F.col("_part")
+        keyed = (
+            keyed.join(crowded, F.col("_cell") == F.col("_old"), "left")
+            .withColumn("_cell", F.col("_cell") + F.coalesce(inner, F.lit(0)))
+            .drop("_old", "_part")
+        )
+    return keyed
+
+
 def choose_from_table(
     draws: DataFrame, ranges: DataFrame, total: int, count: int, draw: str = "draw"
 ) -> DataFrame:
     """Range lookup of ``draw`` in [0, total) against ``lo``/``hi`` of a template table.
 
-    A range join on an equality: the draw space is cut into about as many buckets as
-    there are templates and every range is listed under the buckets it touches, at most
-    ``count + buckets`` rows in all. Draws are uniform, so no bucket is hot.
+    A range join on an equality of cells (see ``range_cells``). Draws are uniform and no cell is
+    wide, so no cell is hot, whatever share a single template has; a draw meets at most CROWD
+    ranges. The sizes of the tables that are joined are known, so small ones are broadcast.
     """
-    width = max(1, -(-total // max(1, min(count, MAX_RANGE_BUCKETS))))
-    listed = ranges.where("hi > lo").withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(whole_div(F.col("lo"), width), whole_div(F.col("hi") - 1, width))
-        ),
-    )
-    keyed = draws.withColumn("_bucket", whole_div(F.col(draw), width))
+    listed, width, splits = range_cells(ranges, total, count)
     inside = (F.col(draw) >= F.col("lo")) & (F.col(draw) < F.col("hi"))
-    return keyed.join(listed, "_bucket").where(inside).drop("_bucket")
+    keyed = cell_of(draws, draw, width, splits)
+    return keyed.join(listed, "_cell").where(inside).drop("_cell")
 
 
 def mix_share(chosen: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Nearest-rank percentiles over any number of samples, exact or by histogram.
 
 The exact form narrows down by counting instead of sorting: a first pass counts the
-samples per order-preserving bin, which names the bin that holds each wanted rank; a
-second pass cuts those bins finer; the last counts distinct values inside the few that
-are left. Every pass aggregates before it shuffles, so the shuffles carry one row per
-bin and task, no matter how many samples a key has. A sort-based or a
+samples per order-preserving bin, which names the bin that holds each wanted rank; every
+further pass cuts the picked intervals into parts and picks the part that holds the rank,
+until it is a single value. An interval of few samples is cut into its values at once.
+Every pass aggregates before it shuffles, so the shuffles carry one row per
+part and task, no matter how many samples a key has. A sort-based or a
 ``percentile_disc`` aggregate would bring all distinct values of a key to one task.
 """
 
@@ -19,7 +20,8 @@ from weftload.functions.latency import bucket_middle, latency_bucket, magnitude_
 from weftload.session import written_table
 
 FINE_BINS = 4096
-DISTINCT_LIMIT = 1_000_000
+#: Intervals with at most so many samples are cut into values; bounds what a window sees.
+FEW_SAMPLES = 1 << 16
 
 
 def nearest_rank(total: Column, percent: Column) -> Column:
@@ -61,7 +63,7 @@ def exact_percentiles(
     percents: Sequence[int],
     prefix: str = "p",
     bins: DataFrame | None = None,
-    distinct_limit: int = DISTINCT_LIMIT,
+    few: int = FEW_SAMPLES,
 ) -> DataFrame:
     """One row per key with ``p<percent>`` columns: sorted[ceil(n * p / 100) - 1].
 
@@ -89,38 +91,36 @@ def exact_percentiles(
                 (F.col("_rank") - F.col("_before")).alias("_rank"))
     )
     picks = written_table(picks, "picks")
-    # The picked bins hold few samples in all but huge tables: then no finer cut is needed.
-    largest = picks.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
     v = F.col(value).cast("double")
     base = samples.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
-    if largest > distinct_limit:
-        picks = written_table(_finer(base, keys, picks), "picks")
-    exact = _distinct_values(base, keys, picks)
+    while not picks.where("_lo < _hi").isEmpty():
+        picks = written_table(_finer(base, keys, picks, few), "picks")
+    exact = picks.select(*keys, "_p", F.col("_lo").alias("_v"))
     return exact.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"{prefix}{p}") for p in percents]
     )
 
 
-def _within(base: DataFrame, keys: list[str], picks: DataFrame) -> DataFrame:
-    """Samples inside the picked intervals, tagged with the interval."""
-    intervals = picks.where("_lo < _hi").select(*keys, "_bin", "_lo", "_hi").distinct()
-    tagged = base.withColumn("_bin", magnitude_bin(F.col("_v")))
-    return tagged.join(intervals, [*keys, "_bin"]).where("_v >= _lo AND _v <= _hi")
+def _finer(base: DataFrame, keys: list[str], picks: DataFrame, few: int) -> DataFrame:
+    """Cut every picked interval into equal parts, or into its values, and pick again.
 
-
-def _finer(base: DataFrame, keys: list[str], picks: DataFrame) -> DataFrame:
-    """Cut every picked interval into equal parts and pick again."""
+    The ends of an interval always fall in different parts, so each pass narrows it.
+    """
     interval = [*keys, "_bin", "_lo", "_hi"]
-    part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * FINE_BINS)
-    counted = (
-        _within(base, keys, picks)
-        .withColumn("_part", part)
-        .groupBy(*interval, "_part")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    cut = picks.where("_lo < _hi")
+    inside = (
+        base.withColumn("_bin", magnitude_bin(F.col("_v")))
+        .join(cut.select(*interval, "_n").distinct(), [*keys, "_bin"])
+        .where("_v >= _lo AND _v <= _hi")
+    )
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    part = F.when(F.col("_n") <= few, F.col("_v")).otherwise(F.floor(share * FINE_BINS).cast("double"))
+    counted = inside.groupBy(*interval, part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")
     )
     narrowed = (
         _cover(counted, interval, "_part")
-        .join(picks.drop("_n"), interval)
+        .join(cut.drop("_n"), interval)
         .where("_before < _rank AND _rank <= _upto")
         .select(*keys, "_p", "_bin", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_n",
                 (F.col("_rank") - F.col("_before")).alias("_rank"))
@@ -128,26 +128,13 @@ def _finer(base: DataFrame, keys: list[str], picks: DataFrame) -> DataFrame:
     return narrowed.unionByName(picks.where("_lo = _hi"))
 
 
-def _distinct_values(base: DataFrame, keys: list[str], picks: DataFrame) -> DataFrame:
-    interval = [*keys, "_bin", "_lo", "_hi"]
-    counted = _within(base, keys, picks).groupBy(*interval, "_v").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    found = (
-        _cover(counted, interval, "_v")
-        .join(picks.drop("_n"), interval)
-        .where("_before < _rank AND _rank <= _upto")
-        .select(*keys, "_p", "_v")
-    )
-    return found.unionByName(
-        picks.where("_lo = _hi").select(*keys, "_p", F.col("_lo").alias("_v"))
-    )
-
-
 def latency_histogram(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Samples per (key, bucket): at most 370 rows per key, mergeable by adding up."""
+    """Samples per (key, bucket): at most 370 rows per key, mergeable by adding up.
+
+    Samples that are null or not a number are left out.
+    """
     return (
-        samples.where(F.col(value).isNotNull())
+        samples.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, latency_bucket(F.col(value)).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

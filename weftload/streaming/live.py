@@ -130,7 +130,7 @@ def newest_stream(records: DataFrame, keys: Sequence[str], order: Sequence[str])
 def histogram_stream(samples: DataFrame, keys: Sequence[str], latency: str) -> DataFrame:
     """Latency histogram; state is at most 370 counters per key."""
     return (
-        samples.where(F.col(latency).isNotNull())
+        samples.where(F.col(latency).isNotNull() & ~F.isnan(F.col(latency).cast("double")))
         .groupBy(*keys, latency_bucket(F.col(latency)).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
