@@ -51,7 +51,10 @@ CLASS[np.frombuffer(BREAKS, np.uint8)] = BREAK
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 HELD = "part int, mass long, keys binary, counts binary"
+PACKED = "part int, lang array<string>, n_words array<int>, phrase array<string>, count array<long>"
 COUNTED = "lang string, n_words int, phrase string, count long"
+#: Copies of each language's number of words, so that no language is joined in one task.
+SALTS = 64
 
 
 @dataclass
@@ -237,24 +240,73 @@ def candidates(docs: DataFrame, lengths: list[int], filters: dict[int, BitFilter
     return written_table(counted.groupBy("part").applyInArrow(run, "key long"), "candidates")
 
 
-def exact(t: Tokens, longest: int, filters: dict[int, BitFilter]) -> Iterator[tuple[str, int, str, int]]:
+def exact(t: Tokens, longest: int, filters: dict[int, BitFilter]) -> Iterator[pa.Table]:
     """Counts of the candidates in several texts, and of all words (as the empty phrase), each by language."""
     if not len(t.codes):
         return
-    langs, vocab = t.langs.to_pylist(), [w.decode() for w in t.vocab.to_pylist()]
-    for lang, n in enumerate(np.bincount(t.lang, minlength=len(langs)).tolist()):
-        yield langs[lang], 0, "", n
+    langs, words = t.langs.cast(pa.string()), t.vocab.cast(pa.string())
+    n = np.bincount(t.lang, minlength=len(langs))
+    yield table_of(langs, 0, pa.array([""] * len(langs), pa.string()), n, hashes(langs))
     named, size = t.lang, len(langs)  # a number for the language and the words before the last one
     for m, key, open_ in occurrences(t, list(range(1, longest + 1)), filters):
         at = np.flatnonzero(open_)
         if not len(at):
             return
-        assert size <= np.iinfo(np.int64).max // max(len(vocab), 1)
-        _, first, place, count = np.unique(named[at] * len(vocab) + t.codes[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
+        assert size <= np.iinfo(np.int64).max // len(words)
+        _, first, place, count = np.unique(named[at] * len(words) + t.codes[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
         named, size = np.zeros(len(key), np.int64), len(first)
         named[at] = place
-        for i, n in zip(at[first].tolist(), count.tolist()):
-            yield langs[t.lang[i]], m, " ".join([vocab[c] for c in t.codes[i : i + m]]), n
+        starts = at[first]
+        phrase = pc.binary_join_element_wise(*[words.take(pa.array(t.codes[starts + i])) for i in range(m)], " ")
+        yield table_of(langs.take(pa.array(t.lang[starts])), m, phrase, count, key[starts])
+
+
+def table_of(lang: pa.Array, n_words: int, phrase: pa.Array, count: np.ndarray, key: np.ndarray) -> pa.Table:
+    values = [lang, pa.array(np.full(len(lang), n_words, np.int32)), phrase, pa.array(count.astype(np.int64)), pa.array(key.view(np.int64))]
+    return pa.table(values, ["lang", "n_words", "phrase", "count", "key"])
+
+
+def merged(tables: list[pa.Table]) -> pa.Table:
+    """Each phrase once, with the sum of its counts."""
+    summed_up = pa.concat_tables(tables).group_by(["lang", "n_words", "phrase"]).aggregate([("count", "sum"), ("key", "min")])
+    return summed_up.rename_columns(["lang", "n_words", "phrase", "count", "key"])
+
+
+def packed(table: pa.Table, bits: int) -> pa.RecordBatch:
+    """A row for each hash partition, with its phrases and counts."""
+    key = table.column("key").to_numpy().view(np.uint64)
+    part = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    bounds = pa.array(np.append(first, len(part)).astype(np.int32))
+    table = table.take(pa.array(order)).combine_chunks()
+    lists = [pa.ListArray.from_arrays(bounds, table.column(c).chunk(0)) for c in ("lang", "n_words", "phrase", "count")]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *lists], ["part", "lang", "n_words", "phrase", "count"])
+
+
+def exact_counts(docs: DataFrame, longest: int, filters: Broadcast, bits: int, threshold: int) -> DataFrame:
+    """The candidates that have the threshold. Tasks add up what they count; the rest is added up by hash partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, n = [], 0
+        for batch in slices(batches):
+            for table in exact(tokens(batch.column("text"), batch.column("lang")), longest, filters.value):
+                tables, n = [*tables, table], n + table.num_rows
+            if n > PENDING:
+                tables = [merged(tables)]
+                n = tables[0].num_rows
+            if n > PENDING // 2:
+                yield packed(merged(tables), bits)
+                tables, n = [], 0
+        if tables:
+            yield packed(merged(tables), bits)
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        flat = pa.table([pc.list_flatten(table.column(c)) for c in ("lang", "n_words", "phrase", "count")], ["lang", "n_words", "phrase", "count"])
+        total = flat.group_by(["lang", "n_words", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "n_words", "phrase", "count"])
+        return total.filter(pc.or_(pc.equal(total.column("n_words"), 0), pc.greater_equal(total.column("count"), threshold)))
+
+    return docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, COUNTED)
 
 
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
@@ -269,14 +321,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
             found = BitFilter.of(candidates(docs, lengths, filters, bits, threshold))
             filters = filters | dict.fromkeys(lengths, found)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = list(exact(tokens(batch.column("text"), batch.column("lang")), longest, sent.value))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, [pa.string(), pa.int32(), pa.string(), pa.int64()])], ["lang", "n_words", "phrase", "count"])
-
-    counted = docs.mapInArrow(run, COUNTED).groupBy("lang", "n_words", "phrase").agg(F.sum("count").alias("count"))
-    return written_table(counted.where(f"n_words = 0 OR count >= {int(threshold)}"), "phrases")
+    return written_table(exact_counts(docs, longest, sent, bits, threshold), "phrases")
 
 
 def wide(name: str) -> Column:
@@ -295,7 +340,9 @@ def scored(counts: DataFrame) -> DataFrame:
     longer = longer.withColumn("right", F.array_join(F.slice("words", F.col("k") + 1, F.col("n_words")), " "))
     for side, name in (("left", "l"), ("right", "r")):
         longer = longer.join(counts.where("n_words > 0").select("lang", F.col("phrase").alias(side), F.col("count").alias(name)), ["lang", side])
-    longer = longer.join(counts.where("n_words = 0").select("lang", F.col("count").alias("n")), "lang")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = counts.where("n_words = 0").select("lang", F.col("count").alias("n"), salts)
+    longer = longer.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(sizes, ["lang", "salt"])
     ratio = (wide("a") * wide("n") * F.lit(1000).cast("decimal(4,0)")).alias("x"), (wide("l") * wide("r")).alias("y")
     longer = longer.select("*", *ratio).withColumn("score", F.expr("x div y"))
     weakest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut")
