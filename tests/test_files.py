@@ -5,16 +5,20 @@ from types import SimpleNamespace
 
 import pytest
 
+from weftload.functions import patterns
+from weftload.functions.patterns import Pattern
 from weftload.plans.workload import row_ids, statements, typed_rows
 from weftload.session import shared_dir
 from weftload.sources.files import (
     bulk_write,
     cached_statements,
+    content_of,
     more_than_preview,
     preview,
     read_statements,
     write_statements,
 )
+from weftload.sources.vocabulary import load_vocabulary
 from weftload.spec import WorkloadSpec
 
 SPEC = WorkloadSpec.of("insert into t values(<increment>, '<string/1/3>')", 103, batch_size=5)
@@ -58,6 +62,36 @@ def test_cache_is_built_once_and_repaired(spark, tmp_path):
     assert (folder / "_SUCCESS").exists()
 
 
+def test_cache_follows_the_words_of_a_file(spark, tmp_path):
+    """A changed word builds a new table, in the literal and in the paged form; a changed thread count does not."""
+    words, folder = tmp_path / "words.txt", tmp_path / "cache"
+    for literal in (10, 0):
+        seen = set()
+        for text in ("one two three", "one two four", "one two three"):
+            words.write_text(text)
+            load = f"insert into t(x) values('<text/{{{words}}}/1/2>')"
+            for threads in (1, 4):
+                spec = WorkloadSpec.of(load, 20, batch_size=5, threads=threads)
+                rows = cached_statements(spark, spec, str(folder / str(literal)), lambda p: load_vocabulary(spark, p, literal))
+                seen.add(("four" in " ".join(r.stmt.lower() for r in rows.collect()), len(list((folder / str(literal)).iterdir()))))
+        assert seen == {(False, 1), (True, 2), (False, 2)}
+
+
+def test_cache_follows_custom_patterns():
+    class Fixed(Pattern):
+        def __init__(self, value):
+            self.value = value
+
+    specs = []
+    for value in (1, 2):
+        patterns._CUSTOM["fixed"] = lambda args, value=value: Fixed(value)
+        try:
+            specs.append(SPEC.fingerprint(content_of(WorkloadSpec.of("insert into t values(<fixed>)", 5))))
+        finally:
+            patterns._CUSTOM.clear()
+    assert len(set(specs)) == 2
+
+
 def test_bulk_write(spark, tmp_path):
     rows = typed_rows(SPEC, row_ids(spark, 103))
     path = str(tmp_path / "rows")

@@ -17,7 +17,14 @@ from weftload.functions.patterns import (
 )
 from weftload.functions.text import MARKS, Vocabulary, default_words
 from weftload.plans.workload import row_ids, statements, typed_rows
-from weftload.sources.vocabulary import count_words, load_vocabulary, text_from_pages, vocabulary_pages
+from weftload.plans.workload import statements
+from weftload.sources.vocabulary import (
+    count_words,
+    load_vocabulary,
+    numbered_lines,
+    text_from_pages,
+    vocabulary_pages,
+)
 from weftload.spec import Template, WorkloadSpec
 
 LOAD = (
@@ -197,3 +204,44 @@ def test_paged_vocabulary_with_one_huge_text(spark):
     assert len(found) == 300
     assert {w.strip(".!?,;").lower() for r in found for w in r.text.split()} <= set(flat)
     assert all(r.text == "" or (r.text[0].isupper() and r.text.endswith(".")) for r in found)
+
+
+@pytest.mark.parametrize("n", [1_999, 2_001, 2_700, 60_000])
+def test_literal_and_paged_texts_are_the_same(spark, tmp_path, n):
+    """One file of words, once as constants in the plan and once looked up in pages."""
+    path = tmp_path / "words.txt"
+    path.write_text("\n".join(" ".join(f"w{i}" for i in range(k, min(k + 7, n))) for k in range(0, n, 7)))
+    load = f"insert into t(x, y) values('<text/{{{path}}}/0/9>', '<text/{{{path}}}/2/4>')"
+    spec = WorkloadSpec.of(load, 300)
+
+    def rows(literal):
+        found = typed_rows(spec, row_ids(spark, 300), load_words=lambda p: load_vocabulary(spark, p, literal))
+        return sorted(tuple(r) for r in found.collect())
+
+    assert rows(n) == rows(0)
+
+
+def test_statements_over_a_long_word_list(spark, tmp_path):
+    """Mixed templates, batches, and a prefix that holds a looked-up text."""
+    path = tmp_path / "words.txt"
+    path.write_text(" ".join(f"w{i}" for i in range(5000)))
+    loads = [f"insert into t(x) values('<text/{{{path}}}/1/3>')", f"insert into <text/{{{path}}}/1/1> values(<increment>)", f"select '<text/{{{path}}}/1/2>'"]
+    spec = WorkloadSpec.of(loads, 200, weights="0.4,0.3,0.3", batch_size=3)
+
+    def found(literal):
+        stmts = statements(spark, spec, load_words=lambda p: load_vocabulary(spark, p, literal))
+        return [tuple(r) for r in stmts.orderBy("pos").collect()]
+
+    assert found(5000) == found(0)
+
+
+def test_lines_are_numbered_across_files_and_pieces(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / f"part-{part}").write_text("".join(f"{part} {i}\n" for i in range(500 - 200 * part)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = sorted((r.line_no, r.value) for r in numbered_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [v for _, v in found] == [f"{p} {i}" for p in range(3) for i in range(500 - 200 * p)]
+    assert [n for n, _ in found] == list(range(len(found)))

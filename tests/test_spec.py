@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftload.functions.statements import script_parts, weights_error
-from weftload.spec import Template, WorkloadSpec, with_defaults
+from weftload.spec import Template, WorkloadSpec, fingerprint_column, with_defaults
 
 TWO = ["insert into t values(<increment>)", "update t set a = <int/1/2>"]
 
@@ -63,6 +63,17 @@ def test_fingerprint():
     assert base.fingerprint() != base.fingerprint({"/w.txt": "digest"})
 
 
+def test_fingerprint_in_columns(spark):
+    """Parameters in columns have the identity of the spec they make."""
+    specs = [WorkloadSpec.of(TWO[0], 5, batch_size=2), WorkloadSpec.of(TWO[0], 7, batch_size="1,30", init='say "é"')]
+    df = spark.createDataFrame(
+        [(list(s.load), s.total, list(s.batch_sizes), s.init) for s in specs],
+        "load array<string>, total long, batch_sizes array<int>, init string",
+    )
+    columns = {c: F.col(c) for c in df.columns}
+    assert [r.f for r in df.select(fingerprint_column(columns).alias("f")).collect()] == [s.fingerprint() for s in specs]
+
+
 def test_defaults():
     got = with_defaults({"threads": 3, "total": None}, {"total": 9, "host": "x"}, {"total": 1, "threads": 1, "delay": 0})
     assert got == {"total": 9, "threads": 3, "delay": 0}

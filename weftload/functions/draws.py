@@ -69,6 +69,24 @@ def element_in(state: Column, k: Column, low: int, high: int) -> Column:
     return draw % span + low
 
 
+def draws_in(state: Column, count: Column, span: int) -> Column:
+    """``element_in(state, k, 0, span - 1)`` of elements 1..count as an array."""
+    if span <= NARROW_SPAN:
+        return F.transform(element_draws(state, count), lambda d: d % span)
+    # Elements 2, 3, 4, ... in pairs.
+    pairs = element_draws(state + STEP, count * 2)
+    one = F.lit(1).cast("bigint")
+
+    def joined(drawn: Column) -> Column:
+        def pair(k: Column) -> Column:
+            first = (k * 2 - 2).cast("int")
+            return (F.get(drawn, first) * PRIME + F.get(drawn, first + 1)) % span
+
+        return F.transform(F.sequence(one, count), pair)
+
+    return let(pairs, joined)
+
+
 def uniform_long(draw: Column, low: int, high: int) -> Column:
     """Map a 60-bit draw to an integer in [low, high]."""
     return draw % (high - low + 1) + low

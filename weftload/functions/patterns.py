@@ -24,7 +24,7 @@ from weftload.functions.draws import (
     let,
     uniform_long,
 )
-from weftload.functions.text import Vocabulary, text_column
+from weftload.functions.text import PagedVocabulary, Vocabulary, lookup_name, text_column
 
 # The placeholder types of the template language.
 KNOWN_TYPES = [
@@ -161,13 +161,15 @@ class Text(Pattern):
 
     low: int = 20
     high: int = 300
-    vocabulary: Vocabulary = field(default_factory=Vocabulary.default)
+    vocabulary: Vocabulary | PagedVocabulary = field(default_factory=Vocabulary.default)
     path: str | None = None
 
     def __post_init__(self) -> None:
         _check_size(self.low, self.high, "text")
 
     def column(self, at: Slot) -> Column:
+        if isinstance(self.vocabulary, PagedVocabulary):
+            return F.col(lookup_name(at.template, at.slot))
         return text_column(at.key(), self.low, self.high, self.vocabulary)
 
 
@@ -264,7 +266,7 @@ def placeholder_regex() -> re.Pattern[str]:
 
 
 def parse_pattern(
-    text: str, load_words: Callable[[str], Vocabulary] | None = None
+    text: str, load_words: Callable[[str], Vocabulary | PagedVocabulary] | None = None
 ) -> Pattern:
     """Turn the text between ``<`` and ``>`` into a pattern."""
     match = _VOCABULARY_FORM.fullmatch(text)

@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftload.functions.draws import element_draws, element_in, let
+from weftload.functions.draws import draws_in, element_in, let
 
 # Characters that separate words in a vocabulary file.
 WORD_SEPARATORS = r"""[\s.,;:!?()\[\]{}"'\-]+"""
@@ -18,7 +18,9 @@ MARK_ODDS = 5
 
 WORD_JOINER = "\x1f"
 
+#: Words in a plan's constants, at most; longer lists are looked up in pages, with the same result.
 LITERAL_VOCABULARY_LIMIT = 50_000
+#: Words whose written forms are all kept as constants; an optimization that changes no result.
 DECORATED_LIMIT = 2_000
 
 
@@ -50,10 +52,9 @@ def exploded(df: DataFrame, values: Column, name: str, position: str | None = No
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A word list small enough to live in the plan as an array literal.
+    """A word list that lives in the plan as an array literal.
 
-    ``LITERAL_VOCABULARY_LIMIT`` bounds it. Longer lists are paged tables; see
-    ``weftload.sources.vocabulary``.
+    Loaders give lists of up to ``LITERAL_VOCABULARY_LIMIT`` words in this form.
     """
 
     words: tuple[str, ...]
@@ -61,8 +62,6 @@ class Vocabulary:
     def __post_init__(self) -> None:
         if not self.words:
             raise ValueError("vocabulary is empty")
-        if len(self.words) > LITERAL_VOCABULARY_LIMIT:
-            raise ValueError("vocabulary too long for a literal; use a paged vocabulary")
 
     @staticmethod
     def default() -> Vocabulary:
@@ -73,6 +72,22 @@ class Vocabulary:
         return len(self.words)
 
 
+@dataclass(frozen=True)
+class PagedVocabulary:
+    """A word list of any length: a table of pages, and the number of words.
+
+    A text over it is no expression but a lookup, made before the statement is put together.
+    """
+
+    pages: DataFrame
+    size: int
+
+
+def lookup_name(template: int, slot: int) -> str:
+    """The column in which a looked-up text waits for its statement."""
+    return f"_text_{template}_{slot}"
+
+
 def whole_div(a: Column, b: int) -> Column:
     """Integer division of a long by a positive constant."""
     return F.call_function("div", a, F.lit(b).cast("bigint"))
@@ -137,7 +152,7 @@ def text_column(state: Column, low: int, high: int, vocabulary: Vocabulary) -> C
 
     def body(seeded: Column) -> Column:
         def of_length(count: Column) -> Column:
-            draws = F.transform(element_draws(seeded, count), lambda d: d % cases)
+            draws = draws_in(seeded, count, cases)
             text = let(F.transform(draws, lambda d: form_code(d, size)), written)
             return F.when(count > 0, text).otherwise(F.lit("")) if low == 0 else text
 

@@ -48,6 +48,7 @@ from weftload.sources.files import (
 )
 from weftload.sources.vocabulary import (
     count_words,
+    load_vocabulary,
     text_from_pages,
     vocabulary_pages,
     vocabulary_rows,
@@ -278,6 +279,16 @@ def gen_text_vocab(spark, folder):
     return text_from_pages(customer_rows(spark, folder), pages, count_words(pages), 3, 12)
 
 
+@query("gen_text_file", VOCAB_CHECK)
+def gen_text_file(spark, folder):
+    """The same words as a file of lines that a placeholder names; a long list stays in pages."""
+    path = shared_dir(spark, "words")
+    read(spark, folder, "documents").orderBy("doc_id").select("text").write.text(path)
+    spec = WorkloadSpec.of(f"INSERT INTO t(text) VALUES ('<text/{{{path}}}/3/12>')", 1)
+    rows = typed_rows(spec, customer_rows(spark, folder), load_words=lambda p: load_vocabulary(spark, p))
+    return rows.select("row_id", "text")
+
+
 RENDER_LOAD = (
     "INSERT INTO t(id, f, v) VALUES(<increment>, '<string/3/6>', [<array/1/4/1/9>], <float/0/1>)"
 )

@@ -9,6 +9,7 @@ from weftload.functions import statements as st
 from weftload.plans.inputs import STATEMENTS, TEMPLATES, read, select, sql
 from weftload.functions.text import exploded
 from weftload.plans.registry import query
+from weftload.spec import fingerprint_column
 
 TEMPLATE_ROWS = sql(TEMPLATES)
 STATEMENT_ROWS = sql(STATEMENTS)
@@ -243,19 +244,19 @@ def config_inherit(spark, folder):
 
 @query(
     "spec_fingerprint",
-    "SELECT o_orderkey AS job, md5(concat_ws('_', '', 'insert into t values(<increment>)', "
-    "CAST(o_custkey AS STRING), CAST(1 + o_orderkey % 5 AS STRING), o_orderpriority)) AS fingerprint FROM orders",
+    """SELECT o_orderkey AS job, md5('{"batch_sizes":[' || (1 + o_orderkey % 5) || '],"content":{},"init":"' || o_orderpriority
+ || '","iterations":1,"load":["insert into t values(<increment>)"],"process_index":1,"seed":42,"total":' || (1 + o_custkey)
+ || ',"weights":null}') AS fingerprint FROM orders""",
 )
 def spec_fingerprint(spark, folder):
-    """Identity of a parameter set held in columns."""
-    parts = F.concat_ws(
-        "_", F.lit(""), F.lit("insert into t values(<increment>)"),
-        F.col("o_custkey").cast("string"), (1 + F.col("o_orderkey") % 5).cast("string"),
-        F.col("o_orderpriority"),
-    )
-    return read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("job"), F.md5(parts).alias("fingerprint")
-    )
+    """Identity of a spec per order: batch size, init text and total come from columns."""
+    found = fingerprint_column({
+        "load": F.array(F.lit("insert into t values(<increment>)")),
+        "total": 1 + F.col("o_custkey"),
+        "batch_sizes": F.array(1 + F.col("o_orderkey") % 5),
+        "init": F.col("o_orderpriority"),
+    })
+    return read(spark, folder, "orders").select(F.col("o_orderkey").alias("job"), found.alias("fingerprint"))
 
 
 # ---------------------------------------------------------------- figures as text

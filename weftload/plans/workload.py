@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftload.functions.text import Vocabulary
+from weftload.functions.text import PagedVocabulary, Vocabulary, lookup_name
 from weftload.operators.batching import assemble, first_rows
 from weftload.operators.blocks import BLOCK_ROWS
 from weftload.operators.mix import choose_template, template_rank
+from weftload.sources.vocabulary import text_from_pages
 from weftload.spec import Template, WorkloadSpec
 
-Loader = Callable[[str], Vocabulary] | None
+Loader = Callable[[str], Vocabulary | PagedVocabulary] | None
 
 
 ROWS_PER_TASK = 1_000_000
@@ -59,6 +60,17 @@ def numbered(
     return template_rank(chosen, block_rows)
 
 
+def looked_up(spec: WorkloadSpec, rows: DataFrame, templates: list[Template]) -> DataFrame:
+    """The first phase of texts over long word lists: a column for each, joined by row id."""
+    for index, template in enumerate(templates):
+        for slot, text in template.lookups.items():
+            own = rows.where(F.col("template_idx") == index).select("row_id")
+            words = text.vocabulary
+            texts = text_from_pages(own, words.pages, words.size, text.low, text.high, spec.seed, index, slot)
+            rows = rows.join(texts.withColumnRenamed("text", lookup_name(index, slot)), "row_id", "left")
+    return rows
+
+
 def typed_rows(
     spec: WorkloadSpec, rows: DataFrame, index: int = 0, load_words: Loader = None
 ) -> DataFrame:
@@ -67,6 +79,7 @@ def typed_rows(
     base = numbered(spec, rows, templates, always=True)
     if len(templates) > 1:
         base = base.where(F.col("template_idx") == index)
+    base = looked_up(spec, base, templates)
     return base.select(
         "row_id", "rank",
         *templates[index].values(spec.seed, index, F.col("row_id"), F.col("rank")),
@@ -92,7 +105,7 @@ def single_statements(
 ) -> DataFrame:
     """One statement per row."""
     templates = spec.templates(load_words)
-    base = numbered(spec, rows, templates)
+    base = looked_up(spec, numbered(spec, rows, templates), templates)
     row_id, rank = F.col("row_id"), F.col("rank")
     stmt = _per_template(templates, lambda i, t: t.statement(spec.seed, i, row_id, rank))
     return base.select(
@@ -113,7 +126,7 @@ def batched_statements(
     for template in templates:
         if template.batchable:
             template.require_tuple()
-    base = numbered(spec, rows, templates, block_rows)
+    base = looked_up(spec, numbered(spec, rows, templates, block_rows), templates)
     row_id, rank = F.col("row_id"), F.col("rank")
     merged = [i for i, t in enumerate(templates) if t.batchable]
     parts = []
@@ -134,6 +147,7 @@ def batched_statements(
         )
         if not all(templates[i].constant_prefix for i in merged):
             first = first_rows(inserts).withColumn("rank", F.lit(0).cast("bigint"))
+            first = looked_up(spec, first, templates)
             # One row per template of the spec: the broadcast is bounded by its length.
             prefixes = F.broadcast(first.select("template_idx", prefix.alias("prefix")))
             texts = texts.drop("prefix").join(prefixes, "template_idx")
@@ -198,7 +212,8 @@ def statements(
     """
     templates = spec.templates(load_words)
     batching = spec.batch_size > 1 and any(t.batchable for t in templates)
-    if batching and rows is None and len(templates) == 1 and templates[0].constant_prefix:
+    plain = rows is None and len(templates) == 1 and not templates[0].lookups
+    if batching and plain and templates[0].constant_prefix:
         return dense_batches(spark, spec, load_words)
     source = row_ids(spark, spec.total) if rows is None else rows.select("row_id")
     if batching:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftload.functions.text import whole_div
 from weftload.plans.workload import Loader, statements
+from weftload.sources.vocabulary import content_digest
 from weftload.spec import WorkloadSpec
 
 PROGRESS_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -71,17 +74,39 @@ def more_than_preview(stmts: DataFrame, limit: int = 3) -> int:
     return max(0, stmts.count() - limit)
 
 
+def content_of(spec: WorkloadSpec, load_words: Loader = None) -> dict[str, str]:
+    """What the templates of a spec stand for, beyond their text.
+
+    A digest of each word file's words, and class and fields of each custom pattern.
+    """
+    content: dict[str, str] = {}
+
+    def remember(path: str):
+        words = load_words(path)
+        content[path] = content_digest(words)
+        return words
+
+    for template in spec.templates(remember if load_words else None):
+        for placeholder in template.placeholders:
+            pattern, make = placeholder.pattern, type(placeholder.pattern)
+            if not make.__module__.startswith("weftload."):
+                made_of = sorted((k, repr(v)) for k, v in vars(pattern).items())
+                content[f"<{placeholder.text}>"] = f"{make.__module__}.{make.__qualname__}{made_of}"
+    return content
+
+
 def cached_statements(
-    spark: SparkSession, spec: WorkloadSpec, folder: str, load_words: Loader = None,
-    vocabulary: dict[str, str] | None = None,
+    spark: SparkSession, spec: WorkloadSpec, folder: str, load_words: Loader = None
 ) -> DataFrame:
     """Generate once per fingerprint, then read the stored table.
 
-    A run that died leaves no success marker; its remains are replaced.
+    The fingerprint covers the words of word files: a changed word builds another table. A run
+    that died leaves no success marker; its remains are replaced.
     """
-    path = f"{folder.rstrip('/')}/{spec.fingerprint(vocabulary)}"
+    loader = cache(load_words) if load_words else None
+    path = f"{folder.rstrip('/')}/{spec.fingerprint(content_of(spec, loader))}"
     if not _complete(spark, path):
-        statements(spark, spec, load_words=load_words).write.mode("overwrite").parquet(path)
+        statements(spark, spec, load_words=loader).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

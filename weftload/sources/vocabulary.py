@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftload.functions.draws import element_in, key60
@@ -10,6 +12,8 @@ from weftload.functions.text import (
     LITERAL_VOCABULARY_LIMIT,
     MARK_ODDS,
     MARKS,
+    WORD_JOINER,
+    PagedVocabulary,
     Vocabulary,
     capitalised,
     exploded,
@@ -29,16 +33,39 @@ def vocabulary_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     return exploded(lines, split_words(F.col(text)), "word", "word_pos")
 
 
-def load_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
-    """A word file as a literal vocabulary. At most the limit plus one word is fetched;
-    longer lists are refused here, use ``vocabulary_pages`` for them."""
-    lines = spark.read.text(path)
-    words = [
-        r.word
-        for r in vocabulary_rows(lines).select("word").take(LITERAL_VOCABULARY_LIMIT + 1)
-    ]
-    if not words:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, value)`` of a text file or folder: files by name, lines in their order.
+
+    A file may be read in many pieces. Ids rise within a piece; a piece's first number follows
+    from the sizes of the pieces before it, one row each.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    lines = written_table(lines, "lines")
+    pieces = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    number = F.col("_base") + F.col("_id") - F.col("_first")
+    return lines.join(pieces, ["_file", "_start"]).select(number.alias("line_no"), "value")
+
+
+def load_vocabulary(
+    spark: SparkSession, path: str, literal: int = LITERAL_VOCABULARY_LIMIT
+) -> Vocabulary | PagedVocabulary:
+    """A word file as a vocabulary, whatever its length.
+
+    Up to ``literal`` words come as a literal; a longer list stays in pages. Texts are the same.
+    """
+    pages = vocabulary_pages(numbered_lines(spark, path), "line_no", "value")
+    size = pages.agg(F.sum(F.size("words").cast("bigint"))).first()[0]
+    if not size:
         raise ValueError(f"no words in {path}")
+    if size > literal:
+        return PagedVocabulary(pages, size)
+    words = [w for r in pages.orderBy("page").collect() for w in r.words]  # at most ``literal`` words
     return Vocabulary(tuple(words))
 
 
@@ -133,3 +160,15 @@ def text_from_pages(
         return texts
     empty = counted.where("_count = 0").select("row_id", F.lit("").alias("text"))
     return texts.unionByName(empty)
+
+
+def content_digest(vocabulary: Vocabulary | PagedVocabulary) -> str:
+    """Identity of a word list: its words in their places. A paged list is summed up by tasks."""
+    if isinstance(vocabulary, Vocabulary):
+        return hashlib.md5(WORD_JOINER.join(vocabulary.words).encode()).hexdigest()
+    place = F.xxhash64("page", "words")
+    other = F.xxhash64(F.lit(1), "page", "words")
+    found = vocabulary.pages.agg(
+        F.count(F.lit(1)), F.sum(F.size("words")), F.bit_xor(place), F.bit_xor(other)
+    ).first()
+    return ":".join(str(x) for x in found)

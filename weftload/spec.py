@@ -7,7 +7,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -17,10 +17,11 @@ from weftload.functions.patterns import (
     Increment,
     Pattern,
     Slot,
+    Text,
     parse_pattern,
     placeholder_regex,
 )
-from weftload.functions.text import Vocabulary
+from weftload.functions.text import PagedVocabulary, Vocabulary
 
 WEIGHT_TOLERANCE = Fraction(1, 1_000_000)
 _BATCHABLE = re.compile(r"(insert|replace)", re.I)
@@ -47,7 +48,7 @@ class Template:
 
     @staticmethod
     def compile(
-        sql: str, load_words: Callable[[str], Vocabulary] | None = None
+        sql: str, load_words: Callable[[str], Vocabulary | PagedVocabulary] | None = None
     ) -> Template:
         known: dict[str, Pattern] = {}
         found = []
@@ -83,6 +84,12 @@ class Template:
     def needs_rank(self) -> bool:
         return any(isinstance(p.pattern, Increment) for p in self.placeholders)
 
+    @property
+    def lookups(self) -> dict[int, Pattern]:
+        """Texts that are looked up before the statement is put together, by slot."""
+        paged = {i: p.pattern for i, p in enumerate(self.placeholders) if isinstance(p.pattern, Text)}
+        return {i: p for i, p in paged.items() if isinstance(p.vocabulary, PagedVocabulary)}
+
     def slots(self, seed: int, index: int, row_id: Column, rank: Column) -> list[Slot]:
         """One slot per occurrence; equal increments count down from the right."""
         counters = [
@@ -265,7 +272,7 @@ class WorkloadSpec:
         return check_weights(self.weights, len(self.load))
 
     def templates(
-        self, load_words: Callable[[str], Vocabulary] | None = None
+        self, load_words: Callable[[str], Vocabulary | PagedVocabulary] | None = None
     ) -> list[Template]:
         return [Template.compile(sql, load_words) for sql in self.load]
 
@@ -283,17 +290,40 @@ class WorkloadSpec:
             raise ValueError("pick one batch size with sweep()")
         return self.batch_sizes[0]
 
-    def fingerprint(self, vocabulary: dict[str, str] | None = None) -> str:
+    def fingerprint(self, content: dict[str, str] | None = None) -> str:
         """Identity of the generated data.
 
         Threads do not matter (all runs of a thread sweep share the data), neither does
-        the degree of parallelism; the seed and the content of vocabulary files do.
+        the degree of parallelism; the seed does, and so does the ``content`` that the
+        templates stand for: a digest per word file, the make of a custom pattern.
         """
-        parts = asdict(self)
-        for name in ("threads", "column"):
-            parts.pop(name)
-        parts["vocabulary"] = vocabulary or {}
-        return hashlib.md5(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+        parts = {name: value for name, value in asdict(self).items() if name in IDENTITY}
+        parts["content"] = content or {}
+        text = json.dumps(parts, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return hashlib.md5(text.encode()).hexdigest()
+
+
+#: What of a spec its data depends on, in order.
+IDENTITY = ("batch_sizes", "init", "iterations", "load", "process_index", "seed", "total", "weights")
+
+
+def fingerprint_column(parts: dict[str, Column]) -> Column:
+    """``WorkloadSpec.fingerprint`` of specs that are held in columns, named as the fields of one.
+
+    Absent fields are left at their defaults.
+    """
+    plain = {f.name: f.default for f in fields(WorkloadSpec)}
+
+    def value(name: str) -> Column:
+        if name in parts:
+            return parts[name]
+        default = plain[name]
+        return F.array(*[F.lit(v) for v in default]) if isinstance(default, tuple) else F.lit(default)
+
+    known = [value(name).alias(name) for name in IDENTITY]
+    empty = F.create_map().cast("map<string,string>").alias("content")
+    struct = F.struct(known[0], empty, *known[1:])
+    return F.md5(F.to_json(struct, {"ignoreNullFields": "false"}))
 
 
 def _int_list(value) -> tuple[int, ...]:
