@@ -23,7 +23,7 @@ from weftload.session import written_table
 WEIGHTS = (5, 2, 1)
 #: A source gives each document at most this often.
 MOST = 3
-RANGE_ROWS = 1 << 16
+RANGE_ROWS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash keys are compared in full; ranges are made from their first 8 hex digits.
 KEY_DIGITS, KEY_SPACE = 8, 1 << 32
