@@ -10,6 +10,8 @@ from weftload.operators import monitor as mon
 from weftload.operators import replay as rep
 from weftload.operators.match import bulk_match, match_counts
 from weftload.functions import formats as fmt
+from weftload.plans.workload import statements
+from weftload.spec import WorkloadSpec
 
 START = dt.datetime(2024, 5, 1, 12, 0, 0)
 
@@ -252,3 +254,41 @@ def test_newest_status_forgets_old_values(spark):
     df = spark.createDataFrame(rows, "ts int, target string, variable string, value string")
     (row,) = mon.newest_status(df).collect()
     assert (row.disk_chunks, row.is_optimizing, row.ram_bytes, row.disk_bytes) == (3, 0, 0, 0)
+
+
+def test_statements_are_read_back(spark):
+    stmts = [
+        "insert into t values(1, 7),(2, 4);",
+        "INSERT INTO t(name, `a`, id) VALUES ('x), (9, 9', 5, 3), ('it''s \\\\ \\' (b', 6, 4)",
+        "insert into t(id, v, a) values (5, (0.1, 0.2), 1), (6, [1,2], 2)",
+        "insert into other values (7, 7)",
+        "update t set a = 25 where id = 1",
+        "UPDATE t SET name = ' where id = 2, a = 9', a = 30 WHERE ID=2;",
+        "update t set a = 99 where a = 5",
+        "update t set name = 'b' where id = 3",
+        "update t set a = 24 where id = 50",
+        "replace into t values (4, 40)",
+        "select * from t where id = 1",
+        "insert into t values (1, 0)",
+    ]
+    df = spark.createDataFrame(list(enumerate(stmts)), "pos long, stmt string").repartition(3)
+    found = [tuple(r) for r in rep.replay_statements(df, "t").collect()]
+    assert found == [(1, 25.0), (2, 30.0), (3, 5.0), (4, 40.0), (5, 1.0), (6, 2.0)]
+    names = rep.read_changes(df, ["id", "name"]).where("op = 'insert' AND target = 't' AND pos.pos = 1").orderBy("pos")
+    assert [(r.id, r.name) for r in names.collect()] == [("3", "x), (9, 9"), ("4", "it's \\ ' (b")]
+
+
+def test_generated_statements_replay_to_the_rows_they_hold(spark):
+    """A mix of batched inserts and updates, written as text; a third of the rows or so are inserts."""
+    spec = WorkloadSpec.of(
+        ["insert into t values(<increment>, <int/1/10>)", "update t set a = <int/20/30> where id = <int/1/7>"],
+        100, weights="0.3,0.7", batch_size=5,
+    )
+    stmts = statements(spark, spec).select("pos", "stmt", "template_idx", "n_rows")
+    inserted = stmts.where("template_idx = 0").agg(F.sum("n_rows")).first()[0]
+    found = rep.replay_statements(stmts, "t").collect()
+    assert [r.id for r in found] == list(range(1, inserted + 1))
+    assert all(1 <= r.a <= 10 for r in found if r.id > 7)
+    big = "insert into t values" + ",".join(f"({i}, '{'x(' * 500}')" for i in range(2000))
+    rows = rep.read_changes(spark.createDataFrame([(1, big)], "pos long, stmt string"), ["id", "a"])
+    assert rows.count() == 2000 and rows.agg(F.min(F.length("a"))).first()[0] == 1000

@@ -127,6 +127,25 @@ STATEMENTS: Select = (
     ],
     "true",
 )
+# Statements that write a table: several tuples, replaces, keyed updates, texts with brackets and
+# key words in them, and statements that write nothing. A quote is written as chr(39).
+_Q = "chr(39)"
+WRITES: Select = (
+    "events",
+    [
+        "event_id AS pos",
+        f"CASE event_type WHEN 'signup' THEN concat('INSERT INTO t(note, id, a) VALUES (', {_Q}, 'it', {_Q}, {_Q}, "
+        f"'s (x), y', {_Q}, ', ', CAST(user_id AS STRING), ', ', CAST(value AS STRING), '),(', {_Q}, '); values (1', {_Q}, "
+        "', ', CAST(user_id + 500 AS STRING), ', ', CAST(value AS STRING), ');') "
+        "WHEN 'purchase' THEN concat('replace into t (id, a) values(', CAST(user_id AS STRING), ',', "
+        "CAST(value AS STRING), ')') "
+        f"WHEN 'click' THEN concat('update t set note = ', {_Q}, ' where id = 7', {_Q}, ', a = ', "
+        "CAST(value AS STRING), ' where id = ', CAST(user_id AS STRING), ';') "
+        "WHEN 'view' THEN concat('INSERT INTO other(id, a) VALUES (', CAST(user_id AS STRING), ', 1)') "
+        "ELSE 'select * from t where id = 1' END AS stmt",
+    ],
+    "true",
+)
 # Templates with known, unknown and malformed placeholders.
 TEMPLATES: Select = (
     "part",

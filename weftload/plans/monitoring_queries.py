@@ -19,6 +19,7 @@ from weftload.plans.inputs import (
     SIZES,
     STATUS,
     USER_PROGRESS,
+    WRITES,
     read,
     select,
     sql,
@@ -377,6 +378,21 @@ def replay_all(spark, folder):
     return rep.replay(changes(spark, folder))
 
 
+@query(
+    "replay_statements",
+    f"""WITH l AS (SELECT pos * 2 AS pos, op, id, a FROM {CHANGE_ROWS} WHERE op IN ('insert', 'replace', 'update')
+  UNION ALL SELECT pos * 2 + 1, op, id + 500, a FROM {CHANGE_ROWS} WHERE op = 'insert'),
+b AS (SELECT id, coalesce(max(pos) FILTER (WHERE op = 'replace'), min(pos) FILTER (WHERE op = 'insert')) AS pos
+  FROM l GROUP BY id),
+u AS (SELECT l.id, max(l.pos) AS pos FROM l JOIN b ON l.id = b.id AND l.op = 'update' AND l.pos > b.pos GROUP BY l.id)
+SELECT b.id, l.a FROM b LEFT JOIN u ON b.id = u.id JOIN l ON l.id = b.id AND l.pos = coalesce(u.pos, b.pos)
+WHERE b.pos IS NOT NULL ORDER BY b.id""",
+)
+def replay_statements(spark, folder):
+    """Statement texts to the table they leave."""
+    return rep.replay_statements(select(spark, folder, WRITES), "t")
+
+
 WORD_CLASS = """[\\s.,;:!?()\\[\\]{}"''\\-]+"""
 TOKENS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '{WORD_CLASS}'), lambda w: w <> ''))"
 
