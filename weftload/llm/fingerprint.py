@@ -179,10 +179,10 @@ def ring(docs: DataFrame) -> DataFrame:
     # one row for each task that dealt ids out, so this window stays small
     across = Window.orderBy("part")
     firsts = firsts.select("part", F.lag("last").over(across).alias("seam"), F.lag("last_n").over(across).alias("seam_n"))
-    final = dealt.agg(F.max("id").alias("end"), F.max_by("n", "id").alias("end_n"))
+    end, end_n = dealt.agg(F.max("id")).scalar(), dealt.agg(F.max_by("n", "id")).scalar()
     local = Window.partitionBy("part").orderBy("id")
-    rows = dealt.withColumns({"p": F.lag("id").over(local), "p_n": F.lag("n").over(local)}).join(firsts, "part").crossJoin(F.broadcast(final))  # final: one row
-    return rows.select("id", F.coalesce("p", "seam", "end").alias("before"), F.coalesce("p_n", "seam_n", "end_n").alias("before_chars"))
+    rows = dealt.withColumns({"p": F.lag("id").over(local), "p_n": F.lag("n").over(local)}).join(firsts, "part")
+    return rows.select("id", F.coalesce("p", "seam", end).alias("before"), F.coalesce("p_n", "seam_n", end_n).alias("before_chars"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
