@@ -65,3 +65,12 @@ def test_one_long_conversation(spark):
 
 def test_empty(spark):
     assert chat.render(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ties_of_one_turn_across_ranges(spark):
+    """Two equal conversations of many rows of the same turn, dealt out over several ranges."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        verify(spark, [(c, 0, "u" if k % 3 else None, f"t{k * 7919 % 4000}") for c in (1, 2) for k in range(4000)], parts=5)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

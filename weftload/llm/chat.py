@@ -18,13 +18,16 @@ from weftload.session import written_table
 
 #: Turns in one rendered row: what a task has to join into one string.
 PIECE_TURNS = 64
+#: Characters of role and text by which turns of equal number are dealt out.
+LOOKED_AT = 64
 
 
 def rolling_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, position (from 1), n_turns, h1, h2."""
     columns = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
     order = ["turn", "role", "text"]
-    dealt = turns.select(*columns).repartitionByRange("conv_id", "turn", F.xxhash64("role", "text"))
+    # Ranges follow the order of turns, ties included: texts that share what is looked at stay together.
+    dealt = turns.select(*columns).repartitionByRange("conv_id", "turn", F.substring("role", 1, LOOKED_AT), F.substring("text", 1, LOOKED_AT))
     dealt = written_table(dealt.withColumn("part", F.spark_partition_id()), "turns")  # fixed, whatever is computed again
     sizes = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("held"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
