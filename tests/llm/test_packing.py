@@ -7,12 +7,11 @@ from tokenizers import Tokenizer
 
 from weftload.llm import packing
 
-ODD = [None, "", " ", "  two  spaces ", "a\tb\nc \n d", "x<|endoftext|>y", "it's we'll 'S", "   lead", "tail   ", "été 漢字 😀 12,5%", "a b 　c", "z" * 3000]
+ODD = [None, "", " ", "  two  spaces ", "a\tb\nc \n d", "x<|endoftext|>y", " <|endoftext|> a <|endoftext|><|endoftext|>", "<|endof text|>", "it's we'll 'S", "   lead", "tail   ", "été 漢字 😀 12,5%", "a b 　c", "z" * 3000]
 
 
 def ids_of(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
 
 

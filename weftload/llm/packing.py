@@ -44,12 +44,12 @@ def encoding(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a tokenizers file."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 @lru_cache(maxsize=2)
@@ -58,10 +58,19 @@ def token_sizes(path: str) -> np.ndarray:
     return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.max_token_value + 1)], np.int64)
 
 
+def special_texts(texts: pa.Array, enc: tiktoken.Encoding) -> np.ndarray:
+    """Texts that hold a special token's content."""
+    found = np.zeros(len(texts), bool)
+    for content in enc.special_tokens_set:
+        found |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+    return found
+
+
 def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of each text. A token never crosses a single space between two other characters,
     so each different piece between such spaces is encoded once for all texts given."""
     enc, sizes = encoding(path), token_sizes(path)
+    marked = special_texts(texts, enc)
     lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets -= offsets[0]
@@ -78,6 +87,9 @@ def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
     broken = np.concatenate([[0], np.cumsum(~sound[codes])])
     out = []
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+        if marked[i]:  # a special token cuts the text, wherever it stands
+            out.append(np.array(enc.encode(texts[i].as_py(), allowed_special="all"), np.uint32))
+            continue
         if broken[b] > broken[a]:  # odd white space: the text as a whole
             out.append(np.array(enc.encode_ordinary(texts[i].as_py() or ""), np.uint32))
             continue
