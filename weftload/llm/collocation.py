@@ -13,10 +13,10 @@ Hashes may collide and summaries keep some rare phrases, so a last reading count
 exactly, by their words. Candidates reach the readings as bit filters, sized by how many there are up to
 MOST_BITS; a filter only lessens what is counted, so a full one costs time and not results.
 
-Memory: a task holds FLUSH counts, a summary those of one partition. There is a partition for
+Memory: a task holds ``flush`` counts, a summary those of one partition. There is a partition for
 every PART_BYTES of text, so the mass of one does not grow with the table; a very common phrase adds mass to
 its partition, but one entry per task. Tasks times partitions pieces are exchanged; pieces hold a thousand
-entries or more up to about 16 TB of text, beyond which FLUSH is to grow.
+entries or more up to about 16 TB of text, beyond which ``flush`` is to grow.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from weftload.session import written_table
 
 THRESHOLD, LONGEST, KEPT = 100, 5, 2000
 PART_BYTES = 32 << 20
-FLUSH, PENDING = 4 << 20, 1 << 20
+FLUSH = 4 << 20
 BITS_PER_KEY, LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 16, 30, 1 << 18
 NO_LANG = "und"
 
@@ -171,13 +171,14 @@ def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Counts:
     """Counts of hashes in bounded memory."""
 
-    def __init__(self):
+    def __init__(self, pending: int):
+        self.most_pending = pending
         self.keys, self.counts, self.pending, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
     def add(self, keys: np.ndarray) -> None:
         self.pending.append(keys)
         self.n += len(keys)
-        if self.n >= PENDING:
+        if self.n >= self.most_pending:
             self.settle()
 
     def settle(self) -> None:
@@ -192,7 +193,7 @@ class Counts:
         part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
         parts, first = np.unique(part, return_index=True)
         cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
-        self.__init__()
+        self.__init__(self.most_pending)
         return pa.RecordBatch.from_arrays(
             [pa.array(parts, pa.int32()), pa.array([int(counts[a:b].sum()) for a, b in cuts], pa.int64()),
              pa.array([pressed(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([interpolation.pressed(counts[a:b], "<u8") for a, b in cuts], pa.binary())],
@@ -200,15 +201,15 @@ class Counts:
         )
 
 
-def held(docs: DataFrame, lengths: list[int], filters: Broadcast, bits: int) -> DataFrame:
+def held(docs: DataFrame, lengths: list[int], filters: Broadcast, bits: int, flush: int) -> DataFrame:
     """What tasks count of the phrases of some lengths, by hash partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
+        counts = Counts(max(1, flush // 4))
         for batch in slices(batches):
             for _, key, open_ in occurrences(tokens(batch.column("text"), batch.column("lang")), lengths, filters.value):
                 counts.add(key[open_])
-                if len(counts.keys) >= FLUSH:
+                if len(counts.keys) >= flush:
                     yield counts.flushed(bits)
         yield counts.flushed(bits)
 
@@ -229,14 +230,14 @@ def survivors(table: pa.Table, threshold: int) -> np.ndarray:
     return keys[counts + lost >= threshold]
 
 
-def candidates(docs: DataFrame, lengths: list[int], filters: dict[int, BitFilter], bits: int, threshold: int) -> DataFrame:
+def candidates(docs: DataFrame, lengths: list[int], filters: dict[int, BitFilter], bits: int, threshold: int, flush: int) -> DataFrame:
     """Hashes of phrases that may have the threshold; all that have it are among them."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"key": pa.array(survivors(table, threshold).view(np.int64))})
 
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    counted = written_table(held(docs, lengths, sent, bits), "held")
+    counted = written_table(held(docs, lengths, sent, bits, flush), "held")
     return written_table(counted.groupBy("part").applyInArrow(run, "key long"), "candidates")
 
 
@@ -284,7 +285,7 @@ def packed(table: pa.Table, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *lists], ["part", "lang", "n_words", "phrase", "count"])
 
 
-def exact_counts(docs: DataFrame, longest: int, filters: Broadcast, bits: int, threshold: int) -> DataFrame:
+def exact_counts(docs: DataFrame, longest: int, filters: Broadcast, bits: int, threshold: int, flush: int) -> DataFrame:
     """The candidates that have the threshold. Tasks add up what they count; the rest is added up by hash partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +293,10 @@ def exact_counts(docs: DataFrame, longest: int, filters: Broadcast, bits: int, t
         for batch in slices(batches):
             for table in exact(tokens(batch.column("text"), batch.column("lang")), longest, filters.value):
                 tables, n = [*tables, table], n + table.num_rows
-            if n > PENDING:
+            if n > flush // 4:
                 tables = [merged(tables)]
                 n = tables[0].num_rows
-            if n > PENDING // 2:
+            if n > flush // 8:
                 yield packed(merged(tables), bits)
                 tables, n = [], 0
         if tables:
@@ -309,7 +310,7 @@ def exact_counts(docs: DataFrame, longest: int, filters: Broadcast, bits: int, t
     return docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, COUNTED)
 
 
-def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
+def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, flush: int = FLUSH) -> DataFrame:
     """lang, n_words, phrase, count of all phrases with the threshold, of one word upwards; n_words 0 is the number of words."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -318,10 +319,10 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     for lengths in ([1], [2], list(range(3, longest + 1))):
         lengths = [m for m in lengths if m <= longest]
         if lengths:
-            found = BitFilter.of(candidates(docs, lengths, filters, bits, threshold))
+            found = BitFilter.of(candidates(docs, lengths, filters, bits, threshold, flush))
             filters = filters | dict.fromkeys(lengths, found)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    return written_table(exact_counts(docs, longest, sent, bits, threshold), "phrases")
+    return written_table(exact_counts(docs, longest, sent, bits, threshold, flush), "phrases")
 
 
 def wide(name: str) -> Column:
@@ -361,7 +362,7 @@ def whole(phrases: DataFrame) -> DataFrame:
     return phrases.join(inner, ["lang", "phrase", "a"], "left_anti")
 
 
-def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, kept: int = KEPT) -> DataFrame:
+def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, kept: int = KEPT, flush: int = FLUSH) -> DataFrame:
     """The highest-scoring phrases of each language of documents (lang, text; other columns are ignored).
 
     Returns lang, rank, phrase, a, l, r, n, score, n_words. A-Z are lower-cased; a null lang is ``und``; null and
@@ -369,7 +370,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     phrase. Scores are whole numbers of thousandths. No rows give none.
     """
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = whole(written_table(scored(phrase_counts(docs, threshold, longest)), "scored")).withColumn("rank", F.row_number().over(best).cast("long"))
+    ranked = whole(written_table(scored(phrase_counts(docs, threshold, longest, flush)), "scored")).withColumn("rank", F.row_number().over(best).cast("long"))
     return ranked.where(f"rank <= {int(kept)}").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "n_words")
 
 

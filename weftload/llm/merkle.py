@@ -1,16 +1,16 @@
 """Merkle manifest of a table: a leaf per row, a tree per language, a tree over the languages.
 
-Every RUN consecutive nodes of a level become one node of the next, so SUPERBLOCK = RUN ** LEVELS
-consecutive nodes reduce to one node without looking outside. The manifest takes two sweeps over
-tables of nodes, each table 1 / SUPERBLOCK of the one below:
+Every RUN consecutive nodes of a level become one node of the next, so RUN ** LEVELS consecutive
+nodes, a superblock, reduce to one node without looking outside. The manifest takes two sweeps over
+tables of nodes, each table holding a node for every superblock of the one below:
 
 * Upwards, each superblock becomes a node of the next table, until a tree is a single node.
 * Downwards, the nodes of a superblock are cogrouped with the outer nodes that their way to the root
   needs: at most RUN - 1 siblings a level. The cogroup reduces the superblock once more, joins inner and
   outer siblings to each node's proof, and for leaves folds the claimed digest up to the root.
 
-A language may hold any share of the rows: it is spread over its superblocks, and a task sees SUPERBLOCK
-nodes and one list of outer siblings at a time.
+A language may hold any share of the rows: it is spread over its superblocks, and a task sees one of them
+and its list of outer siblings at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from weftload.session import written_table
 
 RUN, LEVELS = 8, 4
-SUPERBLOCK = RUN**LEVELS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Nodes: place ``idx`` of ``n`` in a tree; ``name`` and ``claim`` are what a leaf brings along.
@@ -54,10 +53,10 @@ def digest_of(text: str) -> str:
     return sha256(text.encode()).hexdigest()
 
 
-def levels_of(n: int) -> int:
+def levels_of(n: int, most: int = LEVELS) -> int:
     """Levels that a superblock of a tree of n nodes reduces: all of them, or fewer if the tree ends before."""
     levels = 0
-    while n > 1 and levels < LEVELS:
+    while n > 1 and levels < most:
         n, levels = -(-n // RUN), levels + 1
     return levels
 
@@ -82,42 +81,42 @@ def inner_path(layer: list[list[str]], i: int) -> tuple[list[str], list[str]]:
     return lefts, rights
 
 
-def block() -> Column:
-    return F.floor(F.col("idx") / SUPERBLOCK).cast("long").alias("block")
+def block(levels: int) -> Column:
+    return F.floor(F.col("idx") / RUN**levels).cast("long").alias("block")
 
 
-def parents(nodes: DataFrame) -> DataFrame:
+def parents(nodes: DataFrame, levels: int) -> DataFrame:
     """One node per superblock."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         n = int(group["n"].iloc[0])
-        top = layers(group["digest"].tolist(), levels_of(n))[-1][0]
-        return pd.DataFrame([(key[0], key[1], -(-n // SUPERBLOCK), "", "", top)], columns=[c.split()[0] for c in NODES.split(", ")])
+        top = layers(group["digest"].tolist(), levels_of(n, levels))[-1][0]
+        return pd.DataFrame([(key[0], key[1], -(-n // RUN**levels), "", "", top)], columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return nodes.select("tree", "idx", "n", "digest", block()).groupBy("tree", "block").applyInPandas(run, NODES)
+    return nodes.select("tree", "idx", "n", "digest", block(levels)).groupBy("tree", "block").applyInPandas(run, NODES)
 
 
-def tiers(nodes: DataFrame) -> list[DataFrame]:
+def tiers(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """Tables of nodes from the leaves to the one where each tree is a single node."""
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        out.append(written_table(parents(out[-1]), "nodes"))
+        out.append(written_table(parents(out[-1], levels), "nodes"))
     return out
 
 
-def cogrouped(nodes: DataFrame, outer: DataFrame):
+def cogrouped(nodes: DataFrame, outer: DataFrame, levels: int):
     """Nodes with the outer nodes of their superblock, which is node ``block`` of the table above."""
     above = outer.select("tree", F.col("idx").alias("block"), "lefts", "rights", "subroot", "root")
-    return nodes.select("*", block()).groupBy("tree", "block").cogroup(above.groupBy("tree", "block"))
+    return nodes.select("*", block(levels)).groupBy("tree", "block").cogroup(above.groupBy("tree", "block"))
 
 
-def extended(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+def extended(nodes: DataFrame, outer: DataFrame, levels: int) -> DataFrame:
     """The ways of nodes to the root, from those of the nodes above."""
 
     def run(key: tuple, group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         group, above = group.sort_values("idx"), above.iloc[0]
-        layer = layers(group["digest"].tolist(), levels_of(int(group["n"].iloc[0])))
+        layer = layers(group["digest"].tolist(), levels_of(int(group["n"].iloc[0]), levels))
         paths = [inner_path(layer, i) for i in range(len(group))]
         return pd.DataFrame({
             "tree": key[0], "idx": group["idx"].to_numpy(), "name": group["name"].to_numpy(), "digest": group["digest"].to_numpy(),
@@ -125,16 +124,16 @@ def extended(nodes: DataFrame, outer: DataFrame) -> DataFrame:
             "subroot": above["subroot"], "root": above["root"],
         })
 
-    return cogrouped(nodes, outer).applyInPandas(run, PATHS)
+    return cogrouped(nodes, outer, levels).applyInPandas(run, PATHS)
 
 
-def proved(leaves: DataFrame, outer: DataFrame) -> DataFrame:
+def proved(leaves: DataFrame, outer: DataFrame, levels: int) -> DataFrame:
     """Proof of each leaf, and the root that its claimed digest folds to along it."""
 
     def run(key: tuple, group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         group, above = group.sort_values("idx"), above.iloc[0]
         digests = group["digest"].tolist()
-        layer = layers(digests, levels_of(int(group["n"].iloc[0])))
+        layer = layers(digests, levels_of(int(group["n"].iloc[0]), levels))
         outer_path = list(zip(above["lefts"], above["rights"]))
         outer_text = "".join(left + right for left, right in outer_path)
         proofs, folded = [], []
@@ -149,7 +148,7 @@ def proved(leaves: DataFrame, outer: DataFrame) -> DataFrame:
             "subroot": above["subroot"], "root": above["root"], "proof_sha256": proofs, "folded_root": folded,
         })
 
-    return cogrouped(leaves, outer).applyInPandas(run, PROOFS)
+    return cogrouped(leaves, outer, levels).applyInPandas(run, PROOFS)
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -167,7 +166,7 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return written_table(numbered.select("tree", (F.col("base") + F.col("local")).alias("idx"), "n", "name", "claim", "digest"), "placed")
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Rows (lang, doc_id, leaf, claim) to their proofs, written as a table.
 
     ``claim`` is the leaf that someone holds against the manifest; ``folded_root`` is the root it leads to
@@ -178,18 +177,18 @@ def manifest(rows: DataFrame) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit("+"), "lang"), F.lit(""))
     leaves = rows.select(tree.alias("tree"), F.col("doc_id").cast("string").alias("name"), "claim", F.col("leaf").alias("digest"), "doc_id")
     leaves = written_table(leaves.withColumn("row", F.monotonically_increasing_id()), "leaves")
-    of_rows = tiers(placed(leaves, ["doc_id", "digest", "row"]))
+    of_rows = tiers(placed(leaves, ["doc_id", "digest", "row"]), levels)
     tops = of_rows[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.lit("").alias("claim"), "digest")
-    of_trees = tiers(placed(tops, ["name"]))
+    of_trees = tiers(placed(tops, ["name"]), levels)
 
     no_path = F.array().cast("array<string>")
     outer = of_trees[-1].select("tree", "idx", "name", "digest", no_path.alias("lefts"), no_path.alias("rights"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed(of_trees[:-1]):
-        outer = written_table(extended(nodes, outer), "paths")
+        outer = written_table(extended(nodes, outer, levels), "paths")
     outer = outer.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("idx"), "lefts", "rights", F.col("digest").alias("subroot"), "root")
     for nodes in reversed(of_rows[1:-1]):
-        outer = written_table(extended(nodes, outer), "paths")
-    proofs = proved(of_rows[0], outer)
+        outer = written_table(extended(nodes, outer, levels), "paths")
+    proofs = proved(of_rows[0], outer, levels)
     return written_table(
         proofs.select(
             F.col("name").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
@@ -199,7 +198,7 @@ def manifest(rows: DataFrame) -> DataFrame:
     )
 
 
-def tampered_manifest(docs: DataFrame) -> DataFrame:
+def tampered_manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The manifest of documents (doc_id, source, lang, n_chars, text; other columns are ignored), held against a tampered copy.
 
     Rows whose doc_id has a CRC-32 that 3 divides hold a text with A-Z lower-cased in the copy; null texts, and
@@ -208,7 +207,7 @@ def tampered_manifest(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     altered = (F.crc32(F.col("doc_id").cast("string")) % 3 == 0) & (lowered(text) != text)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), leaf(text).alias("leaf"), F.when(altered, leaf(lowered(text))).alias("claim"))
-    return manifest(rows.withColumn("claim", F.coalesce("claim", "leaf")))
+    return manifest(rows.withColumn("claim", F.coalesce("claim", "leaf")), levels)
 
 
 CHECK_SQL = """
