@@ -208,7 +208,12 @@ def with_spans(
     return records.join(spans, reduce(Column.__and__, on), "left_outer").drop("_end", *[f"_{k}" for k in keys])
 
 
-CLOCK = "origin long, last long, newest_us long, closed long, epoch long"
+def _of(pick: Callable, *values: int | None) -> int | None:
+    """The least or largest of those that are known."""
+    return pick((v for v in values if v is not None), default=None)
+
+
+CLOCK = "origin long, last long, records_us long, status_us long, closed long, epoch long"
 LINES = (
     "tick timestamp, elapsed_s long, tick_no long, processes long, chunks long, is_optimizing boolean, "
     "size long, inserted long"
@@ -223,9 +228,10 @@ def combined_stream(
 
     ``records`` (process_index, ts) and ``status`` (ts, target, variable, value) come in as
     streams, in any portions. A tick is closed, and its line written for good, once the newest
-    time seen is ``late_seconds`` and ``gap_seconds`` past its end: then no process can turn
-    out to have gone on through it. So lines do not depend on what a trigger holds. Ticks
-    that are still open when the input ends get a line that is not stored.
+    time of either stream is ``late_seconds`` and ``gap_seconds`` past its end (the slower stream
+    counts): then no process can turn out to have gone on through it. So lines do not depend
+    on what a trigger holds. Ticks that are still open when the input ends get a line that is
+    not stored.
 
     Between triggers three tables are kept: spans of activity that may still grow or
     reach into open ticks, the newest status of each table as of the first open tick with
@@ -257,20 +263,23 @@ def combined_stream(
         reports = batch.where(F.col("variable").isin(list(STATUS_VARIABLES))).select("ts", "target", "variable", "value")
         spans = active_spans(points, ["process_index"], gap_seconds).select("process_index", "started", "ended")
         origin, last = points.agg(F.min(number), F.max(number)).first()
-        newest_us, closed = batch.agg(F.max(F.unix_micros("ts"))).first()[0], None
+        time, of_record = F.unix_micros("ts"), F.col("process_index").isNotNull()
+        times = batch.agg(F.max(F.when(of_record, time)), F.max(F.when(~of_record, time))).first()
+        records_us, status_us, closed = *times, None
         if epoch > 0:
             spans = spans.unionByName(kept("spans", before, spans_kept))
             reports = reports.unionByName(kept("status", before, status_kept))
             clock = kept("clock", before, CLOCK).first()
             closed = clock.closed
-            origin = min((x for x in (origin, clock.origin) if x is not None), default=None) if closed is None else clock.origin
-            last = max((x for x in (last, clock.last) if x is not None), default=None)
-            newest_us = max((x for x in (newest_us, clock.newest_us) if x is not None), default=None)
+            origin = _of(min, origin, clock.origin) if closed is None else clock.origin
+            last = _of(max, last, clock.last)
+            records_us, status_us = _of(max, records_us, clock.records_us), _of(max, status_us, clock.status_us)
         spans = merged_spans(spans, ["process_index"], gap_seconds)
         lines = spark.createDataFrame([], LINES)
-        if origin is not None:
+        if origin is not None and status_us is not None:
             start = origin if closed is None else closed + 1
-            until = min(last, (newest_us // 1_000_000 - late_seconds - gap_seconds) // seconds - 1)
+            until = (min(records_us, status_us) // 1_000_000 - late_seconds - gap_seconds) // seconds - 1
+            until = min(last, until)
             if until >= start:
                 lines = combined_ticks(spans, config, reports, seconds, F.lit(start), F.lit(until), F.lit(origin))
                 closed = until
@@ -283,7 +292,7 @@ def combined_stream(
         newest_report = F.max_by(F.struct("ts", "value"), F.struct(F.col("ts"), value)).alias("_r")
         reports = reports.groupBy("target", "variable", open_tick.alias("_open")).agg(newest_report)
         keep(reports.select("_r.ts", "target", "variable", "_r.value"), "status", slot)
-        keep(spark.createDataFrame([(origin, last, newest_us, closed, epoch)], CLOCK), "clock", slot)
+        keep(spark.createDataFrame([(origin, last, records_us, status_us, closed, epoch)], CLOCK), "clock", slot)
 
     query = (
         events.writeStream.option("checkpointLocation", f"{root}/state")
