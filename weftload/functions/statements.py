@@ -148,3 +148,27 @@ def weights_error(weights: Column, count: Column) -> Column:
         .when(total > F.lit("1.000001").cast("decimal(20,9)"), F.lit("total above 1"))
         .when(total < F.lit("0.999999").cast("decimal(20,9)"), F.lit("total is not 1"))
     )
+
+
+def parameters_error(
+    load: Column, total: Column, iterations: Column, threads: Column, batch_sizes: Column
+) -> Column:
+    """What is wrong with run parameters held as text, first fault first; null if nothing is.
+
+    The same checks, in the same order, as ``WorkloadSpec.validate`` makes of a single spec.
+    """
+
+    def positive(value: Column) -> Column:
+        return F.coalesce(F.trim(value).try_cast("bigint") > 0, F.lit(False))
+
+    def all_positive(values: Column) -> Column:
+        return ~F.exists(F.split(values, ","), lambda v: ~positive(v))
+
+    checks = [
+        (F.coalesce(load, F.lit("")) != "", "load is required"),
+        (positive(total), "total must be positive"),
+        (positive(iterations), "iterations must be positive"),
+        (F.coalesce(all_positive(threads), F.lit(False)), "threads must be positive"),
+        (F.coalesce(all_positive(batch_sizes), F.lit(False)), "batch_sizes must be positive"),
+    ]
+    return F.coalesce(*[F.when(~passed, F.lit(message)) for passed, message in checks])

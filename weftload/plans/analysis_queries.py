@@ -181,11 +181,16 @@ def progress(spark, folder):
 # ---------------------------------------------------------------- reports
 
 FIGURES = [f"lat_p{p}" for p in PERCENTS] + [f"lat_hist_p{p}" for p in PERCENTS]
-RUN_SERIES = f"""(SELECT *, n AS qps FROM (SELECT *, max(tick) OVER (PARTITION BY {KEYS}) AS last_tick FROM (
- SELECT {KEYS}, date_trunc('hour', start_ts) AS tick, count(*) AS n FROM {OPS_ROWS} GROUP BY ALL))
+def _run_series(source: str) -> str:
+    return f"""(SELECT *, n AS qps FROM (SELECT *, max(tick) OVER (PARTITION BY {KEYS}) AS last_tick FROM (
+ SELECT {KEYS}, date_trunc('hour', start_ts) AS tick, count(*) AS n FROM {source} GROUP BY ALL))
  WHERE tick < last_tick)"""
-REPORT = f"""
-WITH ops AS (SELECT * FROM {OPS_ROWS}),
+
+
+def _report(source: str) -> str:
+    series = _run_series(source)
+    return f"""
+WITH ops AS (SELECT * FROM {source}),
 t AS (SELECT {KEYS}, count(*) AS queries, CAST(sum(batch_size) AS BIGINT) AS ops_nominal,
   CAST(sum(n_rows) AS BIGINT) AS ops_exact, round(avg(latency_ms), 6) AS lat_avg,
   date_diff('microsecond', min(start_ts), max(start_ts + to_microseconds(CAST(round(latency_ms * 1000) AS BIGINT))))
@@ -193,13 +198,16 @@ t AS (SELECT {KEYS}, count(*) AS queries, CAST(sum(batch_size) AS BIGINT) AS ops
   FROM ops GROUP BY {KEYS}),
 e AS ({c.nearest_rank('latency_ms', KEYS, 'ops', PERCENTS, 'lat_p')}),
 h AS ({c.histogram_percentiles('ops', KEYS, PERCENTS, 'lat_hist_p')}),
-qa AS (SELECT {KEYS}, CAST(round(avg(qps)) AS BIGINT) AS qps_avg FROM {RUN_SERIES} GROUP BY {KEYS}),
-q AS ({c.nearest_rank('qps', KEYS, RUN_SERIES, [1, 5, 95, 99], 'qps_p')})
+qa AS (SELECT {KEYS}, CAST(round(avg(qps)) AS BIGINT) AS qps_avg FROM {series} GROUP BY {KEYS}),
+q AS ({c.nearest_rank('qps', KEYS, series, [1, 5, 95, 99], 'qps_p')})
 SELECT t.*, CASE WHEN elapsed_s > 0 THEN CAST(round(ops_nominal / elapsed_s) AS BIGINT) ELSE 0 END AS ops_per_s,
   qps_avg, qps_p1, qps_p5, qps_p95, qps_p99, {', '.join(FIGURES)}
 FROM t JOIN e USING ({KEYS}) JOIN h USING ({KEYS}) JOIN qa USING ({KEYS}) JOIN q USING ({KEYS})"""
 
 
+REPORT = _report(OPS_ROWS)
+
+
 def report(spark, folder) -> DataFrame:
     return rp.run_report(ops(spark, folder), tick_seconds=HOUR, rate_seconds=HOUR)
 
@@ -213,6 +221,25 @@ def run_report(spark, folder):
     return rounded(report(spark, folder))
 
 
+# The third process runs one template at a time, under a number of its own.
+APART = "CASE WHEN process_index = 3 THEN CAST(10 + template_idx AS INT) ELSE process_index END"
+APART_ROWS = f"(SELECT {APART} AS process_index, * EXCLUDE (process_index) FROM {OPS_ROWS})"
+
+
+@query(
+    "run_report_templates",
+    f"""SELECT r.* EXCLUDE (ops_nominal, ops_per_s), n_templates, any_insert,
+ CASE WHEN NOT (n_templates > 1 AND any_insert) THEN ops_nominal END AS ops_nominal,
+ CASE WHEN NOT (n_templates > 1 AND any_insert) THEN ops_per_s END AS ops_per_s
+ FROM ({_report(APART_ROWS)}) r JOIN (SELECT {KEYS}, count(DISTINCT template_idx) AS n_templates,
+  bool_or(load_type IN ('insert', 'replace')) AS any_insert FROM {APART_ROWS} GROUP BY {KEYS}) USING ({KEYS})""",
+)
+def run_report_templates(spark, folder):
+    """The report blanks totals of mixed loads itself."""
+    log = ops(spark, folder).withColumn("process_index", F.expr(APART))
+    return rounded(rp.run_report(log, tick_seconds=HOUR, rate_seconds=HOUR, template="template_idx"))
+
+
 @query(
     "run_report_mixed",
     f"""WITH t AS (SELECT threads, count(*) AS queries, count(DISTINCT load_type) AS n_templates,
@@ -249,8 +276,8 @@ TIME = (
 @query(
     "report_json",
     f"""SELECT process_index, threads, batch_size, {TIME} AS time, ops_nominal AS total_operations,
- ops_per_s AS operations_per_second, qps_avg, qps_p99, qps_p1, round(lat_avg, 1) AS latency_avg,
- lat_hist_p50 AS latency_p50, lat_hist_p99 AS latency_p99, 'custom' AS column_name, 'a/b' AS column_value
+ ops_per_s AS operations_per_second, qps_avg, qps_p99, qps_p95, qps_p5, qps_p1, round(lat_avg, 1) AS latency_avg,
+ lat_hist_p50 AS latency_p50, lat_hist_p95 AS latency_p95, lat_hist_p99 AS latency_p99, 'custom' AS column_name, 'a/b' AS column_value
  FROM ({REPORT})""",
 )
 def report_json(spark, folder):
@@ -263,9 +290,9 @@ def report_json(spark, folder):
     return read.select(
         "process_index", "r.threads", "r.batch_size", "r.time", "r.total_operations",
         "r.operations_per_second", F.col("r.qps.avg").alias("qps_avg"),
-        F.col("r.qps.p99").alias("qps_p99"), F.col("r.qps.p1").alias("qps_p1"),
-        F.col("r.latency.avg").alias("latency_avg"), F.col("r.latency.p50").alias("latency_p50"),
-        F.col("r.latency.p99").alias("latency_p99"),
+        *[F.col(f"r.qps.p{p}").alias(f"qps_p{p}") for p in (99, 95, 5, 1)],
+        F.col("r.latency.avg").alias("latency_avg"),
+        *[F.col(f"r.latency.p{p}").alias(f"latency_p{p}") for p in (50, 95, 99)],
         F.col("r.custom_column.name").alias("column_name"),
         F.col("r.custom_column.value").alias("column_value"),
     )

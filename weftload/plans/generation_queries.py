@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftload.functions.draws import key60
+from weftload.functions.patterns import Slot, String, Text
 from weftload.functions.text import Vocabulary
 from weftload.operators.batching import (
     allocate,
@@ -53,7 +54,7 @@ from weftload.sources.vocabulary import (
     vocabulary_pages,
     vocabulary_rows,
 )
-from weftload.spec import WorkloadSpec
+from weftload.spec import WorkloadSpec, swept
 
 ORDER_ROWS = "(SELECT o_orderkey AS row_id FROM orders)"
 CUSTOMER_ROWS = "(SELECT c_custkey AS row_id FROM customer)"
@@ -289,6 +290,31 @@ def gen_text_file(spark, folder):
     return rows.select("row_id", "text")
 
 
+@query(
+    "gen_defaults",
+    f"SELECT row_id, {_string(0, 3, 10)} AS code, t.a AS body FROM {CUSTOMER_ROWS} JOIN ({_text_check(CUSTOMER_ROWS, 1, 20, 300)}) t USING (row_id)",
+)
+def gen_defaults(spark, folder):
+    """Strings and texts of the lengths they have when none is given."""
+    row_id = F.col("row_id")
+    slots = [Slot(42, 0, number, row_id, row_id) for number in (0, 1)]
+    return customer_rows(spark, folder).select(
+        "row_id", String().column(slots[0]).alias("code"), Text().column(slots[1]).alias("body")
+    )
+
+
+@query(
+    "gen_any_partitions",
+    f"SELECT row_id, row_id + 1 AS id, {_string(1, 3, 10)} AS code, {_int(2, 5, 90)} AS age FROM {ORDER_ROWS}",
+)
+def gen_any_partitions(spark, folder):
+    """The same values whatever task makes them: rows dealt out by a hash, and the other half by ranges."""
+    load = "INSERT INTO t(id, code, age) VALUES (<increment>, '<string/3/10>', <int/5/90>)"
+    rows = _typed(load, order_rows(spark, folder).repartition(7, F.xxhash64("row_id")))
+    other = _typed(load, order_rows(spark, folder).repartitionByRange(3, F.desc("row_id")))
+    return rows.where("row_id % 2 = 0").unionByName(other.where("row_id % 2 = 1"))
+
+
 RENDER_LOAD = (
     "INSERT INTO t(id, f, v) VALUES(<increment>, '<string/3/6>', [<array/1/4/1/9>], <float/0/1>)"
 )
@@ -646,9 +672,4 @@ def sweep_grid(spark, folder):
         "concat('1,2,', CAST(4 + o_custkey % 5 AS STRING)) AS threads",
         "CASE WHEN o_orderkey % 2 = 0 THEN '100,1000' ELSE '10' END AS batches",
     )
-    return (
-        asked.select("job", F.explode(F.split("threads", ",")).alias("t"), "batches")
-        .select("job", "t", F.explode(F.split("batches", ",")).alias("b"))
-        .select("job", F.col("t").cast("int").alias("threads"),
-                F.col("b").cast("int").alias("batch_size"))
-    )
+    return swept(asked, "threads", "batches")

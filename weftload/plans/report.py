@@ -39,9 +39,13 @@ def run_report(
     exact: bool = True,
     histogram: bool = True,
     drop_last: bool = True,
+    template: str | None = None,
 ) -> DataFrame:
     """Counts, rates and latency percentiles of an operation log.
 
+    With a ``template`` column (and ``load_type``), the report also holds how many templates a run
+    has and whether any of them inserts; total and rate of such mixes are null (``blank_mixed``).
+
     Three narrow scans of ``ops``: per (run, tick) for counts and rates; per (run, bin)
     for both kinds of percentile; and the few bins that hold the exact ranks. Elapsed is
     from the first start to the last completion.
@@ -96,7 +100,17 @@ def run_report(
             found = histogram_percentiles(merged, keys, LATENCY_PERCENTS, "lat_hist_p")
             report = report.join(found, keys, "left")
     # No samples: every latency figure is 0.
-    return report.na.fill(0.0, [c for c in report.columns if c.startswith("lat_")])
+    report = report.na.fill(0.0, [c for c in report.columns if c.startswith("lat_")])
+    return report if template is None else blank_mixed(report.join(run_mix(ops, keys, template), keys))
+
+
+def run_mix(ops: DataFrame, keys: Sequence[str], template: str) -> DataFrame:
+    """Templates per run, and whether any of them inserts. A row per run and template is shuffled."""
+    writes = F.col("load_type").isin("insert", "replace")
+    each = ops.groupBy(*keys, template).agg(F.coalesce(F.bool_or(writes), F.lit(False)).alias("_writes"))
+    return each.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_templates"), F.bool_or("_writes").alias("any_insert")
+    )
 
 
 def blank_mixed(report: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from weftload.functions import statements as st
 from weftload.plans.inputs import STATEMENTS, TEMPLATES, read, select, sql
 from weftload.functions.text import exploded
 from weftload.plans.registry import query
-from weftload.spec import fingerprint_column
+from weftload.spec import fingerprint_column, inherited
 
 TEMPLATE_ROWS = sql(TEMPLATES)
 STATEMENT_ROWS = sql(STATEMENTS)
@@ -223,25 +223,46 @@ def weights_check(spark, folder):
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def config_inherit(spark, folder):
-    """Own setting, else the setting of the group (nation), else the default."""
+    """Own setting, else the setting of the group (nation), else the default; other names are dropped."""
     own = read(spark, folder, "customer").selectExpr(
         "c_custkey AS process_index", "c_nationkey",
-        "CASE WHEN c_custkey % 3 = 0 THEN 1 + c_custkey % 8 END AS own_threads",
-        "CASE WHEN c_custkey % 4 = 0 THEN 100L END AS own_batch",
+        "map('threads', CASE WHEN c_custkey % 3 = 0 THEN CAST(1 + c_custkey % 8 AS STRING) END, "
+        "'batch_size', CASE WHEN c_custkey % 4 = 0 THEN '100' END, 'host', c_name) AS own",
     )
     common = read(spark, folder, "nation").selectExpr(
         "n_nationkey AS c_nationkey",
-        "CASE WHEN n_nationkey % 2 = 0 THEN 2L + n_nationkey END AS common_threads",
-        "CASE WHEN n_nationkey % 3 = 0 THEN 10L END AS common_batch",
+        "CASE WHEN n_nationkey % 2 = 0 THEN map('threads', CAST(2 + n_nationkey AS STRING), 'batch_size', "
+        "CASE WHEN n_nationkey % 3 = 0 THEN '10' END) ELSE map('batch_size', "
+        "CASE WHEN n_nationkey % 3 = 0 THEN '10' END, 'other', n_name) END AS common",
     )
-    default = F.lit(1).cast("bigint")
+    found = inherited(F.col("own"), F.col("common"), {"threads": 1, "batch_size": 1})
     return own.join(common, "c_nationkey").select(
-        "process_index",
-        F.coalesce("own_threads", "common_threads", default).alias("threads"),
-        F.coalesce("own_batch", "common_batch", default).alias("batch_size"),
+        "process_index", *[value.cast("bigint").alias(name) for name, value in found.items()]
     )
 
 
+@query(
+    "param_check",
+    """SELECT job, CASE WHEN load = '' THEN 'load is required' WHEN total <= 0 THEN 'total must be positive'
+ WHEN iterations IS NULL OR iterations <= 0 THEN 'iterations must be positive'
+ WHEN job % 7 = 3 OR job % 11 = 5 THEN 'threads must be positive'
+ WHEN job % 13 = 4 THEN 'batch_sizes must be positive' END AS error FROM (
+ SELECT o_orderkey AS job, CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE 'select 1' END AS load, o_custkey % 4 - 1 AS total,
+  CASE WHEN o_orderkey % 6 = 2 THEN NULL ELSE o_custkey % 3 END AS iterations FROM orders)""",
+)
+def param_check(spark, folder):
+    """A parameter set per order, some of them faulty."""
+    sets = read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS job", "CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE 'select 1' END AS load",
+        "CAST(o_custkey % 4 - 1 AS STRING) AS total",
+        "CASE WHEN o_orderkey % 6 = 2 THEN 'x' ELSE CAST(o_custkey % 3 AS STRING) END AS iterations",
+        "CASE WHEN o_orderkey % 7 = 3 THEN '1,0' WHEN o_orderkey % 11 = 5 THEN '2,' ELSE '1, 4' END AS threads",
+        "CASE WHEN o_orderkey % 13 = 4 THEN '10,-1' ELSE '10' END AS batch_sizes",
+    )
+    names = ("load", "total", "iterations", "threads", "batch_sizes")
+    return sets.select("job", st.parameters_error(*map(F.col, names)).alias("error"))
+
+
 @query(
     "spec_fingerprint",
     """SELECT o_orderkey AS job, md5('{"batch_sizes":[' || (1 + o_orderkey % 5) || '],"content":{},"init":"' || o_orderpriority

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 from fractions import Fraction
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftload.functions.patterns import (
@@ -339,3 +339,22 @@ def with_defaults(options: dict, common: dict, defaults: dict) -> dict:
     merged = {**defaults, **{k: v for k, v in common.items() if k in defaults}}
     merged.update({k: v for k, v in options.items() if v is not None})
     return merged
+
+
+def inherited(own: Column, common: Column, defaults: dict[str, object]) -> dict[str, Column]:
+    """``with_defaults`` for options held as maps of text in columns: a column per known name."""
+    return {
+        name: F.coalesce(
+            F.try_element_at(own, F.lit(name)), F.try_element_at(common, F.lit(name)),
+            F.lit(None if value is None else str(value)),
+        )
+        for name, value in defaults.items()
+    }
+
+
+def swept(asked: DataFrame, threads: str = "threads", batch_sizes: str = "batch_sizes") -> DataFrame:
+    """``WorkloadSpec.sweep`` for parameter lists held as text: a row per pair, threads outermost."""
+    rest = [c for c in asked.columns if c not in (threads, batch_sizes)]
+    runs = asked.select(*rest, F.explode(F.split(threads, ",")).alias("_t"), batch_sizes)
+    runs = runs.select(*rest, "_t", F.explode(F.split(batch_sizes, ",")).alias("_b"))
+    return runs.select(*rest, F.trim("_t").cast("int").alias("threads"), F.trim("_b").cast("int").alias("batch_size"))
