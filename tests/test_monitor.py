@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftload.operators import monitor as mon
 from weftload.operators import replay as rep
-from weftload.operators.match import bulk_match, match_counts
+from weftload.operators.match import bulk_match, in_parts, joined_in_parts, match_counts, part_counts
 from weftload.functions import formats as fmt
 from weftload.plans.workload import statements
 from weftload.spec import WorkloadSpec
@@ -211,8 +211,9 @@ def test_replay_against_a_loop(spark):
     assert state(rep.replay_upserts(df)) == upserts
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_match_against_all_pairs(spark, salts):
+@pytest.mark.parametrize("most", [2, 1 << 16])
+def test_match_against_all_pairs(spark, most):
+    """With two rows a part, nearly every word and query is split."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(25)]
     docs = [(i, ", ".join(["Common"] * (i % 3 > 0) + rng.choices(words, k=12))) for i in range(120)]
@@ -225,13 +226,46 @@ def test_match_against_all_pairs(spark, salts):
             expected |= {(q, d) for d, t in docs if need <= set(t.lower().split(", "))}
     docs_df = spark.createDataFrame(docs, "doc_id long, text string")
     queries_df = spark.createDataFrame(queries, "query_id long, text string")
-    found = bulk_match(docs_df, queries_df, salts=salts).collect()
+    found = bulk_match(docs_df, queries_df, most=most).collect()
     assert len(found) == len(expected)
     assert {(r.query_id, r.doc_id) for r in found} == expected
-    counts = {r.query_id: r.n_docs for r in match_counts(docs_df, queries_df, salts=salts).collect()}
+    counts = {r.query_id: r.n_docs for r in match_counts(docs_df, queries_df, most=most).collect()}
     assert counts == {q: sum(1 for e in expected if e[0] == q) for q, t in queries if t}
 
 
+def test_a_word_in_every_text_is_split(spark):
+    """One word stands in all texts, others in few: parts of it are no larger than what others have."""
+    postings = spark.range(20_000).select(F.lit("the").alias("token"), F.col("id").alias("doc_id")).unionByName(
+        spark.range(20_000).select(F.concat(F.lit("w"), F.col("id") % 40).alias("token"), F.col("id").alias("doc_id"))
+    )
+    parts = part_counts(postings, "token", 500)
+    assert [(r.token, r["_parts"]) for r in parts.collect() if r.token == "the"] == [("the", 41)]
+    placed = in_parts(postings, "token", "doc_id", parts)
+    held = [r["count"] for r in placed.groupBy("token", "_part").count().collect()]
+    assert max(held) <= 2 * sorted(held)[len(held) // 2]
+    asked = spark.createDataFrame([("the", 1), ("w3", 1), ("none", 2)], "token string, set long")
+    joined = joined_in_parts(postings, asked, "token", "doc_id", 500)
+    assert joined.count() == 20_500 and joined.columns == ["token", "doc_id", "set"]
+    left = joined_in_parts(asked, postings.groupBy("token").count(), "token", "set", 500, "left")
+    assert {(r.token, r["count"]) for r in left.collect()} == {("the", 20_000), ("w3", 500), ("none", None)}
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the w{i % 7} x{i}") for i in range(100)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "the"), (2, "w3 the"), (3, "w3 nowhere"), (4, "")], "query_id long, text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    once = docs.repartition(3).mapInArrow(counted, docs.schema)
+    found = {(r.query_id, r.doc_id) for r in bulk_match(once, queries).collect()}
+    assert found == {(1, i) for i in range(100)} | {(2, i) for i in range(100) if i % 7 == 3}
+    assert reads.value == 100
+
+
 def test_figures_as_text(spark):
     def shown(function, *values):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")

@@ -19,13 +19,11 @@ Loader = Callable[[str], Vocabulary | PagedVocabulary] | None
 
 
 ROWS_PER_TASK = 1_000_000
-MAX_TASKS = 100_000
 
 
 def _tasks(spark: SparkSession, total: int) -> int:
     """Enough tasks to use every core, and to keep the output of one task moderate."""
-    wanted = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
-    return min(wanted, MAX_TASKS)
+    return max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
 
 
 def row_ids(spark: SparkSession, total: int) -> DataFrame:
