@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weftload.operators import percentiles
 from weftload.operators.match import bulk_match
 from weftload.operators.percentiles import exact_percentiles
 from weftload.operators.replay import replay
@@ -31,15 +32,21 @@ def test_no_all_pairs_and_no_python(spark, name):
         assert bad not in text, bad
 
 
-def test_samples_are_joined_by_broadcast_and_pruned(spark, tmp_path):
+def test_samples_are_joined_by_broadcast_and_pruned(spark, tmp_path, monkeypatch):
+    """Each pass over the samples: few columns, null samples left out by the scan, picks broadcast by their size."""
     path = str(tmp_path / "ops")
     spark.range(5000).select(
         (F.col("id") % 3).alias("k"), (F.col("id") % 977 * 1.1).alias("v"), F.lit("wide").alias("pad")
     ).write.parquet(path)
-    text = plan(exact_percentiles(spark.read.parquet(path), ["k"], "v", [50, 99]))
-    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
-    assert "pad" not in text
-    assert "IsNotNull(v)" in text
+    passes = []
+    finer = percentiles._finer
+    monkeypatch.setattr(percentiles, "_finer", lambda *a: passes.append(finer(*a)) or passes[-1])
+    exact_percentiles(spark.read.parquet(path), ["k"], "v", [50, 99])
+    assert passes
+    for text in map(plan, passes):
+        assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+        assert "pad" not in text
+        assert "IsNotNull(v)" in text
 
 
 def test_replay_combines_before_the_shuffle(spark):
