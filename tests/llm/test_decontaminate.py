@@ -80,6 +80,23 @@ def test_every_place_and_shard(spark, documents):
         assert all(r.score > 0.9 for r in rows)
 
 
+def test_short_items_and_far_answers(spark, documents):
+    """Short items stand word for word; an answer may stand far from its question."""
+    items = spark.createDataFrame([(1, "capital of France?", "Paris"), (2, "Paris", None), (3, QUESTION, "the long blue river"), (4, None, "forty two")], ITEMS)
+    far = " ".join(f"f{i}" for i in range(400))
+    texts = ["The capital of France? Paris.", "France has a capital, of course: paris", f"{QUESTION} {far} the long blue river", f"{far} {QUESTION}", "two forty", "Forty, two!"]
+    got = {(r.doc_id, r.item_id) for r in d.leaks(documents(texts), items).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (2, 3), (5, 4)}
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, documents):
+    words = ["É", "é", "ÀB", "straße", "x\xa0y", "(z)", "一", "Ω"]
+    items = spark.createDataFrame([(i, " ".join(f"{words[(i + k) % 8]}{k % 5}" for k in range(30)), f"{words[i]} end") for i in range(8)], ITEMS)
+    texts = [f"lead {r.question} {r.answer} tail" for r in items.collect()] + ["É é ÀB straße"]
+    rows = [sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in d.leaks(documents(texts), items, shard_words=most).collect()) for most in (10**6, 90)]
+    assert rows[0] == rows[1] and {(i, i) for i in range(8)} <= {r[:2] for r in rows[0]}
+
+
 def test_empty_and_repeated(spark, documents):
     items = spark.createDataFrame([(1, QUESTION, None), (1, QUESTION, None)], ITEMS)
     assert d.leaks(documents([]), items).collect() == []

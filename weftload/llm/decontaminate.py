@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftload.llm.words import mix, ranges, slices, split_words
+from weftload.llm.words import distinct, mix, ranges, slices, split_words
 from weftload.session import written_table
 
 UNIT, STRIDE = 64, 64
@@ -28,7 +28,7 @@ PASSAGE = UNIT + STRIDE  # any run of UNIT words lies in one passage
 BLOCK = 16
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
-#: Items with fewer words are no evidence of a leak: any text may hold them.
+#: Items with fewer words are found only where all their word sequences stand.
 LEAST_WORDS = 6
 #: Words of items in one index: the size of what is broadcast. More items make more indexes, one pass each.
 SHARD_WORDS = 1_000_000
@@ -64,7 +64,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     out = words[: len(words) - n + 1]
     for k in range(1, n):
         out = mix(out, words[k : len(words) - n + 1 + k])
-    return np.unique(out)
+    return distinct(out)
 
 
 class Index:
@@ -72,17 +72,18 @@ class Index:
     among all n units; mean: their mean length."""
 
     def __init__(self, rows: list, df: dict[str, int], n: int, mean: float):
-        self.items, self.parts = [], []
+        self.items, self.parts, self.short = [], [], []
         units: list[tuple[int, dict[str, int]]] = []
         for r in rows:
             texts = [r.question or "", r.answer or ""]
             codes, vocab, starts = terms_of(pa.array(texts, pa.string()))
-            if len(codes) < LEAST_WORDS:
+            if not len(codes):
                 continue
             if starts[1] == 0:  # an item of an answer only
                 starts = np.array([0, len(codes), len(codes)])
             hashed = hashes(vocab)[codes] if len(codes) else np.zeros(0, np.uint64)
             self.items.append(r.item_id)
+            self.short.append(len(codes) < LEAST_WORDS)
             self.parts.append([(hashed[a:b], min(GRAM, b - a)) for a, b in zip(starts[:-1], starts[1:])])
             names = vocab.to_pylist()
             for a in range(0, len(codes), UNIT):
@@ -130,7 +131,7 @@ class Index:
         # 2. blocks of the leading terms
         here, its = passage[lead], term[lead]
         key = np.repeat(here, self.n_blocks[its]) * self.blocks + self.key[ranges(self.head[its], self.n_blocks[its])] % self.blocks
-        key = np.unique(key)
+        key = distinct(key)
         if not len(key):
             return none
         # 3. block bounds over all terms of the passage
@@ -164,10 +165,10 @@ class Index:
             entries.append(entry[there])
         return np.concatenate(owners), np.concatenate(entries)
 
-    def overlaps(self, item: int, words: list[np.ndarray]) -> list[float]:
-        """For question and answer, the share of their word sequences that the passages hold (an empty part: 1)."""
+    def overlaps(self, item: int, passages: list[np.ndarray], whole: np.ndarray) -> list[float]:
+        """The share of the question's word sequences that the passages hold, and of the answer's that the whole text holds (an empty part: 1)."""
         out = []
-        for part, n in self.parts[item]:
+        for (part, n), words in zip(self.parts[item], (passages, [whole])):
             wanted = grams(part, n)
             held = [grams(w, n) for w in words if n and len(w) >= n]
             out.append(float(np.isin(wanted, np.concatenate(held)).mean()) if held else float(not n))
@@ -193,7 +194,7 @@ def search_slice(index: Index, texts: pa.Array, threshold: float, overlap: float
     known = np.flatnonzero(term >= 0)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[known]
     base, passage, word = passages_of(starts, known, text)
-    pair = np.unique(passage * max(1, len(index.place)) + term[known][word])
+    pair = distinct(passage * max(1, len(index.place)) + term[known][word])
     found = index.search(pair // max(1, len(index.place)), pair % max(1, len(index.place)), threshold)
     if not len(found[0]):
         return []
@@ -209,8 +210,8 @@ def search_slice(index: Index, texts: pa.Array, threshold: float, overlap: float
         mine = hashed[codes[starts[t] : starts[t + 1]]]
         # the passages found, and what stands next to them
         spans = [mine[max(0, (p - 1) * STRIDE) : p * STRIDE + PASSAGE + STRIDE] for p in sorted(places)]
-        q, a = index.overlaps(item, spans)
-        if q >= overlap and a >= overlap:
+        q, a = index.overlaps(item, spans, mine)
+        if min(q, a) >= (1.0 if index.short[item] else overlap):
             out.append((t, index.items[item], min(1.0, best), q, a))
     return out
 
@@ -218,8 +219,9 @@ def search_slice(index: Index, texts: pa.Array, threshold: float, overlap: float
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per row of documents (doc_id, text) and test item (item_id, question, answer) that it leaks.
 
-    Null and empty texts leak nothing. Items without text or with fewer than LEAST_WORDS words are no
-    evidence. An item may lack an answer, then its question decides. Items under one id stand each for
+    The question must stand around a passage that was found, its answer anywhere in the document. Null and
+    empty texts leak nothing, and items without words are not found; short items must stand word for
+    word. An item may lack an answer, then its question decides. Items under one id stand each for
     themselves; a document that leaks several of them has that id once, with the best figures. Repeated
     documents have their own rows. Without items or documents there are no rows; other columns are ignored.
 
@@ -251,6 +253,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 ["term", "n", "words", "shard"],
             )
 
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes, vocab, _ = terms_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([vocab.take(pa.array(distinct(codes))).cast(pa.string())], ["term"])
+
     parts = items.select("question", "answer", "shard").repartition(shards, "shard").sortWithinPartitions("shard")
     counted = parts.mapInArrow(units, "term string, n long, words long, shard long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     counted = written_table(counted, "terms")
@@ -261,8 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         if shards == 1:
             df = counted
         else:
-            own = mine.select(F.explode(F.split(F.lower(F.concat_ws(" ", "question", "answer")), r"[\s]+")).alias("w"))
-            own = own.select(F.regexp_replace("w", "^[.,;:!?\"'()\\[\\]{}|*#&%$<>_-]+|[.,;:!?\"'()\\[\\]{}|*#&%$<>_-]+$", "").alias("term")).distinct()
+            own = mine.select(F.concat_ws(" ", "question", "answer").alias("text")).mapInArrow(terms, "term string").distinct()
             df = counted.join(own, "term", "left_semi")
         known = {r.term: r.n for r in df.where("term IS NOT NULL").collect()}
         rows = sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id, str(r.question), str(r.answer)))

@@ -80,6 +80,14 @@ def unpressed(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; several times as fast as ``np.unique``."""
+    ordered = np.sort(values)
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of start, start + 1, ... for each pair."""
     lengths = lengths.astype(np.int64)
