@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftload.llm import interpolation
@@ -85,3 +86,13 @@ def test_odd_texts(documents):
     rows = interpolation.lm_scores(documents([(held, "only held out")])).collect()
     assert [(r.n_known, r.train_tokens) for r in rows] == [(0, 0)]
     assert interpolation.lm_scores(documents([])).collect() == []
+
+
+def test_counts_beyond_32_bits():
+    """What a part answers, and what a document is told, holds counts of any size."""
+    keys = np.array([3, 8, 2**40 + 1], np.uint64)
+    packed = interpolation.pressed(np.diff(keys, prepend=np.uint64(0)), "<u8")
+    most = interpolation.pressed(np.array([2**32 - 1] * 3))
+    asked = pa.table([[0, 1, 2], [0] * 3, [packed] * 3, [most] * 3], schema=pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    told = interpolation.answer((pa.scalar(0),), asked)
+    assert interpolation.unpressed(told.column("counts")[0].as_py(), "<u8").tolist() == [3 * (2**32 - 1)] * 3

@@ -103,7 +103,7 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.bincount(place, np.concatenate(counts), len(different)).astype(np.int64)
     words = (different & np.uint64(1)) == 1
     ends = np.cumsum([len(k) for k in keys])
-    told = [pressed(np.minimum(total[place[e - len(k) : e]], (1 << 32) - 1)) for e, k in zip(ends, keys)]
+    told = [pressed(total[place[e - len(k) : e]], "<u8") for e, k in zip(ends, keys)]
     n, part = len(chunks), key[0].as_py()
     return pa.table(
         [[*chunks, -1], [part] * (n + 1), [*told, b""], [0] * n + [int((words & (total > 0)).sum())], [0] * n + [int(total[words].sum())]],
@@ -134,7 +134,7 @@ def count(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Tabl
         return pa.table(out, schema=SCHEMA)
     got = lookups(docs)
     told = told.sort_by("part")
-    counts = np.concatenate([unpressed(b.as_py()) for b in told.column("counts").combine_chunks()]).astype(np.int64)
+    counts = np.concatenate([unpressed(b.as_py(), "<u8") for b in told.column("counts").combine_chunks()]).astype(np.int64)
     single, double, starts = counts[got["single"]], counts[got["double"]], got["starts"]
     n = np.diff(starts)
     rows = np.repeat(np.arange(len(n)), n)
@@ -154,7 +154,7 @@ def count(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Tabl
     out["n_tokens"] = n.tolist() + [None]
     out["n_known"] = np.bincount(rows, single > 0, m).astype(np.int64).tolist() + [None]
     out["base_sum"] = np.bincount(rows, np.log10(single + 1), m).tolist() + [None]
-    out["seen"] = [pressed(np.concatenate([single[a:b], double[a:b], context[a : a + 1]])) for a, b in zip(starts[:-1], starts[1:])] + [None]
+    out["seen"] = [pressed(np.concatenate([single[a:b], double[a:b], context[a : a + 1]]), "<u8") for a, b in zip(starts[:-1], starts[1:])] + [None]
     for name, values in (("bucket", cells // 4096 // 4096), ("ratio", cells // 4096 % 4096), ("single", cells % 4096), ("weight", weight)):
         out[name] = [None] * m + [values.tolist()]
     return pa.table(out, schema=SCHEMA)
@@ -222,7 +222,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int =
         for batch in slices(batches, "seen", 2 << 20):
             scores = []
             for data, n in zip(batch.column("seen"), batch.column("n_tokens").to_pylist()):
-                seen = unpressed(data.as_py()).astype(np.int64)
+                seen = unpressed(data.as_py(), "<u8").astype(np.int64)
                 single, double = seen[:n], seen[n : 2 * n]
                 context = np.concatenate([seen[2 * n :], single[:-1]])
                 scores.append(float(log_probability(single, double, context, mixture, tokens, types).sum()))
