@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftload.llm.components import Filter, components
-from weftload.llm.words import Words, mix, pressed, slices, split_words, unpressed
+from weftload.llm.words import Words, distinct, mix, pressed, slices, split_words, unpressed
 from weftload.session import written_table
 
 #: Elements of sets that a task compares: larger clusters are cut into blocks of this size.
@@ -47,7 +47,7 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     for a, b in zip(words.starts[:-1].tolist(), words.starts[1:].tolist()):
         size = min(n, b - a)
         # a short text's one sequence must not equal a shingle of another length
-        out.append(np.unique(rolled[size - 1][a : b - size + 1] + np.uint64(size)) if size else np.zeros(0, np.uint64))
+        out.append(distinct(rolled[size - 1][a : b - size + 1] + np.uint64(size)) if size else np.zeros(0, np.uint64))
     return out
 
 
@@ -91,9 +91,13 @@ class Parts:
             high = self.edges[c + 1] - 1
             most = self.differences(high)
             spare = 1 + most // 10 if most else 0  # parts that may be empty
-            part = ((s >> np.uint64(11)) % np.uint64(most + 1 + spare)).astype(np.int64)
+            parts = most + 1 + spare
+            # a stable sort of 16-bit numbers counts instead of comparing
+            part = ((s >> np.uint64(11)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            at, begin = np.unique(part[order], return_index=True)
+            part = part[order]
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            at = part[begin].astype(np.int64)
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(s, np.full(n, np.uint64(c + 1)))[order], begin)
             mine = [mix(total, (at + 1 + (c << 40)).astype(np.uint64))]
@@ -101,7 +105,7 @@ class Parts:
                 overlap = -(-self.percent * n // 100)
                 mine.append(mix(s[: n - overlap + 1], np.full(n - overlap + 1, np.uint64((c << 40) + (1 << 39)))))
             out += [m & ~CLASS | np.uint64(c) for m in mine]
-        return np.unique(np.concatenate(out))
+        return distinct(np.concatenate(out))
 
 
 def sets_in(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
