@@ -16,8 +16,8 @@ TWO = ["insert into t values(<increment>)", "update t set a = <int/1/2>"]
         ("0.2,0.9", "cannot total more than 1"),
         ("0.2,0.7,0.1", "must have 2 values"),
         ("0.2,-0.7", "cannot be negative"),
-        ("0.2,0.7", "must total 1"),
-        ("0.2,x", "invalid load distribution value"),
+        ("0.2,0.7", "without a template"),
+        ("0.2,x", "a weight that is no number"),
     ],
 )
 def test_weight_errors(weights, message):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftload.functions.text import whole_div
 
-# ``INSERT ... VALUES (...)``: everything up to the tuple, and the tuple's inside.
+# Fixed value: how a statement is told apart into everything up to the tuple, and the tuple's inside.
 VALUES_SPLIT = r"(?is)(.*VALUES\s*)\((.*)\)"
 
 

@@ -189,18 +189,24 @@ def _slot_names(masked: str, span, found) -> list[str]:
     return result if len(set(result)) == len(result) else default
 
 
+# What users of load distributions are told.
+WRONG_COUNT = "load distribution must have {} values"
+NEGATIVE = "load distribution values cannot be negative"
+TOO_MUCH = "load distribution values cannot total more than 1"
+
+
 def check_weights(weights: Sequence[float], count: int) -> list[Fraction]:
     """Exact weights, or an error that says what is wrong."""
     exact = [Fraction(str(w)) for w in weights]
     if len(exact) != count:
-        raise ValueError(f"load distribution must have {count} values")
+        raise ValueError(WRONG_COUNT.format(count))
     if any(w < 0 for w in exact):
-        raise ValueError("load distribution values cannot be negative")
-    total = sum(exact)
-    if total > 1 + WEIGHT_TOLERANCE:
-        raise ValueError("load distribution values cannot total more than 1")
-    if abs(1 - total) > WEIGHT_TOLERANCE:
-        raise ValueError("load distribution values must total 1")
+        raise ValueError(NEGATIVE)
+    missing = 1 - sum(exact)
+    if missing < -WEIGHT_TOLERANCE:
+        raise ValueError(TOO_MUCH)
+    if missing > WEIGHT_TOLERANCE:
+        raise ValueError(f"the weights leave {float(missing):g} of the load without a template")
     return exact
 
 
@@ -211,7 +217,7 @@ def parse_weights(text: str) -> list[float]:
         try:
             values.append(float(part.strip()))
         except ValueError:
-            raise ValueError(f"invalid load distribution value: {part}") from None
+            raise ValueError(f"a weight that is no number: {part.strip()!r}") from None
     return values
 
 
