@@ -1,32 +1,62 @@
-"""From documents to training windows: each stage works on all that the one before kept."""
+"""From documents to training windows: each stage works on all that the one before kept.
+
+Decisions are carried by a key that each stage gives its input rows, once, in a written table: so rows
+without doc_id, and rows that share one, are judged one by one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftload.llm import decontaminate, jaccard_tree, packing, secrets, toxicity
 from weftload.session import written_table
 
+ROW = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written: the key stays as it is, whatever is computed again."""
+    return written_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What an operator reads of keyed rows: the key for a doc_id, and the text."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
+    """Keyed rows whose key is not among the rejected ones (doc_id), as they came in."""
+    gone = written_table(rejected.select(F.col("doc_id").alias(ROW)).distinct(), label)
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go (score of 0.5 or more)."""
+    rows = keyed(docs)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = toxicity.score(docs, model).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(written_table(rejected, "toxic"), "doc_id", "left_anti").select(docs.columns)
+    return without(rows, toxicity.score(by_row(rows), model).where("score >= 0.5"), "toxic").select(docs.columns)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by five-word shingles at a similarity of 0.8, the one of the smallest doc_id stays."""
-    groups = jaccard_tree.jaccard_components(docs, n=5, percent=80)
-    copies = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(written_table(copies, "copies"), "doc_id", "left_anti").select(docs.columns)
+    """Of documents that link by five-word shingles at a similarity of 0.8, the one of the smallest doc_id stays.
+
+    A row without doc_id stays only if no row of its group has one; of equal ids one row stays.
+    """
+    rows = keyed(docs)
+    groups = written_table(jaccard_tree.jaccard_components(by_row(rows), n=5, percent=80), "groups")
+    groups = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, F.col("doc_id").alias("_id")), ROW)
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col(ROW))
+    first = groups.groupBy("component_id").agg(F.min_by(ROW, order).alias("_first"))
+    copies = groups.join(first, "component_id").where(F.col(ROW) != F.col("_first"))
+    return without(rows, copies.select(F.col(ROW).alias("doc_id")), "copies").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, question and answer, go."""
+    rows = keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", *decontaminate.question_answer())
-    leaked = decontaminate.leaks(docs, items).select("doc_id").distinct()
-    return docs.join(written_table(leaked, "leaked"), "doc_id", "left_anti").select(docs.columns)
+    return without(rows, decontaminate.leaks(by_row(rows), items), "leaked").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +77,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Scores, searches and token ids aren't SQL; the stages are tested against brute force.
+#: Scores, searches and token ids aren't SQL; tests/llm/test_pipeline.py holds each stage against loops.
 ORACLE_SQL = None
 
 
