@@ -154,7 +154,7 @@ def written_in_order(spark, path, data, schema, files):
 
 @pytest.fixture(scope="module")
 def live_session(spark, tmp_path_factory):
-    """Records of processes that come, pause and leave, and status reports, in ten files each."""
+    """Records of processes that come, pause and leave, and status reports, in six files each."""
     import random
 
     rng = random.Random(9)
@@ -171,8 +171,8 @@ def live_session(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("live")
     paths = str(root / "records.parquet"), str(root / "status.parquet")
     tables = (
-        written_in_order(spark, paths[0], records, "ts timestamp, process_index long, processed long", 10),
-        written_in_order(spark, paths[1], reports, "ts timestamp, target string, variable string, value string", 10),
+        written_in_order(spark, paths[0], records, "ts timestamp, process_index long, processed long", 6),
+        written_in_order(spark, paths[1], reports, "ts timestamp, target string, variable string, value string", 6),
     )
     config = spark.createDataFrame(
         [(1, "a", "insert"), (2, "b", "replace"), (3, "", "insert"), (4, "a", "select"), (5, "c", "insert"), (6, "b", "insert")],
