@@ -78,3 +78,31 @@ def test_redaction(documents):
 def test_empty(documents):
     assert secrets.scan(documents([])).collect() == []
     assert len(secrets.scan(documents([(1, "x"), (1, "x"), (None, None)])).collect()) == 3
+
+
+def test_every_rest_and_length_is_scored(documents):
+    rnd = random.Random(6)
+    key = lambda: "zq-" + "".join(rnd.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(32))
+    line = " ".join(["ent", "ing", "and", "ther", "ion", "established-documents"] * 10)
+    texts = [f"{line} token = '{key()}' {line}" for _ in range(150)]
+    beside, before = key(), key()
+    texts += [f"{line} 0123456789abcdef{beside} {line}", f"{line} {before}0123456789abcdef {line}"]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.scan(documents(texts)).collect()}
+    for i, part in enumerate([beside, before], 150):
+        start = texts[i].index(part)
+        assert f"format:{start}:{start + len(part)}" in got[i]
+    loop = secrets.Format(["ab" * (6 + int(rnd.expovariate(0.25))) for _ in range(500)])
+    model = secrets.Model([loop], secrets.np.log(secrets.np.full((secrets.A + 1, secrets.A), 1 / secrets.A)))
+    assert model.scores([b"ab" * 5000]) > secrets.LIKELIER
+
+
+def test_long_runs_score_as_side_by_side():
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("ab01") for _ in range(20)) for _ in range(100)]
+    form = secrets.Format(words)
+    runs = ["".join(rnd.choice("ab01") for _ in range(rnd.randint(12, 400))) for _ in range(60)]
+    sizes = secrets.np.array([len(r) for r in runs])
+    codes = secrets.CODE[secrets.np.frombuffer("".join(runs).encode(), secrets.np.uint8)]
+    starts = secrets.np.cumsum(sizes) - sizes
+    alone = [form.likelihoods(codes, starts[i : i + 1], sizes[i : i + 1])[0] for i in range(60)]
+    assert form.likelihoods(codes, starts, sizes).tolist() == alone

@@ -3,7 +3,8 @@
 A sample of the credentials found by the patterns trains probabilistic automata, one per kind:
 prefix-tree states whose statistics are compatible are merged, so what stays is the format (a
 fixed start, an alphabet, a length) and not the credentials. Every run of credential letters in
-every text is then scored: how much likelier it is under a format than as ordinary text.
+every text is then scored, whatever its length and also beside a pattern's span: how much likelier it is
+under a format than as ordinary text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SAMPLE, LONGEST, ALPHA = 600, 128, 0.01
 LIKELIER, UNSEEN, SMALL = 14.0, np.log(1e-7), 0.05
 #: Times that each pair of letters counts as seen in ordinary text: a rare run must not vouch for itself.
 PRIOR = 10.0
+#: Runs that are scored one by one once no others last as long.
+FEW = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,24 +59,38 @@ def credential(text: str, start: int, kind: int, end: int) -> str:
     return ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """What the spans cover, as disjoint stretches in order."""
+    out: list[list[int]] = []
+    for s, _, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def ordinary(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs of credential letters that meet no base span."""
     found = [m.span() for m in CANDIDATE.finditer(text)]
     if not spans or not found:
         return found
-    merged: list[list[int]] = []
-    for s, _, e in spans:
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    starts, ends = np.array(merged).T
+    starts, ends = np.array(merged(spans)).T
     a, b = np.array(found).T
     k = np.searchsorted(ends, a, "right")
     free = (k == len(starts)) | (starts[np.minimum(k, len(starts) - 1)] >= b)
     return [f for f, ok in zip(found, free) if ok]
 
 
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of credential letters; of one that meets base spans, all that these leave."""
+    out, at = [], 0
+    for s, e in [*merged(spans), (len(text), len(text))]:
+        out += [m.span() for m in CANDIDATE.finditer(text, at, s)]
+        at = e
+    return out
+
+
 @dataclass
 class State:
     n: int = 0
@@ -194,7 +211,6 @@ class Format:
         self.next = np.zeros((len(states), A), np.int64)
         self.log = np.zeros((len(states), A))
         self.end = np.full(len(states), UNSEEN)
-        self.longest = 2 * max(map(len, words))
         for i, s in enumerate(states):
             if s.final:
                 self.end[i] = np.log(s.final / s.n)
@@ -206,15 +222,25 @@ class Format:
                 self.log[i, ALPHABET.index(c)] = np.log((k + SMALL) / (s.n + SMALL * A))
 
     def likelihoods(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Logarithm of each run's probability; all runs advance side by side."""
+        """Logarithm of each run's probability; runs advance side by side, what is left of the FEW longest one by one."""
         order = np.argsort(-sizes, kind="stable")
         state, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-        lasting = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
+        together = int(sizes[order[FEW]]) if len(sizes) > FEW else 0
+        lasting = np.searchsorted(-sizes[order], -np.arange(1, together + 1), "right")
         for k, n in enumerate(lasting.tolist()):
             live = order[:n]
             c = codes[starts[live] + k]
             total[live] += self.log[state[live], c]
             state[live] = self.next[state[live], c]
+        longest = [i for i in order[:FEW].tolist() if sizes[i] > together]
+        if longest:
+            after, log = self.next.tolist(), self.log.tolist()
+        for i in longest:
+            at, sum_ = int(state[i]), float(total[i])
+            for c in codes[starts[i] + together : starts[i] + sizes[i]].tolist():
+                sum_ += log[at][c]
+                at = after[at][c]
+            state[i], total[i] = at, sum_
         return total + self.end[state]
 
 
@@ -225,25 +251,18 @@ class Model:
 
     def scores(self, runs: list[bytes]) -> np.ndarray:
         """By how much each run is likelier under its best format than as ordinary text."""
-        out = np.full(len(runs), -np.inf)
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        longest = max((f.longest for f in self.formats), default=0)
-        kept = np.flatnonzero(sizes <= longest)  # no format has runs of more than twice its longest credential
-        if not len(kept):
-            return out
-        sizes = sizes[kept]
+        if not len(sizes):
+            return np.zeros(0)
         starts = np.cumsum(sizes) - sizes
-        codes = CODE[np.frombuffer(b"".join(runs[i] for i in kept.tolist()), np.uint8)]
+        codes = CODE[np.frombuffer(b"".join(runs), np.uint8)]
         before = np.concatenate([[A], codes[:-1]])
         before[starts] = A
         plain = np.add.reduceat(self.ordinary[before, codes], starts)
-        best = np.full(len(kept), -np.inf)
+        best = np.full(len(runs), -np.inf)
         for f in self.formats:
-            fits = sizes <= f.longest
-            got = f.likelihoods(codes, starts[fits], sizes[fits])
-            best[fits] = np.maximum(best[fits], got)
-        out[kept] = best - plain
-        return out
+            best = np.maximum(best, f.likelihoods(codes, starts, sizes))
+        return best - plain
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +278,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(value) <= LONGEST:
                     kinds.append(k)
                     values.append(value)
-            runs += [text[a:b] for a, b in candidates(text, spans)]
+            runs += [text[a:b] for a, b in ordinary(text, spans)]
         if runs:
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
             codes = CODE[np.frombuffer("".join(runs).encode(), np.uint8)]
