@@ -245,3 +245,28 @@ def test_lines_are_numbered_across_files_and_pieces(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [v for _, v in found] == [f"{p} {i}" for p in range(3) for i in range(500 - 200 * p)]
     assert [n for n, _ in found] == list(range(len(found)))
+
+
+def test_lines_stay_where_they_lie(spark, tmp_path):
+    (tmp_path / "words").write_text("a b\nc\n")
+    text = numbered_lines(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_pages_over_many_blocks(spark):
+    """Long and short texts in several blocks; a page may lie in two of them."""
+    rows = [(3 * i, " ".join(f"w{i}.{k}" for k in range(i % 23)) + (" and" * 3000 if i == 700 else "")) for i in range(1500)]
+    pages = vocabulary_pages(spark.createDataFrame(rows, "id long, t string"), "id", "t").orderBy("page").collect()
+    flat = [w for _, t in rows for w in t.replace(".", " ").split()]
+    assert [w for r in pages for w in r.words] == flat
+    twice = vocabulary_pages(spark.createDataFrame([(0, "a b"), (0, "a b"), (1, "")], "id long, t string"), "id", "t")
+    assert [r.words for r in twice.collect()] == [["a", "b"] * 4]
+    assert [r.page for r in pages] == list(range(len(pages))) and all(len(r.words) == 1024 for r in pages[:-1])
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from weftload.plans.generation_queries import customer_rows
+
+    spark.range(20_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = customer_rows(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 1 and sorted(r.row_id for r in rows.collect()) == list(range(20_000))

@@ -26,6 +26,14 @@ BLOCK_ROWS = 1 << 17
 TREE_ROWS = 1 << 12
 #: Parts of a cell in one finer cut.
 MOST_PARTS = 1 << 10
+#: Ids from which a task's worth of long values is made, and tasks for each core at most.
+TASK_ROWS, TASKS_PER_CORE = 1 << 12, 16
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """Narrow rows from which much is made, spread over all cores: a file may hold them all in one row group."""
+    most = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(-(-rows.count() // TASK_ROWS), most)))
 
 
 def with_blocks(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
@@ -82,9 +90,13 @@ def _before(totals: DataFrame, keys: list[str], names: list[str], blocks: int) -
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], rows: int = BLOCK_ROWS
+    df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums by an integer column ``order``, unique within ``keys``: new column to summed one."""
+    """Inclusive running sums by an integer column ``order``, unique within ``keys``: new column to summed one.
+
+    With ``keep_block`` the column ``_block`` stays, by which (and ``keys``) the rows are dealt out.
+    """
     keys = list(keys)
     blocked, n = with_blocks(df, order, rows)
     names = [f"_s{i}" for i in range(len(sums))]
@@ -98,7 +110,8 @@ def running_sums(
     local_sums = {f"_local{s}": F.sum(v).over(local) for s, v in zip(names, sums.values())}
     joined = blocked.withColumns(local_sums).join(before, [*keys, "_block"])
     found = {out: F.col(f"_before{s}") + F.coalesce(F.col(f"_local{s}"), F.lit(0)) for s, out in zip(names, sums)}
-    return joined.withColumns(found).drop("_block", *local_sums, *[f"_before{s}" for s in names])
+    made = [*local_sums, *[f"_before{s}" for s in names]]
+    return joined.withColumns(found).drop(*made if keep_block else ["_block", *made])
 
 
 def running_sum(

@@ -22,10 +22,12 @@ from weftload.functions.text import (
     whole_div,
     word_count,
 )
-from weftload.operators.blocks import running_sum
+from weftload.operators.blocks import running_sums
 from weftload.session import written_table
 
 PAGE_WORDS = 1024
+#: Texts of one block, about: they are numbered and put into pages together.
+BLOCK_TEXTS = 256
 
 
 def vocabulary_rows(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -47,7 +49,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = written_table(lines, "lines")
     pieces = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # written, so that the optimizer knows how few they are and leaves the lines where they lie
+    pieces = written_table(pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "pieces")
     number = F.col("_base") + F.col("_id") - F.col("_first")
     return lines.join(pieces, ["_file", "_start"]).select(number.alias("line_no"), "value")
 
@@ -74,35 +77,41 @@ def vocabulary_pages(texts: DataFrame, order: str, text: str) -> DataFrame:
 
     Words are numbered through all texts in the order of the unique integer ``order``.
     Texts are cut at page borders, so one huge text is many rows; a page is bounded. The
-    pages are written to the shared folder: they are read for counting and for look-ups.
+    texts are shuffled once, into blocks, where all pages within a block are put together; only
+    the parts of pages that lie in several blocks meet again. The parts are written to the
+    shared folder as plain text, a space between words (none holds one): they are read for counting and for look-ups.
     """
-    counts = texts.select(order, F.size(split_words(F.col(text))).cast("bigint").alias("_n"))
-    # Only two numbers per text are needed to place it; the words are split again below.
-    placed = running_sum(written_table(counts, "counts").where("_n > 0"), [], order, "_n", "_hi")
-    ranged = (
-        texts.select(order, split_words(F.col(text)).alias("_words"))
-        .join(placed, order)
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
+    counts = texts.select(order, text, F.size(split_words(F.col(text))).cast("bigint").alias("_n")).where("_n > 0")
+    placed = running_sums(counts, [], order, {"_hi": "_n"}, BLOCK_TEXTS, keep_block=True)
+    # each text of an order takes each place of that order: unique orders have one of both
+    places = F.collect_list(F.struct((F.col("_hi") - F.col("_n")).alias("_lo"), "_hi"))
+    ranged = placed.withColumn("_places", places.over(Window.partitionBy("_block", order)))
+    ranged = ranged.select("_block", split_words(F.col(text)).alias("_words"), F.inline("_places"))
     first = F.greatest(F.col("page") * PAGE_WORDS, F.col("_lo"))
     end = F.least((F.col("page") + 1) * PAGE_WORDS, F.col("_hi"))
-    pieces = ranged.withColumn(
-        "page",
-        F.explode(
-            F.sequence(whole_div(F.col("_lo"), PAGE_WORDS), whole_div(F.col("_hi") - 1, PAGE_WORDS))
-        ),
-    ).select(
-        "page",
-        first.alias("_at"),
-        F.slice(
-            "_words", (first - F.col("_lo") + 1).cast("int"), (end - first).cast("int")
+    paged = F.sequence(whole_div(F.col("_lo"), PAGE_WORDS), whole_div(F.col("_hi") - 1, PAGE_WORDS))
+    pieces = ranged.withColumn("page", F.explode(paged)).select(
+        "_block", "page", first.alias("_at"), end.alias("_end"),
+        F.array_join(
+            F.slice("_words", (first - F.col("_lo") + 1).cast("int"), (end - first).cast("int")), " "
         ).alias("_part"),
     )
+    parts = joined_parts(pieces.where("_part <> ''"), "_block", "page").drop("_block")
+    whole = (F.col("_at") == F.col("page") * PAGE_WORDS) & (F.col("_end") == (F.col("page") + 1) * PAGE_WORDS)
+    parts = written_table(parts.withColumn("_whole", whole), "pages")
+    # at most two pages of a block, its first and its last
+    cut = written_table(joined_parts(parts.where("NOT _whole"), "page").select("page", "_part"), "cut_pages")
+    whole = parts.where("_whole").select("page", "_part")
+    return whole.unionByName(cut).select("page", F.split("_part", " ").alias("words"))
+
+
+def joined_parts(pieces: DataFrame, *keys: str) -> DataFrame:
+    """Pieces ``(_at, _end, _part)`` of a key as one, in the order of their places."""
     ordered = F.array_sort(F.collect_list(F.struct("_at", "_part")))
-    pages = pieces.groupBy("page").agg(
-        F.flatten(F.transform(ordered, lambda p: p["_part"])).alias("words")
+    return pieces.groupBy(*keys).agg(
+        F.min("_at").alias("_at"), F.max("_end").alias("_end"),
+        F.array_join(F.transform(ordered, lambda p: p["_part"]), " ").alias("_part"),
     )
-    return written_table(pages, "pages")
 
 
 def count_words(pages: DataFrame) -> int:
