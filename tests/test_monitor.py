@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftload.operators import monitor as mon
 from weftload.operators import replay as rep
+from weftload.operators import match
 from weftload.operators.match import bulk_match, in_parts, joined_in_parts, match_counts, part_counts
 from weftload.functions import formats as fmt
 from weftload.plans.workload import statements
@@ -266,6 +267,22 @@ def test_texts_are_read_once(spark, tmp_path):
     assert reads.value == 100
 
 
+def test_pairs_that_share_only_the_rarest_word_are_not_kept(spark, monkeypatch):
+    kept = {}
+    write = match.written_table
+
+    def written(df, label):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(match, "written_table", written)
+    docs = spark.createDataFrame([(i, f"rare b{i % 50} c{i % 50}") for i in range(400)], "doc_id long, text string")
+    docs = docs.unionByName(spark.range(1000, 3000).selectExpr("id AS doc_id", "concat('b', id % 50, ' c', (id + 1) % 50) AS text"))
+    queries = spark.createDataFrame([(i, f"rare b{i} c{(i + 1) % 50}") for i in range(50)], "query_id long, text string")
+    assert bulk_match(docs, queries).count() == 0
+    assert kept["candidates"].count() < 400
+
+
 def test_figures_as_text(spark):
     def shown(function, *values):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")
