@@ -18,7 +18,7 @@ from weftload.operators.batching import (
     values_prefix,
     values_tuple,
 )
-from weftload.operators.blocks import running_sum
+from weftload.operators.blocks import dealt_out, running_sum
 from weftload.operators.mix import (
     MIX_TEMPLATE,
     choose_from_table,
@@ -66,7 +66,7 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "customer").select(F.col("c_custkey").alias("row_id"))
+    return dealt_out(read(spark, folder, "customer").select(F.col("c_custkey").alias("row_id")))
 
 
 def _typed(load: str, rows: DataFrame, *names: str) -> DataFrame:
