@@ -33,6 +33,8 @@ DENSE = 1 / 12
 NEIGHBOURS, BINS = 15, 10
 #: Queries that are searched at once.
 AT_ONCE = 128
+#: Bytes of text that are split at once, and scored texts that a task remembers: both bound its memory beside the model.
+AT_ONCE_BYTES, REMEMBERED = 2 << 20, 10_000
 FOLDS = 5
 
 
@@ -69,7 +71,7 @@ def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
     """All terms of the examples in order, and how far the labels differ on each: the root of chi-squared, 1 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             text, code, _, terms = term_rows(split_words(batch.column("text")))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[text]
             n1, n0 = (np.bincount(code[toxic == y], minlength=len(terms)) for y in (1, 0))
@@ -103,7 +105,7 @@ def document_frequencies(docs: DataFrame, place: Broadcast, n: int) -> tuple[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(n + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             held[:n] += np.bincount(vectors(batch, place.value)[1], minlength=n)[:n]
             held[n] += batch.num_rows
         some = np.flatnonzero(held)
@@ -253,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(places, (np.log((1 + n) / (1 + held)) + 1) * contrast, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             vecs = parts(batch, place.value)
             lists = [pa.array([v[k] for v in vecs], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "term", "n"])
@@ -267,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     shared = context.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             votes = [v for v, _, _ in shared.value.votes(parts(batch, shared.value.place), batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
@@ -285,10 +287,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             vecs = parts(batch, model.place)
             keys = [hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in vecs]
-            if len(seen) > 50_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             new = {k: i for i, k in enumerate(keys) if k not in seen}
             seen.update(zip(new, model.scores([vecs[i] for i in new.values()])))
