@@ -29,6 +29,8 @@ from weftload.session import written_table
 
 #: Elements of sets that a task compares: larger clusters are cut into blocks of this size.
 TASK_ELEMENTS = 500_000
+#: Bytes of texts that a task splits into words at once.
+SLICE_BYTES = 4 << 20
 LEAF, FAN = 8, 4
 #: Bits of a key that hold its size class (there are 69 classes).
 CLASS = np.uint64(127)
@@ -118,7 +120,7 @@ def shared_keys(docs: DataFrame, n: int, percent: int) -> Filter:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             found = []
             for _, s in sets_in(batch, n):
                 if len(s) and (node := node_of(s)) not in seen:
@@ -155,7 +157,7 @@ def members(docs: DataFrame, n: int, percent: int, known: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             sizes, nodes, keys = [], [], []
             for _, s in sets_in(batch, n):
                 sizes.append(len(s))
@@ -176,7 +178,7 @@ def sets_of(docs: DataFrame, n: int, wanted: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             out = {}
             for i, s in sets_in(batch, n):
                 if len(s) and (node := node_of(s)) not in seen and node not in out and shared.value.holds(np.array([node]))[0]:
