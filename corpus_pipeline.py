@@ -1,22 +1,43 @@
 """From documents to training windows: each stage works on all that the one before kept.
 
-Decisions are carried by a key that each stage gives its input rows, once, in a written table: so rows
-without doc_id, and rows that share one, are judged one by one.
+Decisions are carried by a key that each stage gives its input rows: so rows without doc_id, and rows that
+share one, are judged one by one. The key is a row's place in its file; only rows that don't come as
+whole Parquet files are written for it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftload.llm import decontaminate, jaccard_tree, packing, secrets, toxicity
 from weftload.session import written_table
 
-ROW = "_row_key"
+ROW, FILE, PLACE, NUMBER = "_row_key", "_row_file", "_row_place", "_row_file_number"
+
+
+def whole_files(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Rows with file and place, and the numbered files, if the rows are those of whole Parquet files, each once."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    except AnalysisException:
+        return None
+    if {"_metadata", FILE, PLACE, NUMBER} & set(docs.columns):
+        return None
+    files = rows.groupBy(FILE).agg(F.count(PLACE).alias("n"), F.max(PLACE).alias("last"), F.sum(PLACE).alias("places"))
+    files = written_table(files.coalesce(1).sortWithinPartitions(FILE).withColumn(NUMBER, F.monotonically_increasing_id()), "files")
+    # a filter or a join leaves out rows or repeats some
+    if not files.where("n <> last + 1 OR 2 * places <> n * (n - 1)").isEmpty():
+        return None
+    return rows, files.select(FILE, NUMBER)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, written: the key stays as it is, whatever is computed again."""
+    """The rows with a key of their own, which stays as it is, whatever is computed again."""
+    if found := whole_files(docs):
+        rows, files = found  # a row per file: as many as Spark's own list of the input holds
+        return rows.join(F.broadcast(files), FILE).withColumn(ROW, F.shiftleft(NUMBER, 40) + F.col(PLACE)).drop(FILE, PLACE, NUMBER)
     return written_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftload.llm import jaccard_tree as jt
 
@@ -114,3 +115,44 @@ def test_tree_finds_all_links():
     for i, j in got:
         roots.up[roots.root(i)] = roots.root(j)
     assert all(roots.root(i) == roots.root(j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j]))
+
+
+def test_left_out_keys_lose_no_pair():
+    """Whatever the order of all keys, sets that link still share one that neither leaves out."""
+    rng = np.random.default_rng(7)
+    linked = 0
+
+    def left(parts, s, order):
+        keys, spared = parts.keyed(s)
+        kept = []
+        for c in np.unique(keys & jt.CLASS):
+            mine, most = keys[keys & jt.CLASS == c], spared[keys & jt.CLASS == c]
+            assert (most == most[0]).all() and most[0] < len(mine)
+            kept += sorted(mine.tolist(), key=order)[: len(mine) - most[0]]
+        return kept
+
+    for percent in (80, 85):
+        parts = jt.Parts(percent)
+        for _ in range(700):
+            a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 1 + len(a) // 9)).astype(np.uint64)]))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                linked += 1
+                shared = set(np.intersect1d(parts.keys(a), parts.keys(b)).tolist())
+                for order in (lambda k: k, lambda k: (k in shared, k), lambda k: (k not in shared, -k)):
+                    assert len(np.intersect1d(left(parts, a, order), left(parts, b, order)))
+    assert linked > 400
+
+
+def test_passages_bring_no_texts_together(documents):
+    """Texts that share a passage, but not enough to link, meet by no key, so they are neither moved nor compared."""
+    rnd = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(4)]
+    texts = [[f"w{rnd.randrange(10**9)}" for _ in range(120)] + passages[i % 4] + [f"w{rnd.randrange(10**9)}" for _ in range(40)] for i in range(60)]
+    pairs = list(enumerate(" ".join(t) for t in texts)) + [(100, " ".join(texts[3][:-2])), (101, " ".join(texts[3]))]
+    df = documents(pairs)
+    verify(df, pairs, n=5, percent=80)
+    held = jt.members(df.select("doc_id", "text"), 5, 80, jt.shared_keys(df, 5, 80)).localCheckpoint()
+    meet = jt.meetings(held).groupBy("key").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
+    found = {n for r in meet.collect() for n in r.nodes}
+    assert found == {r.node for r in held.where("doc_id IN (3, 100, 101)").collect()}

@@ -85,6 +85,25 @@ def test_whole_run(spark, folder, tmp_path):
     assert max(r.offset + r.length for r in rows) <= packing.WINDOW
 
 
+def test_files_are_not_written_again(spark, folder, tmp_path, monkeypatch):
+    """Rows of whole files are known by their places; what leaves out or repeats rows of files is written with keys."""
+    labels = []
+    monkeypatch.setattr(p, "written_table", lambda df, label, f=p.written_table: labels.append(label) or f(df, label))
+    pairs = [(None, words(1)), (None, words(1)), (3, words(1)), (6, f"{words(2)} {QUESTION}"), (7, words(3)), (7, words(4)), (None, "")]
+    table(spark, pairs).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert len(docs.inputFiles()) > 1
+    rows = p.keyed(docs)
+    assert rows.columns == [*docs.columns, p.ROW] and rows.select(p.ROW).distinct().count() == len(pairs) == rows.count()
+    assert ids(p.keep_one_of_group(spark, docs, folder)) == kept(pairs[2:])
+    assert ids(p.drop_leaks(spark, docs, folder)) == kept(pairs[:3] + pairs[4:])
+    assert "files" in labels and "keyed" not in labels
+    twice = docs.crossJoin(spark.range(2).select(F.col("id").alias("n")))
+    for some in (twice, docs.where("doc_id IS NULL OR doc_id > 3"), docs.union(docs)):
+        rows = p.keyed(some)
+        assert labels[-1] == "keyed" and rows.select(p.ROW).distinct().count() == some.count()
+
+
 def test_empty(spark, folder):
     docs = table(spark, []).limit(0)
     for _, stage in p.STAGES[1:]:

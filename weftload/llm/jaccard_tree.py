@@ -2,8 +2,10 @@
 
 Two sets link when their shingles overlap enough: J >= p / 100. Equal sets are one node. Nodes are
 first brought together without loss: sets that link differ in at most k elements, so of more
-than k parts that a hash cuts them into, one is equal in both. Nodes that share an equal part form
-clusters; inside a cluster a signature tree finds the links. Tree nodes hold OR-combined bitmaps
+than k parts that a hash cuts them into, one is equal in both. Most sets have parts enough that several must be
+equal: then each leaves out as many of its most frequent parts, less one, and still meets its
+partners by the rarest part that they share. So a passage that many texts hold brings none of them
+together. Nodes that share one of the parts left form clusters; inside a cluster a signature tree finds the links. Tree nodes hold OR-combined bitmaps
 of the shingles and size ranges; two tree nodes are visited together only if their maximum
 possible overlap can make a link, and only while they are not yet one component.
 
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftload.llm.components import Filter, components
@@ -85,14 +87,21 @@ class Parts:
         return (100 - self.percent) * 2 * high // (100 + self.percent)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """A set looks for partners in its own size class and in those of larger partners; a key's last bits name the class."""
-        n, out = len(s), []
+        return self.keyed(s)[0]
+
+    def keyed(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and how many keys of the same class the set may leave out: any as many, the same order of keys given for all sets.
+
+        A set looks for partners in its own size class and in those of larger partners; a key's last bits name the class.
+        Of its non-empty parts at most as many as the differences are unlike a partner's, so it shares the others.
+        """
+        n, out, spared = len(s), [], np.zeros(int(CLASS) + 1, np.int32)
         first = np.searchsorted(self.edges, n, "right") - 1
         last = np.searchsorted(self.edges, n * 100 // self.percent, "right") - 1
         for c in range(first, last + 1):
             high = self.edges[c + 1] - 1
             most = self.differences(high)
-            spare = 1 + most // 10 if most else 0  # parts that may be empty
+            spare = 1 + most // 3 if most else 0  # parts that may be empty, or are equal in sets that link
             parts = most + 1 + spare
             # a stable sort of 16-bit numbers counts instead of comparing
             part = ((s >> np.uint64(11)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
@@ -106,8 +115,10 @@ class Parts:
             if len(at) <= most:  # an equal part might be an empty one: meet by the prefix in hash order as well
                 overlap = -(-self.percent * n // 100)
                 mine.append(mix(s[: n - overlap + 1], np.full(n - overlap + 1, np.uint64((c << 40) + (1 << 39)))))
+            spared[c] = max(0, len(at) - most - 1)
             out += [m & ~CLASS | np.uint64(c) for m in mine]
-        return distinct(np.concatenate(out))
+        keys = distinct(np.concatenate(out))
+        return keys, spared[(keys & CLASS).astype(np.int64)]
 
 
 def sets_in(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,24 +163,41 @@ def shared_keys(docs: DataFrame, n: int, percent: int) -> Filter:
 
 
 def members(docs: DataFrame, n: int, percent: int, known: Filter) -> DataFrame:
-    """doc_id, n_shingles, node, and those keys that others may have as well (once in a task for equal sets)."""
+    """doc_id, n_shingles, node, and those keys that others may have as well with what may be left out (once in a task for equal sets)."""
     parts, shared = Parts(percent), docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, most=SLICE_BYTES):
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, spared = [], [], [], []
             for _, s in sets_in(batch, n):
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 new = bool(len(s)) and nodes[-1] not in seen
-                mine = parts.keys(s) if new else np.zeros(0, np.uint64)
+                mine, spare = parts.keyed(s) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
                 seen.add(nodes[-1])
-                keys.append(mine[shared.value.holds(mine)].view(np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), keys], ["doc_id", "n_shingles", "node", "keys"])
+                some = shared.value.holds(mine)
+                keys.append(mine[some].view(np.int64))
+                spared.append(spare[some])
+            starts = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x))) for x in (keys, spared)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], ["doc_id", "n_shingles", "node", "keys", "spared"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, spared array<int>")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+
+def meetings(held: DataFrame) -> DataFrame:
+    """(node, place, key): the keys by which nodes meet, without those that each may leave out, the most frequent ones.
+
+    Sets that link share one more key than either leaves out, at least. Of the keys that they share, the last in the order of
+    (count, key) is left out by neither. A node has a place in each size class that it looks into, so sets of unlike size never share a cluster.
+    """
+    keyed = held.select("node", F.explode(F.arrays_zip("keys", "spared")).alias("k")).select("node", F.col("k.keys").alias("key"), F.col("k.spared").alias("spared"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    placed = keyed.join(met.select("key", "held"), "key").withColumn("place", F.xxhash64("node", F.col("key").bitwiseAND(int(CLASS))))
+    # equal sets of several tasks count as one
+    nth = F.dense_rank().over(Window.partitionBy("node", "place").orderBy(F.desc("held"), F.desc("key")))
+    return placed.withColumn("nth", nth).where("nth > spared").select("node", "place", "key").distinct()
 
 
 def sets_of(docs: DataFrame, n: int, wanted: Filter) -> DataFrame:
@@ -366,9 +394,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, task_elem
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = written_table(members(docs, n, percent, shared_keys(docs, n, percent)), "members")
-    keyed = held.select("node", F.explode("keys").alias("key"))
-    # a node stands once in each size class that it looks into, so sets of unlike size never share a cluster
-    placed = keyed.select("node", "key", F.xxhash64("node", F.col("key").bitwiseAND(int(CLASS))).alias("place"))
+    placed = written_table(meetings(held), "meetings")
     meet = placed.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a <> z").select("key", "a")
     edges = placed.join(meet, "key").where("place <> a").select("a", F.col("place").alias("b"))
     clusters = components(edges).withColumnRenamed("node", "place").join(placed.select("node", "place").distinct(), "place")
