@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftload.llm import decontaminate as d
@@ -40,6 +41,48 @@ def test_search_is_whole():
     assert all(wanted[a, b] == pytest.approx(c) for a, b, c in zip(p.tolist(), u.tolist(), s.tolist()))
 
 
+def test_search_in_steps_is_whole(monkeypatch):
+    """Steps of any size find the same, and none looks up more than it may, however many passages ask at once."""
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [type("R", (), {"item_id": i, "question": " ".join(rng.choice(vocab, 50)), "answer": None}) for i in range(200)]
+    df = {}
+    for r in rows:
+        for w in set(r.question.split()):
+            df[w] = df.get(w, 0) + 1
+    index = d.Index(rows, df, len(rows), 50.0)
+    pairs = np.array([(p, t) for p in range(300) for t in np.sort(rng.choice(len(index.place), 25, replace=False))])
+    whole = index.search(pairs[:, 0], pairs[:, 1], 0.6)
+    assert len(whole[0]) and index.search(pairs[:0, 0], pairs[:0, 1], 0.6)[0].size == 0
+    asked, ranges = [], d.ranges
+
+    def watched(starts, lengths):
+        asked.append(int(lengths.sum()))
+        return ranges(starts, lengths)
+
+    monkeypatch.setattr(d, "ranges", watched)
+    for most in (5000, 700, 1):
+        monkeypatch.setattr(d, "AT_ONCE", most)
+        asked.clear()
+        for a, b in zip(whole, index.search(pairs[:, 0], pairs[:, 1], 0.6)):
+            np.testing.assert_array_equal(a, b)
+        assert max(asked) <= d.BLOCK * max(most, 25 * index.blocks)  # an entry has BLOCK units at most
+
+
+def test_a_slice_of_texts_is_bounded(monkeypatch):
+    """A task's batch is searched in slices of about a megabyte."""
+    texts = pa.array([f"{'word ' * 2000}{i}" for i in range(800)])
+    sizes = []
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.record_batch([pa.array(range(len(texts))), texts], ["doc_id", "text"])])))
+
+    monkeypatch.setattr(d, "search_slice", lambda index, some, *limits: sizes.append((len(some), some.nbytes)) or [])
+    d.scan(Docs(), type("Shared", (), {"value": None}), 0.5, 0.5)
+    assert sum(n for n, _ in sizes) == len(texts) and max(b for _, b in sizes) <= (1 << 20) + 20_000
+
+
 def test_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

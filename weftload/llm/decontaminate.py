@@ -32,6 +32,9 @@ THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
 LEAST_WORDS = 6
 #: Words of items in one index: the size of what is broadcast. More items make more indexes, one pass each.
 SHARD_WORDS = 1_000_000
+#: Bytes of text that are searched at once, and (passage, term, block) entries that are looked up at once: both bound a
+#: task's memory beside the index. A longer text, or a passage with more entries, stands alone.
+AT_ONCE_BYTES, AT_ONCE = 1 << 20, 250_000
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -128,18 +131,41 @@ class Index:
         run = np.cumsum(bound)
         first = np.searchsorted(passage, passage)
         lead = (run - np.where(first > 0, run[first - 1], 0)) >= close
-        # 2. blocks of the leading terms
         here, its = passage[lead], term[lead]
-        key = np.repeat(here, self.n_blocks[its]) * self.blocks + self.key[ranges(self.head[its], self.n_blocks[its])] % self.blocks
-        key = distinct(key)
-        if not len(key):
-            return none
+        found = [none]
+        for part in self._parts(here, self.n_blocks[its]):
+            # 2. blocks of the leading terms
+            heads, sizes = self.head[its[part]], self.n_blocks[its[part]]
+            key = distinct(np.repeat(here[part], sizes) * self.blocks + self.key[ranges(heads, sizes)] % self.blocks)
+            where, block = key // self.blocks, key % self.blocks
+            a, b = np.searchsorted(passage, where), np.searchsorted(passage, where, "right")
+            step = max(1, AT_ONCE // max(1, int((b - a).max(initial=0))))
+            for k in range(0, len(key), step):
+                some = slice(k, k + step)
+                found.append(self._score(where[some], block[some], a[some], b[some], term, close))
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+    @staticmethod
+    def _parts(passage: np.ndarray, sizes: np.ndarray) -> list[slice]:
+        """Cuts between passages, so that the sizes of a part come to AT_ONCE at most, or that it is one passage."""
+        first = np.flatnonzero(np.diff(passage, prepend=-1))
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        cuts, ends = [0], np.append(first[1:], len(passage))
+        upto = before[ends]
+        while cuts[-1] < len(passage):
+            within = np.searchsorted(upto, before[cuts[-1]] + AT_ONCE, "right") - 1
+            cuts.append(int(ends[max(within, np.searchsorted(ends, cuts[-1], "right"))]))
+        return [slice(*cut) for cut in zip(cuts, cuts[1:])]
+
+    def _score(self, where, block, a, b, term, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of candidate blocks, whose passages' terms are term[a:b]: passages, units and scores that reach the threshold."""
         # 3. block bounds over all terms of the passage
-        where, block = key // self.blocks, key % self.blocks
-        a, b = np.searchsorted(passage, where), np.searchsorted(passage, where, "right")
-        owner, entry = self._entries(np.arange(len(key)), block, a, b, term)
-        reach = np.bincount(owner, self.block_best[entry], len(key))
-        good = reach >= close
+        owner = np.repeat(np.arange(len(where)), b - a)
+        key = term[ranges(a, b - a)] * self.blocks + block[owner]
+        entry = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[entry] == key
+        owner, entry = owner[there], entry[there]
+        good = np.bincount(owner, self.block_best[entry], len(where)) >= close
         # 4. exact scores in the blocks that are left
         kept = good[owner]
         owner, entry = owner[kept], entry[kept]
@@ -151,20 +177,6 @@ class Index:
         owner = cells[hit] // BLOCK
         return where[owner], block[owner] * BLOCK + cells[hit] % BLOCK, score[hit]
 
-    def _entries(self, rows, block, a, b, term):
-        """For each candidate, the (term, block) entries that its passage's terms have, in steps of bounded size."""
-        owners, entries = [], []
-        step = max(1, 4_000_000 // max(1, int((b - a).max())))
-        for k in range(0, len(rows), step):
-            part = slice(k, k + step)
-            owner = np.repeat(rows[part], (b - a)[part])
-            key = term[ranges(a[part], (b - a)[part])] * self.blocks + block[owner]
-            entry = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            there = self.key[entry] == key
-            owners.append(owner[there])
-            entries.append(entry[there])
-        return np.concatenate(owners), np.concatenate(entries)
-
     def overlaps(self, item: int, passages: list[np.ndarray], whole: np.ndarray) -> list[float]:
         """The share of the question's word sequences that the passages hold, and of the answer's that the whole text holds (an empty part: 1)."""
         out = []
@@ -205,7 +217,9 @@ def search_slice(index: Index, texts: pa.Array, threshold: float, overlap: float
         best, places = groups.setdefault(key, (0.0, set()))
         places.add(p - int(base[t]))
         groups[key] = (max(best, s), places)
-    hashed, out = hashes(vocab), []
+    used = distinct(np.concatenate([codes[starts[t] : starts[t + 1]] for t in {t for t, _ in groups}]))  # of texts with a find
+    hashed, out = np.zeros(len(vocab), np.uint64), []
+    hashed[used] = hashes(vocab.take(pa.array(used)))
     for (t, item), (best, places) in groups.items():
         mine = hashed[codes[starts[t] : starts[t + 1]]]
         # the passages found, and what stands next to them
@@ -254,7 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
             )
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             codes, vocab, _ = terms_of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([vocab.take(pa.array(distinct(codes))).cast(pa.string())], ["term"])
 
@@ -282,7 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def scan(docs: DataFrame, shared, threshold: float, overlap: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=AT_ONCE_BYTES):
             best: dict[tuple, tuple] = {}
             for row, item, *figures in search_slice(shared.value, batch.column("text"), threshold, overlap):
                 best[row, item] = tuple(max(x) for x in zip(figures, best.get((row, item), figures)))
