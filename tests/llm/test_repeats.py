@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,3 +98,25 @@ def test_hot_passage(documents):
     edge = lambda: rnd.choice([text(40), rnd.choice(near) + text(5), "ab" * 30, hot[:40], ""])
     pairs = [(i * 7 % 90, edge() + (hot if i % 3 == 0 else text(20)) + edge()) for i in range(90)]
     verify(documents(pairs), pairs, part_bytes=2000)
+
+
+def test_all_suffixes_of_different_pieces_are_sorted(monkeypatch):
+    """Pieces of one key that differ go to the suffix sort whole, also where they share less than a string."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    shared = text(40)
+    texts = [(text(26) + (shared if i % 2 else shared + text(3)) + text(26)).encode() for i in range(30)]
+    columns, parts, pieces_of = [], [], {}
+    for node, t in enumerate(texts):
+        keys = rp.keys_of(np.frombuffer(t, np.uint8))
+        for a, b in zip(*rp.runs(keys)):
+            columns.append([keys[a].view(np.int64), node, 29 - node, a, b - a + rp.LENGTH - 1])
+            parts.append(t[a : b + rp.LENGTH - 1])
+            pieces_of.setdefault(keys[a], set()).add(parts[-1])
+    rows = rp.packed(np.array(columns, np.int64).T)
+    blob = zstandard.ZstdCompressor().compress(b"".join(parts))
+    sorted_, sort = [], rp.suffix_order
+    monkeypatch.setattr(rp, "suffix_order", lambda symbols: sorted_.append(len(symbols)) or sort(symbols))
+    list(rp.repeated((), iter([pa.RecordBatch.from_pydict({"rows": [rows], "bytes": [blob]})])))
+    different = sum(len(p) + 1 for found in pieces_of.values() if len(found) > 1 for p in found)
+    assert different > 0 and sum(sorted_) - len(sorted_) == different
