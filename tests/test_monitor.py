@@ -283,6 +283,28 @@ def test_pairs_that_share_only_the_rarest_word_are_not_kept(spark, monkeypatch):
     assert kept["candidates"].count() < 400
 
 
+def test_pairs_are_written_only_as_matches(spark, monkeypatch):
+    """With one long of bits nearly every pair passes them; what is written are the matches, and one row for each text."""
+    kept = {}
+    write = match.written_table
+
+    def written(df, label):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(match, "written_table", written)
+    monkeypatch.setattr(match, "BIT_LONGS", 1)
+    rng = random.Random(4)
+    docs = [(i, "rare " + " ".join(rng.sample([f"b{k}" for k in range(200)], 90))) for i in range(60)]
+    queries = [(i, "rare " + " ".join(rng.sample([f"b{k}" for k in range(200)], 3))) for i in range(80)]
+    expected = {(q, d) for q, asked in queries for d, t in docs if set(asked.split()) <= set(t.split())}
+    frames = (spark.createDataFrame(x, schema) for x, schema in ((docs, "doc_id long, text string"), (queries, "query_id long, text string")))
+    found = bulk_match(*frames).collect()
+    assert len(found) == len(expected) and {(r.query_id, r.doc_id) for r in found} == expected
+    assert kept["candidates"].count() == len(expected)
+    assert kept["held"].count() == len(docs) and "index" not in kept
+
+
 def test_figures_as_text(spark):
     def shown(function, *values):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")
